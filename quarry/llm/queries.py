@@ -8,6 +8,8 @@ from .byte_bpe import encode_decode
 from .common import table
 from .exact_dedup import exact_dedup
 from .html_text import main_text
+from .jaccard_join import Rule as JaccardRule
+from .jaccard_join import near_duplicates
 from .pii import personal_data
 from .quality_rules import quality_rules
 from .source_mix import mix_sources
@@ -35,6 +37,10 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), JaccardRule(words=4, percent=85))
+
+
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), BASE_RULES + PATTERNS)
 
@@ -59,7 +65,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_source_mix, op5_url_filters, op6_byte_bpe, op7_pii, op8_quality_rules, op9_html_text, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_source_mix, op4_jaccard_join, op5_url_filters, op6_byte_bpe, op7_pii, op8_quality_rules, op9_html_text, op10_token_counts)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": """
