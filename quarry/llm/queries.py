@@ -12,6 +12,7 @@ from .jaccard_join import Rule as JaccardRule
 from .jaccard_join import near_duplicates
 from .pii import personal_data
 from .quality_rules import quality_rules
+from .repeated_passages import remove_repeats
 from .source_mix import mix_sources
 from .token_counts import token_counts
 from .url_filters import BASE_RULES, PATTERNS, filter_urls
@@ -33,6 +34,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op2_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), length=50)
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
@@ -65,7 +70,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_source_mix, op4_jaccard_join, op5_url_filters, op6_byte_bpe, op7_pii, op8_quality_rules, op9_html_text, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_repeated_passages, op3_source_mix, op4_jaccard_join, op5_url_filters, op6_byte_bpe, op7_pii, op8_quality_rules, op9_html_text, op10_token_counts)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": """
