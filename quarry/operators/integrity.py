@@ -1,0 +1,78 @@
+"""Hash commitments: leaf manifests, their differences, Merkle trees, an append-only ledger."""
+
+from __future__ import annotations
+
+import hashlib
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.text import digest
+from .graph import cut_lineage
+
+EMPTY_ROOT = hashlib.sha256(b"").hexdigest()
+
+
+def leaves(rows: DataFrame, name: str, value: str) -> DataFrame:
+    return rows.select(F.col(name).alias("name"), digest(F.col(value)).alias("digest"))
+
+
+def manifest_root(manifest: DataFrame) -> DataFrame:
+    """One row: the digest of the manifest as sorted `name=digest` lines."""
+    lines = F.array_sort(F.collect_list(F.concat_ws("=", "name", "digest")))
+    return manifest.agg(digest(F.array_join(lines, "\n")).alias("root"), F.count(F.lit(1)).alias("leaves"))
+
+
+def manifest_diff(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(name, change): missing, unexpected or differing leaves."""
+    both = old.select("name", F.col("digest").alias("was")).join(new.select("name", F.col("digest").alias("now")), "name", "full_outer")
+    change = F.when(F.col("now").isNull(), "missing").when(F.col("was").isNull(), "unexpected").when(F.col("was") != F.col("now"), "differs")
+    return both.select("name", change.alias("change")).filter("change is not null")
+
+
+def merkle_levels(entries: DataFrame, index: str, data: str) -> list[DataFrame]:
+    """(i, hash) of each level, from leaves to root: 0x00 before leaf data, 0x01 before two children; an odd end goes up."""
+    leaf = F.unhex(F.sha2(F.concat(F.unhex(F.lit("00")), F.col(data).cast("binary")), 256))
+    level = cut_lineage(entries.select(F.col(index).cast("long").alias("i"), leaf.alias("hash")))
+    out, n = [level], level.count()
+    while n > 1:
+        pairs = level.groupBy(F.floor(F.col("i") / 2).alias("i")).agg(F.min_by("hash", "i").alias("a"), F.max_by("hash", "i").alias("b"), F.count(F.lit(1)).alias("n"))
+        joined = F.unhex(F.sha2(F.concat(F.unhex(F.lit("01")), "a", "b"), 256))
+        level = cut_lineage(pairs.select("i", F.when(F.col("n") == 2, joined).otherwise(F.col("a")).alias("hash")))
+        out.append(level)
+        n = (n + 1) // 2
+    return out
+
+
+def merkle_root(entries: DataFrame, index: str, data: str) -> str:
+    top = merkle_levels(entries, index, data)[-1].first()
+    return bytes(top["hash"]).hex() if top else EMPTY_ROOT
+
+
+def inclusion_path(levels: list[DataFrame], index: int) -> list[tuple[str, str]]:
+    """(side, hash) of the siblings from leaf to root: one row of each level is read."""
+    path = []
+    for level in levels[:-1]:
+        sibling = level.filter(F.col("i") == index ^ 1).first()
+        if sibling is not None:
+            path.append(("left" if index & 1 else "right", bytes(sibling["hash"]).hex()))
+        index >>= 1
+    return path
+
+
+def check_inclusion(data: bytes, path: list[tuple[str, str]], root: str) -> bool:
+    at = hashlib.sha256(b"\0" + data).digest()
+    for side, other in path:
+        pair = bytes.fromhex(other) + at if side == "left" else at + bytes.fromhex(other)
+        at = hashlib.sha256(b"\1" + pair).digest()
+    return at.hex() == root
+
+
+def append_roots(ledger: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows (idx, root) to append; a root that the ledger has, or that comes twice, is an error."""
+    if not roots.join(ledger.select("root"), "root", "left_semi").isEmpty() or not roots.groupBy("root").count().filter("count > 1").isEmpty():
+        raise ValueError("a root may be issued once only")
+    start = ledger.agg(F.coalesce(F.max("idx") + 1, F.lit(0))).first()[0]
+    from pyspark.sql import Window as W
+
+    return roots.select((F.row_number().over(W.orderBy("seq")) - 1 + start).cast("long").alias("idx"), "root")
