@@ -136,7 +136,10 @@ def _batch(ids: pa.Array, rows: list[list], *more: tuple[str, pa.Array]) -> pa.R
 def disclosing_terms(evidence: DataFrame, docs: DataFrame, rule: Disclosure) -> DataFrame:
     """(entity, term, share, bits) of terms that disclose an entity, from windows (doc_id, entity, window, term)."""
     near = evidence.groupBy("entity", "term").agg(F.countDistinct("window").alias("support"), F.countDistinct("doc_id").alias("both"))
-    near = materialise(near.filter(F.col("support") >= rule.min_support), "near")
+    # a term's documents in the evidence, near whatever entity, are some of its documents: this bounds its share from above
+    anywhere = evidence.groupBy("term").agg(F.countDistinct("doc_id").alias("anywhere"))
+    near = near.filter(F.col("support") >= rule.min_support).join(anywhere, "term").filter(F.col("both") >= rule.min_share * F.col("anywhere")).drop("anywhere")
+    near = materialise(near, "near")
     if near.isEmpty():
         return near.select("entity", "term", F.lit(0.0).alias("share"), F.lit(0.0).alias("bits"))
     of_entity = evidence.groupBy("entity").agg(F.countDistinct("doc_id").alias("with_entity"))
