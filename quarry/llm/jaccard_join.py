@@ -1,10 +1,10 @@
 """N-gram Jaccard join under several global orders of the shingles.
 
 1. Each text becomes a set of 64-bit shingle hashes. Equal sets form one class (their texts may differ in white space or
-   repeats); everything further works on classes. The pass also counts frequent shingles by lossy counting over all
-   texts: each map unit reports shingles in more than `frequent` of its texts, so every shingle in a larger share of all
-   texts is among the reports, which stay bounded by 1 / frequent times the mean set size.
-2. Three global orders: frequent shingles last, then by three different hashes. Sets that reach the threshold share a
+   repeats); everything further works on classes. The pass also counts frequent shingles and words by lossy
+   counting over all texts: each map unit reports those in more than a share of its texts, so all that are in a larger
+   share of all texts are among the reports, which stay bounded by 1 / share times the mean number in a text.
+2. Three global orders: shingles with fewer frequent words first, frequent shingles last, then by three different hashes. Sets that reach the threshold share a
    token of their prefixes under every one of them. Prefix tokens of the first order are dealt to buckets; those that two
    classes share give candidates; a candidate pair must then also share prefix tokens under the other orders, and only
    pairs that pass all filters are verified on their whole sets.
@@ -38,13 +38,16 @@ BLOCK = 1 << 20
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 NO_ID = -(1 << 63)
+NAMES = ["did", "n", "cid", "kind", "token", "count"]
+SHINGLE, WORD = 0, 1
 
 
 @dataclass(frozen=True)
 class Rule:
     words: int = 5
     percent: int = 80
-    frequent: float = 0.002
+    frequent: float = 0.0004
+    frequent_word: float = 0.01
     hubs: tuple[int, ...] = (1, 6, 40, 400)
 
 
@@ -77,24 +80,55 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return (np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)), np.searchsorted(starts, offsets)
 
 
-def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
-    """The sorted set of each text."""
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values a sorted array holds."""
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values if len(known) else np.zeros(len(values), bool)
+
+
+@dataclass(frozen=True)
+class Frequent:
+    """Hashes of frequent shingles and words, sorted."""
+
+    shingles: np.ndarray
+    words: np.ndarray
+
+
+@dataclass(frozen=True)
+class Set:
+    """A text's shingles: sorted hashes, and for each how late it stands in every order (0 first)."""
+
+    tokens: np.ndarray
+    late: np.ndarray
+
+
+def shingle_sets(texts: pa.Array, words: int, frequent: Frequent | None = None) -> tuple[list[Set], list[np.ndarray]]:
+    """(set of each text, distinct words of each text)."""
     data, offsets = raw_bytes(texts)
     hashes, first = word_hashes(data, offsets)
     factors = [np.uint64(pow(0xC2B2AE3D27D4EB4F, k + 1, 1 << 64)) for k in range(words)]
-    rolled = np.zeros(max(0, len(hashes) - words + 1), np.uint64)
+    n = max(0, len(hashes) - words + 1)
+    rolled, late = np.zeros(n, np.uint64), np.zeros(n, np.uint8)
+    common = _among(hashes, frequent.words).astype(np.uint8) if frequent else np.zeros(len(hashes), np.uint8)
     for k, f in enumerate(factors):
-        rolled += hashes[k : k + len(rolled)] * f
+        rolled += hashes[k : k + n] * f
+        late += common[k : k + n]
     rolled = mix(rolled, 5)
-    out = []
+    late = np.minimum(late, 6)
+    if frequent:
+        late[_among(rolled, frequent.shingles)] = 7
+    sets, vocabularies = [], []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         if b - a >= words:
-            out.append(np.unique(rolled[a : b - words + 1]))
+            tokens, at = np.unique(rolled[a : b - words + 1], return_index=True)
+            sets.append(Set(tokens, late[a : b - words + 1][at]))
         elif b > a:
-            out.append(mix(np.array([sum(int(h) * int(f) for h, f in zip(hashes[a:b], factors, strict=False)) + (b - a) & (1 << 64) - 1], np.uint64), 6))
+            whole = sum(int(h) * int(f) for h, f in zip(hashes[a:b], factors, strict=False)) + (b - a) & (1 << 64) - 1
+            sets.append(Set(mix(np.array([whole], np.uint64), 6), np.zeros(1, np.uint8)))
         else:
-            out.append(hashes[:0])
-    return out
+            sets.append(Set(hashes[:0], late[:0]))
+        if frequent is None:
+            vocabularies.append(np.unique(hashes[a:b]))
+    return sets, vocabularies
 
 
 def class_of(tokens: np.ndarray) -> bytes | None:
@@ -105,14 +139,13 @@ def prefix_length(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
-def prefix(tokens: np.ndarray, frequent: np.ndarray, order: int, percent: int) -> np.ndarray:
-    """The tokens that come first under one global order: rare before frequent, then by a hash."""
-    p = prefix_length(len(tokens), percent)
-    rank = mix(tokens, 100 + order) >> np.uint64(1)
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
-        rank |= (frequent[at] == tokens).astype(np.uint64) << np.uint64(63)
-    return tokens[np.argpartition(rank, p - 1)[:p]] if p < len(tokens) else tokens
+def prefix(own: Set, order: int, percent: int) -> np.ndarray:
+    """The tokens that come first under one global order: those with fewer frequent words first, frequent shingles last, then by a hash."""
+    p = prefix_length(len(own.tokens), percent)
+    if p >= len(own.tokens):
+        return own.tokens
+    rank = (mix(own.tokens, 100 + order) >> np.uint64(4)) | (own.late.astype(np.uint64) << np.uint64(60))
+    return own.tokens[np.argpartition(rank, p - 1)[:p]]
 
 
 def _batches(batch: pa.RecordBatch, size: int = 24 << 20) -> Iterator[pa.RecordBatch]:
@@ -130,35 +163,39 @@ def _long(tokens: np.ndarray) -> np.ndarray:
 
 
 def _sets_pass(docs: DataFrame, rule: Rule) -> DataFrame:
-    """Rows of texts (did, n, cid) and reports of frequent shingles (token, count; did is null)."""
+    """Rows of texts (did, n, cid), and reports of frequent shingles and words (kind, token, count; did is null)."""
+
+    def report(kind: int, parts: list[np.ndarray], share: float) -> pa.RecordBatch | None:
+        tokens, counts = np.unique(np.concatenate(parts), return_counts=True)
+        often = counts >= max(3, share * len(parts))
+        m = int(often.sum())
+        empty = [pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary())]
+        return pa.record_batch([*empty, pa.array(np.full(m, kind, np.int32)), pa.array(_long(tokens[often])), pa.array(counts[often].astype(np.int64))], NAMES) if m else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["did", "n", "cid", "token", "count"]
         for whole in batches:
             for batch in _batches(whole):
-                sets = shingle_sets(batch.column(1), rule.words)
+                sets, vocabularies = shingle_sets(batch.column(1), rule.words)
                 k = len(sets)
-                yield pa.record_batch([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(map(class_of, sets), pa.binary()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], names)
-                tokens, counts = np.unique(np.concatenate(sets), return_counts=True)
-                often = counts >= max(4, rule.frequent * k)
-                m = int(often.sum())
-                if m:
-                    yield pa.record_batch([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array(_long(tokens[often])), pa.array(counts[often].astype(np.int64))], names)
+                yield pa.record_batch([batch.column(0), pa.array([len(s.tokens) for s in sets], pa.int64()), pa.array([class_of(s.tokens) for s in sets], pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], NAMES)
+                for out in (report(SHINGLE, [s.tokens for s in sets], rule.frequent), report(WORD, vocabularies, rule.frequent_word)):
+                    if out is not None:
+                        yield out
 
-    return docs.mapInArrow(run, "did long, n long, cid binary, token long, count long")
+    return docs.mapInArrow(run, "did long, n long, cid binary, kind int, token long, count long")
 
 
-def _shared_tokens(docs: DataFrame, rule: Rule, frequent: np.ndarray, buckets: int) -> DataFrame:
+def _shared_tokens(docs: DataFrame, rule: Rule, frequent: Frequent, buckets: int) -> DataFrame:
     """(token, did) of prefix tokens under the first order that more than one text holds."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in _batches(whole):
                 tokens, owners, met = [], [], set()
-                for did, own in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), rule.words), strict=True):
-                    if len(own) and (cid := class_of(own)) not in met:
+                for did, own in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), rule.words, frequent)[0], strict=True):
+                    if len(own.tokens) and (cid := class_of(own.tokens)) not in met:
                         met.add(cid)
-                        tokens.append(prefix(own, frequent, 0, rule.percent))
+                        tokens.append(prefix(own, 0, rule.percent))
                         owners.append(np.full(len(tokens[-1]), did, np.int64))
                 if not tokens:
                     continue
@@ -198,33 +235,56 @@ def _shared_tokens(docs: DataFrame, rule: Rule, frequent: np.ndarray, buckets: i
     return docs.mapInArrow(send, "bucket long, keys binary, owners binary, flags binary").groupBy("bucket").applyInArrow(meet, "token long, did long")
 
 
-def _whole_sets(docs: DataFrame, rule: Rule, frequent: np.ndarray) -> DataFrame:
-    """(cid, tokens, second, third): the set, and its prefixes under the other orders."""
+def _of_classes(docs: DataFrame, rows: DataFrame, cids: DataFrame) -> DataFrame:
+    """A text of each class."""
+    firsts = materialise(rows.join(cids, "cid", "left_semi").groupBy("cid").agg(F.min("did").alias("did")).select("did").distinct(), "firsts")
+    return docs.join(small(firsts, 16), "did", "left_semi")
+
+
+def _other_prefixes(docs: DataFrame, rule: Rule, frequent: Frequent) -> DataFrame:
+    """(cid, second, third): prefixes under the other orders, 32 bits of each token (a collision only lets a pair pass)."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [s for s in shingle_sets(batch.column(1), rule.words) if len(s)]
-        others = [pa.array([_long(prefix(s, frequent, k, rule.percent)) for s in rows], pa.list_(pa.int64())) for k in (1, 2)]
-        return pa.record_batch([pa.array(map(class_of, rows), pa.binary()), pa.array([s.tobytes() for s in rows], pa.binary()), *others], ["cid", "tokens", "second", "third"])
+        rows = [s for s in shingle_sets(batch.column(1), rule.words, frequent)[0] if len(s.tokens)]
+        others = [pa.array([prefix(s, k, rule.percent).astype(np.uint32).view(np.int32) for s in rows], pa.list_(pa.int32())) for k in (1, 2)]
+        return pa.record_batch([pa.array([class_of(s.tokens) for s in rows], pa.binary()), *others], ["cid", "second", "third"])
+
+    return map_rows(docs, run, "cid binary, second array<int>, third array<int>").dropDuplicates(["cid"])
+
+
+def _whole_sets(docs: DataFrame, rule: Rule) -> DataFrame:
+    """(cid, tokens): the sets, as sorted 64-bit hashes."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = [s.tokens for s in shingle_sets(batch.column(1), rule.words)[0] if len(s.tokens)]
+        return pa.record_batch([pa.array(map(class_of, rows), pa.binary()), pa.array([s.tobytes() for s in rows], pa.binary())], ["cid", "tokens"])
+
+    return map_rows(docs, run, "cid binary, tokens binary").dropDuplicates(["cid"])
+
+
+def _both(pairs: DataFrame, table: DataFrame, *cols: str) -> DataFrame:
+    for x in ("a", "b"):
+        pairs = pairs.join(table.select(F.col("cid").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in cols)), x)
+    return pairs
+
 
-    return map_rows(docs, run, "cid binary, tokens binary, second array<long>, third array<long>").dropDuplicates(["cid"])
+def passing(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """The candidate pairs (a, b) that share prefix tokens under the other orders too."""
+    return _both(pairs, prefixes, "second", "third").filter(F.arrays_overlap("second_a", "second_b") & F.arrays_overlap("third_a", "third_b")).select("a", "b")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The candidate pairs (a, b) that share prefix tokens under the other orders and reach the threshold."""
-    side = lambda x, *cols: sets.select(F.col("cid").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in cols))
-    passed = pairs.join(side("a", "second", "third"), "a").join(side("b", "second", "third"), "b").filter(F.arrays_overlap("second_a", "second_b") & F.arrays_overlap("third_a", "third_b")).select("a", "b")
-    whole = passed.join(side("a", "tokens"), "a").join(side("b", "tokens"), "b").select("a", "b", "tokens_a", "tokens_b")
+    """The pairs that reach the threshold."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         keep = []
         for x, y in zip(batch.column(2), batch.column(3), strict=True):
             x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-            both = int((y[at] == x).sum())
+            both = int(_among(x, y).sum())
             keep.append(100 * both >= percent * (len(x) + len(y) - both))
         return batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
-    return map_rows(whole, run, "a binary, b binary")
+    return map_rows(_both(pairs, sets, "tokens").select("a", "b", "tokens_a", "tokens_b"), run, "a binary, b binary")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -247,9 +307,12 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id"
     first = materialise(_sets_pass(docs, rule), "sets-pass")
     rows = first.filter("n is not null").select("did", "n", "cid")
     size = rows.agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("tokens")).first()
-    reports = first.filter("token is not null").groupBy("token").agg(F.sum("count").alias("count")).filter(F.col("count") >= max(4, rule.frequent * size["rows"] / 2)).select("token")
-    # bounded by 2 / frequent times the mean set size, whatever the number of texts
-    frequent = np.sort(np.array([r[0] for r in reports.collect()], np.int64).view(np.uint64))
+    reports = first.filter("kind is not null").groupBy("kind", "token").agg(F.sum("count").alias("count"))
+    share = F.when(F.col("kind") == SHINGLE, rule.frequent).otherwise(rule.frequent_word)
+    # bounded by 8 / share times the mean number of shingles and words of a text, whatever the number of texts
+    often = reports.filter(F.col("count") >= F.greatest(F.lit(3.0), share * size["rows"] / 8)).select("kind", "token").toArrow()
+    kinds, tokens = often["kind"].to_numpy(), often["token"].to_numpy().view(np.uint64)
+    frequent = Frequent(np.sort(tokens[kinds == SHINGLE]), np.sort(tokens[kinds == WORD]))
     sent = (size["tokens"] or 0) * (100 - rule.percent) / 100
     buckets = max(64, math.ceil(sent * 17 / (4 << 20)))
     held = _shared_tokens(docs, rule, frequent, buckets).join(rows.filter("cid is not null").distinct(), "did").select("token", "cid", "n").distinct()
@@ -259,10 +322,8 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id"
     links = None
     labels = None
     if not group.isEmpty():
-        wanted = group.select("cid").distinct()
-        firsts = rows.join(wanted, "cid", "left_semi").groupBy("cid").agg(F.min("did").alias("did")).select("did").distinct()
-        firsts = materialise(firsts, "firsts")
-        sets = materialise(_whole_sets(docs.join(small(firsts, 16), "did", "left_semi"), rule, frequent), "whole-sets")
+        prefixes = materialise(_other_prefixes(_of_classes(docs, rows, group.select("cid").distinct()), rule, frequent), "prefixes")
+        sets = None
         for k in [*rule.hubs, *([rule.hubs[-1]] * 1000)]:
             hub = group.withColumn("at", F.row_number().over(W.partitionBy("token").orderBy("cid"))).filter(F.col("at") <= k).drop("at")
             hub = materialise(hub, "hubs")
@@ -272,7 +333,13 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id"
             if label:
                 pairs = pairs.filter("la <> lb")
             pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-            found = materialise(verified(pairs, sets, rule.percent), "links")
+            passed = materialise(passing(pairs, prefixes), "passed")
+            need = passed.select(F.col("a").alias("cid")).union(passed.select("b")).distinct()
+            if sets is not None:
+                need = need.join(sets.select("cid"), "cid", "left_anti")
+            more = materialise(_whole_sets(_of_classes(docs, rows, need), rule), "whole-sets")
+            sets = more if sets is None else sets.union(more)
+            found = materialise(verified(passed, sets, rule.percent), "links")
             links = found if links is None else links.union(found)
             if not found.isEmpty() or labels is None:
                 labels = components(links)
