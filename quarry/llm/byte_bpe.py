@@ -57,7 +57,7 @@ class Transducer:
     one emitted) that lead to it, and the last token emitted if one of these chains is empty.
     """
 
-    def __init__(self, ranks: dict[bytes, int], limit: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], limit: int = 600_000):
         self.ranks, self.limit = ranks, limit
         self.bytes_of = {i: t for t, i in ranks.items()}
         self.prefixes = {t[:k] for t in ranks for k in range(1, len(t))}
@@ -197,7 +197,7 @@ class Codec:
 
     STEP = 1 << 15
 
-    def __init__(self, ranks_path: str, pattern: str, kept: int = 250_000):
+    def __init__(self, ranks_path: str, pattern: str, kept: int = 450_000):
         self.kept = kept
         ranks = load_ranks(ranks_path)
         self.split = regex.compile(pattern).findall
