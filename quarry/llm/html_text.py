@@ -2,12 +2,18 @@
 
 A tolerant scanner reads the tags, drops the parts that landmarks mark as no article (menus, headers, footers, sidebars,
 notices, adverts, forms, scripts, styles, reader comments), and gives the blocks of the article, or of the whole body
-where a page marks none. The token streams of a host's pages are then concatenated, and a suffix array over them (prefix
-doubling up to `min_run` tokens, runs never cross blocks) tells which strings of `min_run` tokens stand on at least
-`min_share` of the distinct pages: these are the site's boilerplate; tokens that they cover go, the unique runs stay.
+where a page marks none. Of the token streams of
+a host's pages a suffix array (prefix doubling up to `min_run` tokens, runs never cross blocks) tells which strings of
+`min_run` tokens repeat. A run that stands in `min_pages` different contents and in `min_share` of all contents of the
+whole host is the site's boilerplate; tokens that such runs cover go from every page of the host, the others stay.
 
-Pages of a host beyond `group_pages` are dealt by a hash of their id to several arrays of about that size, so that no
-task holds a whole host. A share of the pages is the same in each, up to chance.
+Contents are pages told apart by a sketch (two minima over hashed strings of three tokens): exact copies of an article
+count as one, close copies mostly do, pages that share their boilerplate only count each. Runs are told by 64-bit
+fingerprints.
+
+Pages of a host with more than `group_pages` contents are dealt by their sketch to several arrays of about that size, so
+that no task holds a whole host. A run that reaches the bound over the host reaches its part of the bound in one array
+at least; what does so is counted again over all pages of the host, so the parts have no effect on the result.
 
 Defined results: a null or empty html gives an empty text; a null url has an empty host; repeated rows and null ids give
 one row each; other columns are not read; nothing is capped.
@@ -15,15 +21,17 @@ one row each; other columns are not read; nothing is capped.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, materialise, small
+from .common import BROADCAST_BYTES, map_rows, materialise, mix, small
 
 #: Element names, and words of class, id and role attributes.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -108,24 +116,80 @@ def blocks(page: str) -> list[str]:
     return article if marked else body
 
 
-def boilerplate(pages: list[list[str]], min_run: int, min_share: float, min_pages: int) -> list[list[str]]:
-    """The blocks of some pages of one host, without what a suffix array finds on most of them."""
-    if len(pages) < min_pages:
-        return pages
+class Hashes(dict):
+    """64-bit hashes of words, the same in every process."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = value = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest())
+        return value
+
+
+def strings(hashed: np.ndarray, length: int) -> np.ndarray:
+    """The fingerprint of the `length` tokens from each place on."""
+    n = max(0, len(hashed) - length + 1)
+    out = np.zeros(n, np.uint64)
+    for k in range(length):
+        out = mix(out + hashed[k : k + n], k + 1)
+    return out
+
+
+def joined(pages: list[list[str]], hashes: Hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hashed tokens of some pages with a mark (0) after each block, whether each is a mark, and its page."""
+    hashed: list[int] = []
+    lengths = []
+    for page in pages:
+        before = len(hashed)
+        for block in page:
+            hashed += [hashes[t] for t in block.split(" ")]
+            hashed.append(0)
+        lengths.append(len(hashed) - before)
+    tokens = np.array(hashed, np.uint64)
+    return tokens, tokens == 0, np.repeat(np.arange(len(pages)), lengths)
+
+
+def free(ends: np.ndarray, length: int) -> np.ndarray:
+    """The places from which `length` tokens stand in one block."""
+    if len(ends) < length:
+        return np.zeros(0, np.int64)
+    sums = np.concatenate([[0], np.cumsum(ends)])
+    return np.flatnonzero(sums[length:] == sums[:-length])
+
+
+def sketches(pages: list[list[str]], hashes: Hashes) -> np.ndarray:
+    """Equal for copies; pages that share a part b of their strings have the same one with a chance of about b squared."""
+    tokens, _, owner = joined([[" ".join(page), ""] if page else [] for page in pages], hashes)  # the empty word ends a page
+    grams = strings(np.concatenate([tokens, np.zeros(2, np.uint64)]), 3)
+    last = (tokens == 0) | (tokens == hashes[""])
+    low = []
+    for salt in (21, 22):
+        value = mix(grams, salt)
+        value[last] = np.iinfo(np.uint64).max
+        least = np.full(len(pages), np.iinfo(np.uint64).max, np.uint64)
+        if len(tokens):
+            starts = np.flatnonzero(np.diff(owner, prepend=-1))
+            least[owner[starts]] = np.minimum.reduceat(value, starts)
+        low.append(least)
+    return mix(low[0] + mix(low[1], 23)).view(np.int64)
+
+
+def repeated_runs(pages: list[list[str]], contents: list[int], min_run: int, bound: int) -> np.ndarray:
+    """Fingerprints of the runs that stand in at least `bound` different contents, by a suffix array."""
     words: dict[str, int] = {}
     ids: list[int] = []
     of_page: list[int] = []
-    for k, page in enumerate(pages):
+    for k, page in zip(contents, pages, strict=True):
         for block in page:
             tokens = block.split(" ")
             ids += [words.setdefault(t, len(words)) for t in tokens]
             ids.append(-1)
             of_page += [k] * (len(tokens) + 1)
     if not ids:
-        return pages
+        return np.zeros(0, np.uint64)
     rank, owner = np.array(ids, np.int64), np.array(of_page, np.int64)
     n = len(rank)
     ends = rank < 0
+    inside = np.zeros(n, bool)
+    inside[free(ends, min_run)] = True
     rank[ends] = len(words) + np.arange(ends.sum())  # each end of a block is unlike all others
     rank = np.unique(rank, return_inverse=True)[1].astype(np.int64)
     reach = 1
@@ -139,42 +203,133 @@ def boilerplate(pages: list[list[str]], min_run: int, min_share: float, min_page
     run, page_of = rank[order], owner[order]
     fresh = np.ones(n, bool)
     fresh[1:] = (run[1:] != run[:-1]) | (page_of[1:] != page_of[:-1])
-    spread = np.bincount(run, weights=fresh, minlength=int(rank.max()) + 1)[rank]
-    hits = np.flatnonzero(spread >= max(min_pages, min_share * len(pages)))
-    if not len(hits):
+    first = np.ones(n, bool)
+    first[1:] = run[1:] != run[:-1]
+    spread = np.add.reduceat(fresh.astype(np.int64), np.flatnonzero(first))
+    places = order[first][spread >= bound]
+    places = places[inside[places]]
+    hashes = Hashes()
+    hashed = np.array([*(hashes[w] for w in words), 0], np.uint64)[np.array(ids)]  # the mark of an end is last
+    return strings(hashed, min_run)[places] if len(places) else np.zeros(0, np.uint64)
+
+
+def without(pages: list[list[str]], runs: np.ndarray, min_run: int) -> list[list[str]]:
+    """The blocks of some pages without the tokens that some runs cover."""
+    tokens, ends, _ = joined(pages, Hashes())
+    places = free(ends, min_run)
+    if len(places):
+        places = places[np.isin(strings(tokens, min_run)[places], runs)]
+    if not len(places):
         return pages
-    cover = np.zeros(n + min_run + 1, np.int64)
-    np.add.at(cover, hits, 1)
-    np.add.at(cover, hits + min_run, -1)
+    cover = np.zeros(len(tokens) + 1, np.int64)
+    np.add.at(cover, places, 1)
+    np.add.at(cover, places + min_run, -1)
     gone = (np.cumsum(cover) > 0).tolist()
     out, at = [], 0
     for page in pages:
         kept = []
         for block in page:
-            tokens = block.split(" ")
-            left = [t for i, t in enumerate(tokens, at) if not gone[i]]
-            at += len(tokens) + 1
+            words = block.split(" ")
+            left = [t for i, t in enumerate(words, at) if not gone[i]]
+            at += len(words) + 1
             if left:
                 kept.append(" ".join(left))
         out.append(kept)
     return out
 
 
+def pack(page: list[str]) -> tuple[bytes, int]:
+    data = "\n".join(page).encode()
+    return pa.compress(data, "zstd", asbytes=True), len(data)
+
+
+def unpack(data: bytes, size: int) -> list[str]:
+    return pa.decompress(data, size, "zstd", asbytes=True).decode().split("\n") if size else []
+
+
+def beside_runs(pages: DataFrame, runs: DataFrame, hosts: DataFrame, fn: Callable[[pa.Table, np.ndarray], pa.Table], schema: str) -> DataFrame:
+    """fn(pages, runs) over all pages (page_id, url, host, ...), each with the runs (host, run) of its host."""
+    runs = materialise(runs, "runs")
+    if runs.count() * 128 <= BROADCAST_BYTES:
+        by: dict[str, list[int]] = {}
+        for r in runs.collect():
+            by.setdefault(r["host"], []).append(r["run"])
+        held = pages.sparkSession.sparkContext.broadcast({k: np.array(v, np.int64).view(np.uint64) for k, v in by.items()})
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                places: dict[str | None, list[int]] = {}
+                for i, h in enumerate(batch.column("host").to_pylist()):
+                    places.setdefault(h if h in held.value else None, []).append(i)
+                for h, at in places.items():
+                    yield from fn(pa.Table.from_batches([batch]).take(at), held.value[h] if h is not None else np.zeros(0, np.uint64)).to_batches()
+
+        return pages.mapInArrow(run, schema)
+    part = F.pmod(F.xxhash64(F.lit(11), "page_id", "url"), F.coalesce("splits", F.lit(1)))
+    dealt = pages.join(small(hosts.select("host", "splits"), 64), "host", "left").withColumn("part", part).drop("splits")
+    near = dealt.select(F.col("host").alias("of_host"), F.col("part").alias("of_part")).distinct().join(runs.withColumnRenamed("host", "of_host"), "of_host")
+
+    def group(t: pa.Table, r: pa.Table) -> pa.Table:
+        return fn(t, r["run"].to_numpy().astype(np.int64).view(np.uint64))
+
+    return dealt.groupBy(F.col("host"), F.col("part")).cogroup(near.groupBy(F.col("of_host"), F.col("of_part"))).applyInArrow(group, schema)
+
+
 def main_text(pages: DataFrame, min_run: int = 8, min_share: float = 0.5, min_pages: int = 8, group_pages: int = 400, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per input row: page_id, url, text, n_chars."""
     after = F.regexp_extract(F.coalesce(F.col(url_col).cast("string"), F.lit("")), r"(?s)^.*?://([^/?#]*)", 1)
     rows = pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].cast("string").alias("url"), F.lower(after).alias("host"), F.coalesce(pages[html_col].cast("string"), F.lit("")).alias("html"))
-    crowded = materialise(rows.groupBy("host").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > group_pages).select("host", F.ceil(F.col("n") / group_pages).alias("parts")), "hosts")
-    parts = F.coalesce(F.col("parts"), F.lit(1))
-    dealt = rows.join(small(crowded, 64), "host", "left").select("page_id", "url", "host", F.pmod(F.xxhash64(F.lit(11), "page_id", "url"), parts).alias("part"), "html")
 
     def scan(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.record_batch([*batch.columns[:4], pa.array([blocks(x.as_py()) for x in batch.column(4)], pa.list_(pa.string()))], ["page_id", "url", "host", "part", "blocks"])
+        found = [blocks(x.as_py()) for x in batch.column(3)]
+        packed = [pack(p) for p in found]
+        more = [pa.array(sketches(found, Hashes())), pa.array([x for x, _ in packed], pa.binary()), pa.array([n for _, n in packed], pa.int64())]
+        return pa.record_batch([*batch.columns[:3], *more], ["page_id", "url", "host", "content", "packed", "size"])
+
+    scanned = materialise(map_rows(rows, scan, "page_id long, url string, host string, content long, packed binary, size long"), "page-blocks")
+    n = F.count(F.lit(1))
+    hosts = scanned.groupBy("host", "content").agg(n.alias("copies")).groupBy("host").agg(n.alias("n"), F.sum("copies").alias("pages")).filter(F.col("n") >= min_pages)
+    bound = F.greatest(F.lit(min_pages), F.ceil(F.col("n") * min_share)).cast("long")
+    hosts = materialise(hosts.select("host", F.ceil(F.col("n") / group_pages).alias("parts"), F.ceil(F.col("pages") / group_pages).alias("splits"), bound.alias("bound")), "hosts")
+    held = scanned.select("host", "content", "packed", "size").join(small(hosts, 64), "host")
+    dealt = held.select("host", F.pmod("content", "parts").alias("part"), "parts", "bound", "content", "packed", "size")
 
-    scanned = map_rows(dealt, scan, "page_id long, url string, host string, part long, blocks array<string>")
+    def fresh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple] = set()  # exact copies in a map task are sent once
+        for batch in batches:
+            keep = []
+            for i, key in enumerate(zip(batch.column(0).to_pylist(), batch.column(4).to_pylist(), (hashlib.blake2b(x.as_py(), digest_size=16).digest() for x in batch.column(5)), strict=True)):
+                if key not in seen:
+                    seen.add(key)
+                    keep.append(i)
+            yield batch.take(pa.array(keep, pa.int64()))
 
     def group(t: pa.Table) -> pa.Table:
-        texts = ["\n\n".join(b) for b in boilerplate(t["blocks"].to_pylist(), min_run, min_share, min_pages)]
+        parts, least = t["parts"][0].as_py(), t["bound"][0].as_py()
+        texts = [unpack(*x) for x in zip(t["packed"].to_pylist(), t["size"].to_pylist(), strict=True)]
+        found = repeated_runs(texts, t["content"].to_pylist(), min_run, -(-least // parts))
+        return pa.table({"host": pa.array([t["host"][0].as_py()] * len(found), pa.string()), "run": pa.array(found.view(np.int64)), "parts": pa.array([parts] * len(found), pa.int64()), "bound": pa.array([least] * len(found), pa.int64())})
+
+    found = materialise(dealt.mapInArrow(fresh, dealt.schema).groupBy("host", "part").applyInArrow(group, "host string, run long, parts long, bound long"), "found-runs")
+
+    def stands(t: pa.Table, runs: np.ndarray) -> pa.Table:
+        texts = [unpack(*x) for x in zip(t["packed"].to_pylist(), t["size"].to_pylist(), strict=True)] if len(runs) else []
+        tokens, ends, owner = joined(texts, Hashes())
+        at = free(ends, min_run)
+        run = strings(tokens, min_run)[at]
+        hit = np.isin(run, runs)
+        rows = t.select(["host", "content"]).take(pa.array(owner[at[hit]], pa.int64()))
+        return rows.append_column("run", pa.array(run[hit].view(np.int64))).group_by(["host", "content", "run"]).aggregate([])
+
+    crowded = hosts.filter(F.col("parts") > 1)
+    wide = scanned.join(small(crowded.select("host"), 64), "host", "left_semi").select(*scanned.columns)
+    counted = beside_runs(wide, found.filter(F.col("parts") > 1).select("host", "run").distinct(), hosts, stands, "host string, content long, run long")
+    counted = counted.distinct().groupBy("host", "run").agg(n.alias("n")).join(small(crowded.select("host", "bound"), 64), "host").filter(F.col("n") >= F.col("bound"))
+    runs = found.filter(F.col("parts") == 1).select("host", "run").unionByName(counted.select("host", "run"))
+
+    def cover(t: pa.Table, runs: np.ndarray) -> pa.Table:
+        found = [unpack(*x) for x in zip(t["packed"].to_pylist(), t["size"].to_pylist(), strict=True)]
+        texts = ["\n\n".join(page) for page in (without(found, runs, min_run) if len(runs) else found)]
         return pa.table({"page_id": t["page_id"], "url": t["url"], "text": pa.array(texts, pa.string()), "n_chars": pa.array(map(len, texts), pa.int64())})
 
-    return scanned.groupBy("host", "part").applyInArrow(group, "page_id long, url string, text string, n_chars long")
+    return beside_runs(scanned, runs, hosts, cover, "page_id long, url string, text string, n_chars long")

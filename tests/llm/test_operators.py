@@ -286,3 +286,21 @@ def test_html_text(spark):
     assert all(out[i]["text"] == f"page {i} says something of its own, {i * i}" for i in range(30))
     assert (out[None]["text"], out[40]["n_chars"], out[41]["text"]) == ("", 0, "T & x\n\none two\n\nl1\n\nl2\n\nthree")
     assert html_text.main_text(df).count() == 34 and html_text.main_text(df.limit(0)).count() == 0
+
+
+def planted_pages(n, every, seed=3):
+    r = random.Random(seed)
+    line = "this notice stands at the foot of each section page"
+    return [(i, f"http://h/{i}", f"<p>{' '.join(f'v{r.randint(0, 5000)}' for _ in range(60))}</p>" + f"<p>{line}</p>" * (i % every == 0), "x") for i in range(n)], line
+
+
+def test_html_runs_are_counted_over_the_whole_host(spark, monkeypatch):
+    rows, line = planted_pages(90, 2)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, host string")
+    whole = got(html_text.main_text(df, min_share=0.48))
+    assert len(whole) == 90 and not any(line in r[2] for r in whole)
+    for size in (4, 7, 20):
+        assert got(html_text.main_text(df, min_share=0.48, group_pages=size)) == whole
+    assert sum(line in r[2] for r in got(html_text.main_text(df, min_share=0.52, group_pages=7))) == 45
+    monkeypatch.setattr(html_text, "BROADCAST_BYTES", -1)
+    assert got(html_text.main_text(df, min_share=0.48, group_pages=7)) == whole
