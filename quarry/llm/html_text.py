@@ -127,10 +127,20 @@ class Hashes(dict):
 def strings(hashed: np.ndarray, length: int) -> np.ndarray:
     """The fingerprint of the `length` tokens from each place on."""
     n = max(0, len(hashed) - length + 1)
-    out = np.zeros(n, np.uint64)
-    for k in range(length):
-        out = mix(out + hashed[k : k + n], k + 1)
-    return out
+    return combine([hashed[k : k + n] for k in range(length)])
+
+
+def combine(columns: list[np.ndarray]) -> np.ndarray:
+    out = columns[0].copy()
+    for x in columns[1:]:
+        out *= np.uint64(0x9E3779B97F4A7C15)
+        out += x
+    return mix(out)
+
+
+def among(values: np.ndarray, runs: np.ndarray) -> np.ndarray:
+    """Which values are in some sorted runs."""
+    return runs[np.minimum(np.searchsorted(runs, values), len(runs) - 1)] == values if len(runs) else np.zeros(len(values), bool)
 
 
 def joined(pages: list[list[str]], hashes: Hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -208,9 +218,11 @@ def repeated_runs(pages: list[list[str]], contents: list[int], min_run: int, bou
     spread = np.add.reduceat(fresh.astype(np.int64), np.flatnonzero(first))
     places = order[first][spread >= bound]
     places = places[inside[places]]
-    hashes = Hashes()
-    hashed = np.array([*(hashes[w] for w in words), 0], np.uint64)[np.array(ids)]  # the mark of an end is last
-    return strings(hashed, min_run)[places] if len(places) else np.zeros(0, np.uint64)
+    if not len(places):
+        return np.zeros(0, np.uint64)
+    used, at = np.unique(np.array(ids, np.int64)[places[:, None] + np.arange(min_run)], return_inverse=True)
+    names, hashes = list(words), Hashes()
+    return combine(list(np.array([hashes[names[i]] for i in used.tolist()], np.uint64)[at.reshape(-1, min_run)].T))
 
 
 def without(pages: list[list[str]], runs: np.ndarray, min_run: int) -> list[list[str]]:
@@ -218,7 +230,7 @@ def without(pages: list[list[str]], runs: np.ndarray, min_run: int) -> list[list
     tokens, ends, _ = joined(pages, Hashes())
     places = free(ends, min_run)
     if len(places):
-        places = places[np.isin(strings(tokens, min_run)[places], runs)]
+        places = places[among(strings(tokens, min_run)[places], runs)]
     if not len(places):
         return pages
     cover = np.zeros(len(tokens) + 1, np.int64)
@@ -254,7 +266,7 @@ def beside_runs(pages: DataFrame, runs: DataFrame, hosts: DataFrame, fn: Callabl
         by: dict[str, list[int]] = {}
         for r in runs.collect():
             by.setdefault(r["host"], []).append(r["run"])
-        held = pages.sparkSession.sparkContext.broadcast({k: np.array(v, np.int64).view(np.uint64) for k, v in by.items()})
+        held = pages.sparkSession.sparkContext.broadcast({k: np.sort(np.array(v, np.int64).view(np.uint64)) for k, v in by.items()})
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -270,12 +282,12 @@ def beside_runs(pages: DataFrame, runs: DataFrame, hosts: DataFrame, fn: Callabl
     near = dealt.select(F.col("host").alias("of_host"), F.col("part").alias("of_part")).distinct().join(runs.withColumnRenamed("host", "of_host"), "of_host")
 
     def group(t: pa.Table, r: pa.Table) -> pa.Table:
-        return fn(t, r["run"].to_numpy().astype(np.int64).view(np.uint64))
+        return fn(t, np.sort(r["run"].to_numpy().astype(np.int64).view(np.uint64)))
 
     return dealt.groupBy(F.col("host"), F.col("part")).cogroup(near.groupBy(F.col("of_host"), F.col("of_part"))).applyInArrow(group, schema)
 
 
-def main_text(pages: DataFrame, min_run: int = 8, min_share: float = 0.5, min_pages: int = 8, group_pages: int = 400, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def main_text(pages: DataFrame, min_run: int = 8, min_share: float = 0.05, min_pages: int = 3, group_pages: int = 400, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per input row: page_id, url, text, n_chars."""
     after = F.regexp_extract(F.coalesce(F.col(url_col).cast("string"), F.lit("")), r"(?s)^.*?://([^/?#]*)", 1)
     rows = pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].cast("string").alias("url"), F.lower(after).alias("host"), F.coalesce(pages[html_col].cast("string"), F.lit("")).alias("html"))
@@ -317,7 +329,7 @@ def main_text(pages: DataFrame, min_run: int = 8, min_share: float = 0.5, min_pa
         tokens, ends, owner = joined(texts, Hashes())
         at = free(ends, min_run)
         run = strings(tokens, min_run)[at]
-        hit = np.isin(run, runs)
+        hit = among(run, runs)
         rows = t.select(["host", "content"]).take(pa.array(owner[at[hit]], pa.int64()))
         return rows.append_column("run", pa.array(run[hit].view(np.int64))).group_by(["host", "content", "run"]).aggregate([])
 

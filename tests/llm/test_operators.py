@@ -304,3 +304,14 @@ def test_html_runs_are_counted_over_the_whole_host(spark, monkeypatch):
     assert sum(line in r[2] for r in got(html_text.main_text(df, min_share=0.52, group_pages=7))) == 45
     monkeypatch.setattr(html_text, "BROADCAST_BYTES", -1)
     assert got(html_text.main_text(df, min_share=0.48, group_pages=7)) == whole
+
+
+def test_html_boilerplate_on_few_pages_goes_and_copies_stay(spark):
+    rows, line = planted_pages(60, 6)
+    few = [(100 + i, f"http://few/{i}", h, "x") for i, (_, _, h, _) in enumerate(planted_pages(5, 1, 4)[0])]
+    article = " ".join(f"a{i}" for i in range(70))
+    copies = [(200 + i, f"http://h/c{i}", f"<p>{article}</p>", "x") for i in range(20)]
+    df = spark.createDataFrame(rows + few + copies, "page_id long, url string, html string, host string")
+    out = {r["page_id"]: r["text"] for r in html_text.main_text(df).collect()}
+    assert len(out) == 85 and not any(line in t for t in out.values())
+    assert all(len(t.split()) == 60 for i, t in out.items() if i < 200) and all(out[200 + i] == article for i in range(20))
