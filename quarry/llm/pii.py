@@ -1,11 +1,12 @@
 """Personal data: fixed patterns, and information-theoretic sanitisation of what reveals it.
 
-Base spans follow four patterns. The method adds terms: around every base entity the terms of a window are gathered
-over the whole corpus; a term that stands in at least `min_support` different windows of one entity, that occurs with
-this entity in at least `min_share` of the windows' documents that hold the term, and whose information about the entity
-log2(P(entity | term) / P(entity)) reaches `min_bits`, discloses it. Every occurrence of such a term becomes a span of
-kind `term`; sanitise() generalises base spans to their kind and removes disclosing terms. Equal windows (copies) count
-once as support.
+Base spans follow four patterns. The method adds terms: over all texts, a term discloses a base entity if the lower
+confidence bound of P(entity | term), by Wilson's interval with `deviations` standard deviations, reaches `min_share`, and
+its information about the entity, log2(bound / P(entity)), reaches `min_bits`. Both stand together wherever one text holds
+them, however far apart. There is no least support: few texts widen the interval. With one deviation a term in a single
+text of the corpus, next to an entity, just passes, as whoever finds the term finds the entity; one more text without the
+entity and it fails, while 4 of 5 texts pass. Every occurrence of such a term becomes a span of kind `term`; sanitise()
+generalises base spans to their kind and removes disclosing terms. Equal texts (copies) count once.
 
 Defined results: a null or empty text has no spans; repeated rows give one row each, rows with null ids too; other
 columns are not read; texts are searched whole.
@@ -18,7 +19,7 @@ import re
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_text, map_rows, materialise, small
@@ -37,8 +38,7 @@ TERM_JAVA = r"[^\p{L}\p{N}]+"
 
 @dataclass(frozen=True)
 class Disclosure:
-    window: int = 80
-    min_support: int = 3
+    deviations: float = 1.0
     min_share: float = 0.5
     min_bits: float = 6.0
 
@@ -100,25 +100,19 @@ def sanitise(text: str, spans: list[tuple[int, int, int]]) -> str:
     return "".join(out) + text[at:]
 
 
-def windows(text: str, spans: list[tuple[int, int, int]], width: int) -> list[dict]:
-    """What stands around each entity: its key, the window's hash, and the terms outside base spans."""
-    out = []
+def named(text: str, spans: list[tuple[int, int, int]]) -> tuple[list[str], list[str]]:
+    """The entities of a text, and its terms outside base spans."""
+    entities, rest, at = set(), [], 0
     for a, k, b in spans:
-        lo, hi = max(0, a - width), min(len(text), b + width)
-        around = text[lo:a] + "\0" + text[b:hi]
-        blank = list(text[lo:hi])
-        for x, _, y in spans:
-            for i in range(max(x, lo), min(y, hi)):
-                blank[i - lo] = "\0"
-        terms = sorted({m[0].lower() for m in TERM.finditer("".join(blank))})
-        if terms:
-            entity = f"{KINDS[k]}:{text[a:b].lower()}" if k in (0, 1) else f"{KINDS[k]}:" + "".join(filter(str.isdigit, text[a:b]))
-            out.append({"entity": entity, "window": hashlib.sha256(around.encode()).hexdigest()[:24], "terms": terms})
-    return out
+        entities.add(f"{KINDS[k]}:{text[a:b].lower()}" if k in (0, 1) else f"{KINDS[k]}:" + "".join(filter(str.isdigit, text[a:b])))
+        rest.append(text[at : max(at, a)])
+        at = max(at, b)
+    if not entities:
+        return [], []
+    return sorted(entities), sorted({m[0].lower() for m in TERM.finditer("\0".join([*rest, text[at:]]))})
 
 
 SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
-_window = pa.list_(pa.struct([("entity", pa.string()), ("window", pa.string()), ("terms", pa.list_(pa.string()))]))
 
 
 def _row(base: list[tuple[int, int, int]], spans: list[tuple[int, int, int]]) -> list:
@@ -133,44 +127,63 @@ def _batch(ids: pa.Array, rows: list[list], *more: tuple[str, pa.Array]) -> pa.R
     return pa.record_batch([ids, *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True)), *(x[1] for x in more)], [*names, *(x[0] for x in more)])
 
 
+def lower_bound(hits: Column, of: Column, z: float) -> Column:
+    """Of Wilson's interval for hits / of."""
+    share = hits / of
+    return (share + z * z / (2 * of) - z * F.sqrt(share * (1 - share) / of + z * z / (4 * of * of))) / (1 + z * z / of)
+
+
+def word_rows(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("term", F.explode(F.array_distinct(F.split(F.lower("text"), TERM_JAVA)))).drop("text")
+
+
 def disclosing_terms(evidence: DataFrame, docs: DataFrame, rule: Disclosure) -> DataFrame:
-    """(entity, term, share, bits) of terms that disclose an entity, from windows (doc_id, entity, window, term)."""
-    near = evidence.groupBy("entity", "term").agg(F.countDistinct("window").alias("support"), F.countDistinct("doc_id").alias("both"))
-    # a term's documents in the evidence, near whatever entity, are some of its documents: this bounds its share from above
-    anywhere = evidence.groupBy("term").agg(F.countDistinct("doc_id").alias("anywhere"))
-    near = near.filter(F.col("support") >= rule.min_support).join(anywhere, "term").filter(F.col("both") >= rule.min_share * F.col("anywhere")).drop("anywhere")
-    near = materialise(near, "near")
-    if near.isEmpty():
-        return near.select("entity", "term", F.lit(0.0).alias("share"), F.lit(0.0).alias("bits"))
-    of_entity = evidence.groupBy("entity").agg(F.countDistinct("doc_id").alias("with_entity"))
-    words = docs.select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), TERM_JAVA))).alias("term"))
-    of_term = words.join(small(near.select("term").distinct(), 64), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("with_term"))
-    total = docs.select(F.count(F.lit(1)).alias("total"))
-    share = F.col("both") / F.greatest("with_term", "both")
-    joined = near.join(of_entity, "entity").join(of_term, "term").join(F.broadcast(total), F.lit(True))  # one row
-    return joined.select("entity", "term", share.alias("share"), F.log2(share / (F.col("with_entity") / F.col("total"))).alias("bits")).filter((F.col("share") >= rule.min_share) & (F.col("bits") >= rule.min_bits))
+    """(entity, term, share, bits) of terms that disclose an entity, from texts with entities (content, entities, terms)."""
+    evidence = evidence.dropDuplicates(["content"])
+    pairs = evidence.select("content", F.explode("entities").alias("entity"))
+    of_entity = pairs.groupBy("entity").agg(F.count(F.lit(1)).alias("with_entity"), F.min("content").alias("content"))
+    # entities of one and the same text only have equal figures: one stands for all, so that long lists don't multiply
+    single = of_entity.filter("with_entity = 1").groupBy("content").agg(F.min("entity").alias("entity"), F.lit(1).cast("long").alias("with_entity"))
+    several = of_entity.filter("with_entity > 1").select("entity", "with_entity")
+    kept = materialise(single.select("content", "entity", "with_entity").unionByName(pairs.join(several, "entity").select("content", "entity", "with_entity")), "entities")
+    words = evidence.select("content", F.explode("terms").alias("term"))
+    # a term's texts with whatever entity are some of its texts: this bounds its share from above
+    anywhere = words.groupBy("term").agg(F.count(F.lit(1)).alias("anywhere"))
+    near = words.join(kept, "content").groupBy("entity", "term", "with_entity").agg(F.count(F.lit(1)).alias("both"))
+    near = materialise(near.join(anywhere, "term").filter(lower_bound(F.col("both"), F.col("anywhere"), rule.deviations) >= rule.min_share - 1e-9), "near")
+    names = near.select("term").distinct()
+    of_term = word_rows(docs.select("content", "text")).join(small(names, 64), "term", "left_semi").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("with_term"))
+    total = docs.select(F.countDistinct("content").alias("total"))
+    joined = near.join(of_term, "term").join(F.broadcast(total), F.lit(True))  # one row
+    share = lower_bound(F.col("both"), F.greatest("with_term", "anywhere"), rule.deviations)
+    joined = joined.select("entity", "term", share.alias("share"), F.log2(share / (F.col("with_entity") / F.col("total"))).alias("bits"))
+    return joined.filter((F.col("share") >= rule.min_share - 1e-9) & (F.col("bits") >= rule.min_bits))
 
 
 def personal_data(docs: DataFrame, rule: Disclosure = Disclosure(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: SCHEMA; spans has base spans and disclosing terms."""
     docs = id_text(docs, id_col, text_col)
 
+    texts = docs.withColumn("content", F.xxhash64("text"))
+
     def first(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows, near = [], []
+        rows, entities, terms = [], [], []
         for x in batch.column(1):
             text = x.as_py()
             base = base_spans(text)
             rows.append(_row(base, base))
-            near.append(windows(text, base, rule.window))
-        return _batch(batch.column(0), rows, ("near", pa.array(near, _window)))
-
-    found = materialise(map_rows(docs, first, SCHEMA + ", near array<struct<entity:string, window:string, terms:array<string>>>"), "base-spans")
-    evidence = found.select("doc_id", F.explode("near").alias("w")).select("doc_id", "w.entity", "w.window", F.explode("w.terms").alias("term"))
-    terms = materialise(disclosing_terms(evidence, docs, rule).select("term").distinct(), "terms")
-    base = found.drop("near")
+            for out, values in zip((entities, terms), named(text, base), strict=True):
+                out.append(values)
+        listed = pa.list_(pa.string())
+        return _batch(batch.column(0), rows, ("content", batch.column(2)), ("entities", pa.array(entities, listed)), ("terms", pa.array(terms, listed)))
+
+    found = materialise(map_rows(texts, first, SCHEMA + ", content long, entities array<string>, terms array<string>"), "base-spans")
+    evidence = found.filter(F.size("entities") > 0).select("content", "entities", "terms")
+    terms = materialise(disclosing_terms(evidence, texts, rule).select("term").distinct(), "terms")
+    base = found.drop("content", "entities", "terms")
     if terms.isEmpty():
         return base
-    words = docs.select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), TERM_JAVA))).alias("term"))
+    words = word_rows(docs)
     hits = materialise(words.join(small(terms, 64), "term").groupBy("doc_id").agg(F.collect_set("term").alias("terms")).withColumnRenamed("doc_id", "hit_id"), "hits")
     n = hits.count()
     on = F.col("doc_id").eqNullSafe(F.col("hit_id"))

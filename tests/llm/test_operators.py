@@ -315,3 +315,14 @@ def test_html_boilerplate_on_few_pages_goes_and_copies_stay(spark):
     out = {r["page_id"]: r["text"] for r in html_text.main_text(df).collect()}
     assert len(out) == 85 and not any(line in t for t in out.values())
     assert all(len(t.split()) == 60 for i, t in out.items() if i < 200) and all(out[200 + i] == article for i in range(20))
+
+
+def test_pii_terms_of_rare_entities(spark):
+    rows = [(i, f"plain text on things and birds number{i % 40} {i}") for i in range(800)]
+    rows += [(900, f"the zanzibar clerk {'and birds ' * 60} ann@corp.example"), (901, f"bob@corp.example {'plain text ' * 40} harpsichord things"), (902, "things bob@corp.example harpsichord")]
+    rows += [(903, "eve@corp.example number7"), (904, "tim@corp.example kumquat"), (905, "a kumquat on things")]
+    spans = {r["doc_id"]: r["spans"] for r in pii.personal_data(frame(spark, rows)).collect()}
+    for d, word in ((900, "zanzibar"), (901, "harpsichord"), (902, "harpsichord")):
+        at = dict(rows)[d].index(word)
+        assert f"term:{at}:{at + len(word)}" in spans[d]
+    assert all("term" not in spans[d] for d in (0, 903, 904, 905))
