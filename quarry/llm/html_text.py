@@ -117,13 +117,18 @@ def blocks(page: str) -> list[str]:
 
 
 class Hashes(dict):
-    """64-bit hashes of words, the same in every process."""
+    """64-bit hashes of words, the same in every process; emptied when full."""
 
     def __missing__(self, word: str) -> int:
+        if len(self) >= 400_000:
+            self.clear()
         self[word] = value = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest())
         return value
 
 
+HASHES = Hashes()
+
+
 def strings(hashed: np.ndarray, length: int) -> np.ndarray:
     """The fingerprint of the `length` tokens from each place on."""
     n = max(0, len(hashed) - length + 1)
@@ -221,13 +226,13 @@ def repeated_runs(pages: list[list[str]], contents: list[int], min_run: int, bou
     if not len(places):
         return np.zeros(0, np.uint64)
     used, at = np.unique(np.array(ids, np.int64)[places[:, None] + np.arange(min_run)], return_inverse=True)
-    names, hashes = list(words), Hashes()
-    return combine(list(np.array([hashes[names[i]] for i in used.tolist()], np.uint64)[at.reshape(-1, min_run)].T))
+    names = list(words)
+    return combine(list(np.array([HASHES[names[i]] for i in used.tolist()], np.uint64)[at.reshape(-1, min_run)].T))
 
 
 def without(pages: list[list[str]], runs: np.ndarray, min_run: int) -> list[list[str]]:
     """The blocks of some pages without the tokens that some runs cover."""
-    tokens, ends, _ = joined(pages, Hashes())
+    tokens, ends, _ = joined(pages, HASHES)
     places = free(ends, min_run)
     if len(places):
         places = places[among(strings(tokens, min_run)[places], runs)]
@@ -295,7 +300,7 @@ def main_text(pages: DataFrame, min_run: int = 8, min_share: float = 0.05, min_p
     def scan(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [blocks(x.as_py()) for x in batch.column(3)]
         packed = [pack(p) for p in found]
-        more = [pa.array(sketches(found, Hashes())), pa.array([x for x, _ in packed], pa.binary()), pa.array([n for _, n in packed], pa.int64())]
+        more = [pa.array(sketches(found, HASHES)), pa.array([x for x, _ in packed], pa.binary()), pa.array([n for _, n in packed], pa.int64())]
         return pa.record_batch([*batch.columns[:3], *more], ["page_id", "url", "host", "content", "packed", "size"])
 
     scanned = materialise(map_rows(rows, scan, "page_id long, url string, host string, content long, packed binary, size long"), "page-blocks")
@@ -326,7 +331,7 @@ def main_text(pages: DataFrame, min_run: int = 8, min_share: float = 0.05, min_p
 
     def stands(t: pa.Table, runs: np.ndarray) -> pa.Table:
         texts = [unpack(*x) for x in zip(t["packed"].to_pylist(), t["size"].to_pylist(), strict=True)] if len(runs) else []
-        tokens, ends, owner = joined(texts, Hashes())
+        tokens, ends, owner = joined(texts, HASHES)
         at = free(ends, min_run)
         run = strings(tokens, min_run)[at]
         hit = among(run, runs)
