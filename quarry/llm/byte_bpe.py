@@ -12,7 +12,7 @@ crosses such a place, whatever stands around it.
 Decoding is streaming: token bytes pass through an incremental UTF-8 state machine.
 
 Defined results: a null or empty text has no tokens; repeated rows and null ids give one row each; other columns are not
-read; texts of any length are coded whole, in pieces.
+read; texts of any length are coded whole, in pieces, and results leave in batches of a few MB of text.
 """
 
 from __future__ import annotations
@@ -23,11 +23,15 @@ import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import id_text, map_rows
+from .common import id_text, map_rows, portions
+
+#: Text that goes into one batch of results, about.
+OUT_BYTES = 2 << 20
 
 #: White space of the split pattern (fixed values, Unicode White_Space).
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -176,24 +180,25 @@ class Utf8Stream:
 
 
 class _Arcs(dict):
-    """Unit of text -> its ids in decimal, joined by a space; when full, what wasn't met since the last time goes."""
+    """Unit of text -> its ids in decimal, joined by a space; emptied when full. Long units, which hardly come again, are not kept."""
+
+    LONG = 64
 
     def __init__(self, codec: Codec, lead: str):
-        self.codec, self.lead, self.old = codec, lead, {}
+        self.codec, self.lead = codec, lead
 
     def __missing__(self, unit: str) -> str:
-        if len(self) >= self.codec.kept:
-            self.old = dict(self)
-            self.clear()
-        if (out := self.old.get(unit)) is None:
-            encode = self.codec.transducer.encode
-            out = " ".join([str(i) for piece in self.codec.split(self.lead + unit) for i in encode(piece.encode())])
-        self[unit] = out
+        encode = self.codec.transducer.encode
+        out = " ".join([str(i) for piece in self.codec.split(self.lead + unit) for i in encode(piece.encode())])
+        if len(unit) <= self.LONG:
+            if len(self) >= self.codec.kept:
+                self.clear()
+            self[unit] = out
         return out
 
 
 class Codec:
-    """`kept` bounds the units kept as compressed arcs."""
+    """`kept` bounds the units kept as compressed arcs, of _Arcs.LONG characters at most, so their bytes are bounded too."""
 
     STEP = 1 << 15
 
@@ -229,7 +234,7 @@ class Codec:
     def round_trip(self, text: str, want: set[str]) -> dict:
         """Codes and decodes a text piece by piece."""
         count, coded, decoded, stream = 0, hashlib.sha256(), hashlib.sha256(), Utf8Stream()
-        ids: list[int] = []
+        ids: list[np.ndarray] = [np.zeros(0, np.int32)]
         texts: list[str] = []
         for k, part in enumerate(self.coded(text)):
             coded.update((" " * bool(k) + part).encode())
@@ -238,12 +243,12 @@ class Codec:
             back = stream.feed(b"".join(map(self.bytes_of.__getitem__, codes)))
             decoded.update(back.encode())
             if "ids" in want:
-                ids += map(int, codes)
+                ids.append(np.array(codes, np.int32))
             if "decoded" in want:
                 texts.append(back)
         last = stream.close()
         decoded.update(last.encode())
-        return {"n_tokens": count, "ids": ids, "decoded": "".join(texts) + last, "ids_sha256": coded.hexdigest(), "decoded_sha256": decoded.hexdigest()}
+        return {"n_tokens": count, "ids": np.concatenate(ids), "decoded": "".join(texts) + last, "ids_sha256": coded.hexdigest(), "decoded_sha256": decoded.hexdigest()}
 
 
 @lru_cache(maxsize=2)
@@ -258,12 +263,14 @@ TYPES = {"n_tokens": ("long", pa.int64()), "ids": ("array<int>", pa.list_(pa.int
 def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, columns: tuple[str, ...] = tuple(TYPES), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id and the wanted columns of TYPES. ranks_path must be there on every executor."""
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, want = codec(ranks_path, pattern), set(columns)
-        rows = [c.round_trip(x.as_py(), want) for x in batch.column(1)]
-        return pa.record_batch([batch.column(0), *(pa.array([r[k] for r in rows], TYPES[k][1]) for k in columns)], ["doc_id", *columns])
+        for whole in batches:
+            for batch in portions(whole, 1, OUT_BYTES):
+                rows = [c.round_trip(x.as_py(), want) for x in batch.column(1)]
+                yield pa.record_batch([batch.column(0), *(pa.array([r[k] for r in rows], TYPES[k][1]) for k in columns)], ["doc_id", *columns])
 
-    return map_rows(id_text(docs, id_col, text_col), run, "doc_id long, " + ", ".join(f"{k} {TYPES[k][0]}" for k in columns))
+    return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, " + ", ".join(f"{k} {TYPES[k][0]}" for k in columns))
 
 
 def decode_ids(rows: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

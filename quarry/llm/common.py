@@ -22,12 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); one of our own only where it is unset."""
+    """The folder that the cluster shares (spark.checkpoint.dir); in local mode one of our own where it is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         if set_dir.isDefined():
             return set_dir.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="quarry-checkpoint-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -40,6 +42,28 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Tables:
+    """Tables that cut lineage while an operator works, written to the shared folder; those that no result reads any more are deleted."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def write(self, df: DataFrame, label: str) -> DataFrame:
+        path = f"{shared_folder(self.spark)}/quarry/{label}-{uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (out, path)
+        return out
+
+    def drop(self, *keep: DataFrame | None) -> None:
+        """Deletes all but some; only to be called when what was made from the others has been written itself."""
+        stay = {id(df) for df in keep}
+        for key, (_, path) in [x for x in self.paths.items() if x[0] not in stay]:
+            where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+            del self.paths[key]
+
+
 def small(df: DataFrame, row_bytes: int, rows: int | None = None) -> DataFrame:
     """Marks a side for broadcast if its counted rows fit the size bound; otherwise Spark shuffles it."""
     n = df.count() if rows is None else rows
@@ -66,6 +90,15 @@ def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None
     return df.mapInArrow(run, schema)
 
 
+def portions(batch: pa.RecordBatch, column: int, size: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about `size` bytes of a text column, one text at least."""
+    part = np.cumsum(np.diff(raw_bytes(batch.column(column))[1])) // size
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(edges, edges[1:], strict=False):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 def raw_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column without nulls as one array, and the offsets of its n rows (n + 1)."""
     column = column.cast(pa.large_binary())

@@ -132,12 +132,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns; of rows that repeat id and text any one."""
-    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    mark = docs.withColumn("_s", sha_hex(F.coalesce(docs[text_col].cast("string"), F.lit(""))))
-    stay = mark.join(kept, mark[id_col].eqNullSafe(kept["_id"]) & (mark["_s"] == kept["_sha"]), "left_semi")
-    twins = stay.groupBy(F.col(id_col).alias("_id"), F.col("_s").alias("_sha")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    if twins.isEmpty():
-        return stay.drop("_s")
-    on = stay[id_col].eqNullSafe(twins["_id"]) & (stay["_s"] == twins["_sha"])
-    return stay.join(twins, on, "left_anti").unionByName(stay.join(twins, on, "left_semi").dropDuplicates([id_col, "_s"])).drop("_s")
+    """The rows of docs that stay, with all their columns; of rows that repeat id and text any one.
+
+    The rows travel in one struct, so no column name can clash, and meet the few keys that lose a row only.
+    """
+    found = exact_dedup(docs, id_col, text_col).groupBy(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha")).agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("n"))
+    losers = materialise(found.filter("not stays or n > 1").select("id", "sha", "stays"), "losers")
+    n = losers.count()
+    rows = docs.select(docs[id_col].cast("long").alias("key"), sha_hex(F.coalesce(docs[text_col].cast("string"), F.lit(""))).alias("digest"), F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    on = F.col("key").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("sha"))
+    out = rows.join(small(losers, 112, n), on, "left_anti")
+    twins = losers.filter("stays")
+    if not twins.isEmpty():
+        out = out.unionByName(rows.join(small(twins, 112, n), on, "left_semi").dropDuplicates(["key", "digest"]))
+    return out.select("row.*")

@@ -1,21 +1,23 @@
 """N-gram Jaccard join under several global orders of the shingles.
 
 1. Each text becomes a set of 64-bit shingle hashes. Equal sets form one class (their texts may differ in white space or
-   repeats); everything further works on classes. The pass also counts frequent shingles and words by lossy
-   counting over all texts: each map unit reports those in more than a share of its texts, so all that are in a larger
-   share of all texts are among the reports, which stay bounded by 1 / share times the mean number in a text.
-2. Three global orders: shingles with fewer frequent words first, frequent shingles last, then by three different hashes. Sets that reach the threshold share a
-   token of their prefixes under every one of them. Prefix tokens of the first order are dealt to buckets; those that two
-   classes share give candidates; a candidate pair must then also share prefix tokens under the other orders, and only
-   pairs that pass all filters are verified on their whole sets.
-3. Within the classes that share a token, pairs are not all made: in each round the first few members of each token
-   are paired with the others, links join components, and a token whose members lie in one component is done. Members
-   once paired with all others leave. So groups of near copies cost about one pair a member, and no link between
-   components is lost, as rounds go on until no token holds two components.
+   repeats); everything further works on classes.
+2. Three global orders by three hashes; under the first, shingles that `heavy` texts or more hold come last (at most
+   `table_rows` of them, the most frequent, so that the table that tells them has a bound). Sets that reach the threshold
+   share a token of their prefixes under every order. Prefix tokens of the first order are dealt to buckets; those that
+   two classes share form groups. A candidate pair must pass the filters of sizes and of positions (what is common up to
+   the last shared prefix token and what can still follow), then share prefix tokens under the other two orders too;
+   only then it is verified on its whole sets.
+3. Pairs of a group are not all made. In a voting round each class meets only the one hub, a class of the largest component
+   of a group, with which it shares most groups; links join components, and groups inside one component are done. Voting
+   goes on while it links and much is left. Then the classes outside a group's largest component meet all others of the
+   group, in large groups some at a time: a class that has met all others leaves, and rounds go on until no group holds
+   two components. So a group of near copies costs about one pair a member, and no link between components is lost.
 
 Defined results: a null or empty text, or one of white space only, has no shingles, links with nothing and is its own
 component; of repeated ids the components are united under the smallest id; a null id takes the smallest id of its
-component (null if it has none); an empty table gives no rows; other columns are not read.
+component (null if it has none); an empty table gives no rows; other columns are not read; a text's set is held whole,
+some 60 bytes of memory for each of its words.
 """
 
 from __future__ import annotations
@@ -27,28 +29,32 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.broadcast import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .buckets import pack, unpack
-from .common import Powers, id_text, map_rows, materialise, mix, raw_bytes, small
+from .common import Powers, Tables, id_text, map_rows, mix, portions, raw_bytes, small
 
 BLOCK = 1 << 20
+#: Text that a map unit works on at once.
+UNIT_BYTES = 3 << 20
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 NO_ID = -(1 << 63)
-NAMES = ["did", "n", "cid", "kind", "token", "count"]
-SHINGLE, WORD = 0, 1
 
 
 @dataclass(frozen=True)
 class Rule:
     words: int = 5
     percent: int = 80
-    frequent: float = 0.0004
-    frequent_word: float = 0.01
-    hubs: tuple[int, ...] = (1, 6, 40, 400)
+    heavy: int = 12
+    table_rows: int = 1 << 21
+    #: Pairs of a group that the first round after voting makes, about; each later one makes four times as many.
+    pairs: int = 1 << 22
+    #: Voting ends when at most so many pairs are left for each row that the groups had at first, or when it links little.
+    left: int = 4
 
 
 _powers = Powers(0x9E3779B97F4A7C15 | 1, 20)
@@ -85,50 +91,26 @@ def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values if len(known) else np.zeros(len(values), bool)
 
 
-@dataclass(frozen=True)
-class Frequent:
-    """Hashes of frequent shingles and words, sorted."""
-
-    shingles: np.ndarray
-    words: np.ndarray
-
-
-@dataclass(frozen=True)
-class Set:
-    """A text's shingles: sorted hashes, and for each how late it stands in every order (0 first)."""
-
-    tokens: np.ndarray
-    late: np.ndarray
-
-
-def shingle_sets(texts: pa.Array, words: int, frequent: Frequent | None = None) -> tuple[list[Set], list[np.ndarray]]:
-    """(set of each text, distinct words of each text)."""
+def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
+    """The set of each text, as sorted hashes."""
     data, offsets = raw_bytes(texts)
     hashes, first = word_hashes(data, offsets)
     factors = [np.uint64(pow(0xC2B2AE3D27D4EB4F, k + 1, 1 << 64)) for k in range(words)]
     n = max(0, len(hashes) - words + 1)
-    rolled, late = np.zeros(n, np.uint64), np.zeros(n, np.uint8)
-    common = _among(hashes, frequent.words).astype(np.uint8) if frequent else np.zeros(len(hashes), np.uint8)
+    rolled = np.zeros(n, np.uint64)
     for k, f in enumerate(factors):
         rolled += hashes[k : k + n] * f
-        late += common[k : k + n]
     rolled = mix(rolled, 5)
-    late = np.minimum(late, 6)
-    if frequent:
-        late[_among(rolled, frequent.shingles)] = 7
-    sets, vocabularies = [], []
+    sets = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         if b - a >= words:
-            tokens, at = np.unique(rolled[a : b - words + 1], return_index=True)
-            sets.append(Set(tokens, late[a : b - words + 1][at]))
+            sets.append(np.unique(rolled[a : b - words + 1]))
         elif b > a:
             whole = sum(int(h) * int(f) for h, f in zip(hashes[a:b], factors, strict=False)) + (b - a) & (1 << 64) - 1
-            sets.append(Set(mix(np.array([whole], np.uint64), 6), np.zeros(1, np.uint8)))
+            sets.append(mix(np.array([whole], np.uint64), 6))
         else:
-            sets.append(Set(hashes[:0], late[:0]))
-        if frequent is None:
-            vocabularies.append(np.unique(hashes[a:b]))
-    return sets, vocabularies
+            sets.append(hashes[:0])
+    return sets
 
 
 def class_of(tokens: np.ndarray) -> bytes | None:
@@ -139,69 +121,119 @@ def prefix_length(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
-def prefix(own: Set, order: int, percent: int) -> np.ndarray:
-    """The tokens that come first under one global order: those with fewer frequent words first, frequent shingles last, then by a hash."""
-    p = prefix_length(len(own.tokens), percent)
-    if p >= len(own.tokens):
-        return own.tokens
-    rank = (mix(own.tokens, 100 + order) >> np.uint64(4)) | (own.late.astype(np.uint64) << np.uint64(60))
-    return own.tokens[np.argpartition(rank, p - 1)[:p]]
+def rank(tokens: np.ndarray, order: int) -> np.ndarray:
+    return mix(tokens, 100 + order)
+
 
+def first_ranks(tokens: np.ndarray, heavy: np.ndarray) -> np.ndarray:
+    """Under the first order: shingles of the sorted table `heavy` (40 bits of the rank) come last."""
+    own = rank(tokens, 0)
+    return (own >> np.uint64(1)) | (_among(own >> np.uint64(24), heavy).astype(np.uint64) << np.uint64(63))
 
-def _batches(batch: pa.RecordBatch, size: int = 24 << 20) -> Iterator[pa.RecordBatch]:
-    """Parts of about `size` bytes of text."""
-    lengths = np.diff(raw_bytes(batch.column(1))[1])
-    part = np.cumsum(lengths) // size
-    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
-    for a, b in zip(edges, edges[1:], strict=False):
-        if b > a:
-            yield batch.slice(a, b - a)
+
+def foremost(tokens: np.ndarray, ranks: np.ndarray, percent: int) -> np.ndarray:
+    """The places of the tokens that come first, in order."""
+    p = prefix_length(len(tokens), percent)
+    least = np.argpartition(ranks, p - 1)[:p] if p < len(tokens) else np.arange(len(tokens))
+    return least[np.argsort(ranks[least])]
 
 
 def _long(tokens: np.ndarray) -> np.ndarray:
     return tokens.view(np.int64)
 
 
+SETS = "did long, n long, cid binary, second array<int>, third array<int>"
+
+
 def _sets_pass(docs: DataFrame, rule: Rule) -> DataFrame:
-    """Rows of texts (did, n, cid), and reports of frequent shingles and words (kind, token, count; did is null)."""
+    """Rows of texts (did, n, cid, prefixes under the other orders as 32 bits of each token).
 
-    def report(kind: int, parts: list[np.ndarray], share: float) -> pa.RecordBatch | None:
-        tokens, counts = np.unique(np.concatenate(parts), return_counts=True)
-        often = counts >= max(3, share * len(parts))
-        m = int(often.sum())
-        empty = [pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary())]
-        return pa.record_batch([*empty, pa.array(np.full(m, kind, np.int32)), pa.array(_long(tokens[often])), pa.array(counts[often].astype(np.int64))], NAMES) if m else None
+    The prefixes stand at one text of each class and map unit; a collision only lets a pair pass.
+    """
+    listed = pa.list_(pa.int32())
+    names = [x.split(" ")[0] for x in SETS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in _batches(whole):
-                sets, vocabularies = shingle_sets(batch.column(1), rule.words)
-                k = len(sets)
-                yield pa.record_batch([batch.column(0), pa.array([len(s.tokens) for s in sets], pa.int64()), pa.array([class_of(s.tokens) for s in sets], pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], NAMES)
-                for out in (report(SHINGLE, [s.tokens for s in sets], rule.frequent), report(WORD, vocabularies, rule.frequent_word)):
-                    if out is not None:
-                        yield out
+            for batch in portions(whole, 1, UNIT_BYTES):
+                sets = shingle_sets(batch.column(1), rule.words)
+                cids, fresh = classes(sets)
+                others = [pa.array([None if s is None else s[foremost(s, rank(s, order), rule.percent)].astype(np.uint32).view(np.int32) for s in fresh], listed) for order in (1, 2)]
+                yield pa.record_batch([batch.column(0), pa.array(list(map(len, sets)), pa.int64()), pa.array(cids, pa.binary()), *others], names)
+
+    return docs.mapInArrow(run, SETS)
 
-    return docs.mapInArrow(run, "did long, n long, cid binary, kind int, token long, count long")
 
+def classes(sets: list[np.ndarray]) -> tuple[list[bytes | None], list[np.ndarray | None]]:
+    """(class of each set, the set where its class stands first)."""
+    cids, met, fresh = [class_of(s) for s in sets], set(), []
+    for s, c in zip(sets, cids, strict=True):
+        fresh.append(None if c is None or c in met else s)
+        met.add(c)
+    return cids, fresh
 
-def _shared_tokens(docs: DataFrame, rule: Rule, frequent: Frequent, buckets: int) -> DataFrame:
-    """(token, did) of prefix tokens under the first order that more than one text holds."""
+
+def _heavy(docs: DataFrame, rule: Rule, buckets: int, tables: Tables) -> np.ndarray:
+    """The table of frequent shingles: at most rule.table_rows of those that rule.heavy texts hold, the most frequent.
+
+    Shingles go by 40 bits of their rank; those that share them count as one, which only moves them back in the order.
+    """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in _batches(whole):
-                tokens, owners, met = [], [], set()
-                for did, own in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), rule.words, frequent)[0], strict=True):
-                    if len(own.tokens) and (cid := class_of(own.tokens)) not in met:
+            for batch in portions(whole, 1, UNIT_BYTES):
+                fresh = [rank(s, 0) for s in classes(shingle_sets(batch.column(1), rule.words))[1] if s is not None]
+                if not fresh:
+                    continue
+                key, count = np.unique(np.concatenate(fresh) >> np.uint64(24), return_counts=True)
+                word, bucket = np.divmod(key, np.uint64(buckets))
+                order = np.argsort(bucket, kind="stable")
+                edges = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
+                word, count = word[order].astype(np.uint32), np.minimum(count[order], 255).astype(np.uint8)
+                there = [b for b in range(buckets) if edges[b + 1] > edges[b]]
+                cut = [slice(edges[b], edges[b + 1]) for b in there]
+                yield pa.record_batch([pa.array(there, pa.int64()), pa.array([word[c].tobytes() for c in cut], pa.binary()), pa.array([count[c].tobytes() for c in cut], pa.binary())], ["bucket", "keys", "counts"])
+
+    def meet(t: pa.Table) -> pa.Table:
+        word, count = unpack(t, {"keys": np.uint32, "counts": np.uint8})
+        order = np.argsort(word, kind="stable")
+        word, count = word[order], count[order].astype(np.int64)
+        edge = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+        total = np.add.reduceat(count, edge)
+        often = total >= rule.heavy
+        key = word[edge[often]].astype(np.uint64) * np.uint64(buckets) + np.uint64(t["bucket"][0].as_py())
+        return pa.table({"key": _long(key), "count": total[often]})
+
+    counts = docs.mapInArrow(send, "bucket long, keys binary, counts binary")
+    found = tables.write(counts.groupBy("bucket").applyInArrow(meet, "key long, count long"), "heavy")
+    level, room, least = F.floor(F.log2("count") * 8).cast("int"), rule.table_rows, 0
+    for r in sorted(found.groupBy(level.alias("level")).count().collect(), reverse=True):  # some hundred levels at most
+        room, least = room - r["count"], r["level"]
+        if room < 0:
+            least += 1
+            break
+    table = found.filter(level >= least).select("key").toArrow()["key"]
+    return np.sort(table.to_numpy().astype(np.int64).view(np.uint64))
+
+
+def _shared_tokens(docs: DataFrame, rule: Rule, heavy: Broadcast, buckets: int) -> DataFrame:
+    """(token, did, pos) of prefix tokens under the first order that more than one text holds; pos: place in the order."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in portions(whole, 1, UNIT_BYTES):
+                tokens, owners, places, met = [], [], [], set()
+                for did, own in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), rule.words), strict=True):
+                    if len(own) and (cid := class_of(own)) not in met:
                         met.add(cid)
-                        tokens.append(prefix(own, 0, rule.percent))
+                        tokens.append(own[foremost(own, first_ranks(own, heavy.value), rule.percent)])
                         owners.append(np.full(len(tokens[-1]), did, np.int64))
+                        places.append(np.arange(len(tokens[-1]), dtype=np.uint32))
                 if not tokens:
                     continue
-                token, owner = np.concatenate(tokens), np.concatenate(owners)
+                token, owner, place = map(np.concatenate, (tokens, owners, places))
                 order = np.argsort(token, kind="stable")
-                token, owner = token[order], owner[order]
+                token, owner, place = token[order], owner[order], place[order]
                 fresh = np.ones(len(token), bool)
                 fresh[1:] = token[1:] != token[:-1]
                 alone = fresh.copy()
@@ -210,56 +242,41 @@ def _shared_tokens(docs: DataFrame, rule: Rule, frequent: Frequent, buckets: int
                 flags = (fresh & ~alone).astype(np.uint8)
                 one = np.flatnonzero(fresh)
                 one = one[np.argsort(owner[one], kind="stable")]  # runs of owners pack well
-                out = pack(buckets, token[one], {"owners": owner[one], "flags": flags[one]})
+                out = pack(buckets, token[one], {"owners": owner[one], "places": place[one], "flags": flags[one]})
                 if out is not None:
                     yield out
                 several = ~alone
                 if several.any():
                     key = int(token[0] >> np.uint64(3)) | 1 << 60  # a group of its own
-                    yield pa.record_batch([pa.array([key], pa.int64()), pa.array([token[several].tobytes()], pa.binary()), pa.array([owner[several].tobytes()], pa.binary()), pa.array([b""], pa.binary())], ["bucket", "keys", "owners", "flags"])
+                    yield pa.record_batch([pa.array([key], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in (token[several], owner[several], place[several], flags[:0]))], ["bucket", "keys", "owners", "places", "flags"])
 
     def meet(t: pa.Table) -> pa.Table:
-        if t["bucket"][0].as_py() >= 1 << 60:
-            token, owner = unpack(t, {"keys": np.uint64, "owners": np.int64})
-            return pa.table({"token": _long(token), "did": owner})
-        token, owner, flag = unpack(t, {"keys": np.uint64, "owners": np.int64, "flags": np.uint8})
-        order = np.argsort(token, kind="stable")
-        token, owner, flag = token[order], owner[order], flag[order]
-        same = token[1:] == token[:-1]
-        keep = np.zeros(len(token), bool)
-        keep[1:] |= same
-        keep[:-1] |= same
-        keep &= flag == 0  # flagged rows have gone on already
-        return pa.table({"token": _long(token[keep]), "did": owner[keep]})
-
-    return docs.mapInArrow(send, "bucket long, keys binary, owners binary, flags binary").groupBy("bucket").applyInArrow(meet, "token long, did long")
-
-
-def _of_classes(docs: DataFrame, rows: DataFrame, cids: DataFrame) -> DataFrame:
-    """A text of each class."""
-    firsts = materialise(rows.join(cids, "cid", "left_semi").groupBy("cid").agg(F.min("did").alias("did")).select("did").distinct(), "firsts")
-    return docs.join(small(firsts, 16), "did", "left_semi")
-
+        token, owner, place, flag = unpack(t, {"keys": np.uint64, "owners": np.int64, "places": np.uint32, "flags": np.uint8})
+        if t["bucket"][0].as_py() < 1 << 60:
+            order = np.argsort(token, kind="stable")
+            token, owner, place, flag = token[order], owner[order], place[order], flag[order]
+            same = token[1:] == token[:-1]
+            keep = np.zeros(len(token), bool)
+            keep[1:] |= same
+            keep[:-1] |= same
+            keep &= flag == 0  # flagged rows have gone on already
+            token, owner, place = token[keep], owner[keep], place[keep]
+        return pa.table({"token": _long(token), "did": owner, "pos": place.astype(np.int64)})
 
-def _other_prefixes(docs: DataFrame, rule: Rule, frequent: Frequent) -> DataFrame:
-    """(cid, second, third): prefixes under the other orders, 32 bits of each token (a collision only lets a pair pass)."""
+    return docs.mapInArrow(send, "bucket long, keys binary, owners binary, places binary, flags binary").groupBy("bucket").applyInArrow(meet, "token long, did long, pos long")
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [s for s in shingle_sets(batch.column(1), rule.words, frequent)[0] if len(s.tokens)]
-        others = [pa.array([prefix(s, k, rule.percent).astype(np.uint32).view(np.int32) for s in rows], pa.list_(pa.int32())) for k in (1, 2)]
-        return pa.record_batch([pa.array([class_of(s.tokens) for s in rows], pa.binary()), *others], ["cid", "second", "third"])
-
-    return map_rows(docs, run, "cid binary, second array<int>, third array<int>").dropDuplicates(["cid"])
 
+def _whole_sets(docs: DataFrame, rows: DataFrame, cids: DataFrame, rule: Rule, tables: Tables) -> DataFrame:
+    """(cid, tokens) of some classes: the sets, as sorted 64-bit hashes."""
+    firsts = tables.write(rows.join(cids, "cid", "left_semi").groupBy("cid").agg(F.min("did").alias("did")).select("did").distinct(), "firsts")
 
-def _whole_sets(docs: DataFrame, rule: Rule) -> DataFrame:
-    """(cid, tokens): the sets, as sorted 64-bit hashes."""
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [s.tokens for s in shingle_sets(batch.column(1), rule.words)[0] if len(s.tokens)]
-        return pa.record_batch([pa.array(map(class_of, rows), pa.binary()), pa.array([s.tobytes() for s in rows], pa.binary())], ["cid", "tokens"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in portions(whole, 1, UNIT_BYTES):
+                found = [s for s in shingle_sets(batch.column(1), rule.words) if len(s)]
+                yield pa.record_batch([pa.array(map(class_of, found), pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], ["cid", "tokens"])
 
-    return map_rows(docs, run, "cid binary, tokens binary").dropDuplicates(["cid"])
+    return docs.join(small(firsts, 16), "did", "left_semi").select("did", "text").mapInArrow(run, "cid binary, tokens binary").dropDuplicates(["cid"])
 
 
 def _both(pairs: DataFrame, table: DataFrame, *cols: str) -> DataFrame:
@@ -268,8 +285,10 @@ def _both(pairs: DataFrame, table: DataFrame, *cols: str) -> DataFrame:
     return pairs
 
 
-def passing(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
+def passing(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """The candidate pairs (a, b) that share prefix tokens under the other orders too."""
+    need = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
+    prefixes = rows.filter("second is not null").join(need, "cid", "left_semi").dropDuplicates(["cid"])
     return _both(pairs, prefixes, "second", "third").filter(F.arrays_overlap("second_a", "second_b") & F.arrays_overlap("third_a", "third_b")).select("a", "b")
 
 
@@ -287,71 +306,121 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_rows(_both(pairs, sets, "tokens").select("a", "b", "tokens_a", "tokens_b"), run, "a binary, b binary")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(cid, label) of linked classes, label the smallest cid: smallest neighbour's label, then a jump to the label's label."""
-    edges = materialise(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
-    labels = materialise(edges.groupBy(F.col("a").alias("cid")).agg(F.least(F.min("a"), F.min("b")).alias("label")), "labels")
+def components(links: DataFrame, tables: Tables) -> DataFrame:
+    """(cid, label, was) of linked classes, label the smallest cid: smallest neighbour's label, then a jump to the label's label."""
+    edges = tables.write(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
+    labels = tables.write(edges.groupBy(F.col("a").alias("cid")).agg(F.least(F.min("a"), F.min("b")).alias("label")), "labels")
     while True:
         near = edges.join(labels.select(F.col("cid").alias("b"), "label"), "b").groupBy(F.col("a").alias("cid")).agg(F.min("label").alias("near"))
         low = labels.join(near, "cid").select("cid", F.least("label", "near").alias("low"), F.col("label").alias("was"))
         jump = labels.select(F.col("cid").alias("low"), F.col("label").alias("jumped"))
-        new = materialise(low.join(jump, "low").select("cid", F.least("low", "jumped").alias("label"), "was"), "labels")
+        new = tables.write(low.join(jump, "low").select("cid", F.least("low", "jumped").alias("label"), "was"), "labels")
         labels = new.select("cid", "label")
         if new.filter("label <> was").isEmpty():
-            return labels
+            return new
+
+
+def _can(na: Column, pa_: Column, nb: Column, pb: Column, before: Column, percent: int) -> Column:
+    """Whether sizes allow the threshold, given a common token at these places and at most so many common ones up to it."""
+    most = before + F.least(na - pa_, nb - pb) - 1
+    return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (most * (100 + percent) >= (na + nb) * percent)
+
+
+def _votes(group: DataFrame, salt: int, percent: int) -> DataFrame:
+    """Pairs (a, b): each class outside a group's largest component and the hub with which it shares most groups.
+
+    At first the hubs are the classes that stand in most groups, as a text with few words of its own is close to most of
+    its copies; later ones are drawn by a hash.
+    """
+    order = F.xxhash64(F.lit(salt), "cid") if salt else F.col("stands")
+    hub = F.max(F.struct(order.alias("h"), "cid", "n", "pos"))
+    parts = group.groupBy("token", "label").agg(F.count(F.lit(1)).alias("m"), hub.alias("hub"))
+    best = parts.groupBy("token").agg(F.max(F.struct("m", "hub.h", "label", "hub")).alias("best")).select("token", F.col("best.label").alias("lh"), F.col("best.hub").alias("hub"))
+    met = group.join(best, "token").filter("label <> lh").select(F.col("cid").alias("b"), F.col("hub.cid").alias("a"), "n", "pos", F.col("hub.n").alias("nh"), F.col("hub.pos").alias("ph"))
+    met = met.filter(_can(F.col("n"), F.col("pos"), F.col("nh"), F.col("ph"), F.least("pos", "ph") + 1, percent))
+    votes = met.groupBy("b", "a").agg(F.count(F.lit(1)).alias("votes")).groupBy("b").agg(F.max(F.struct("votes", "a")).alias("best"))
+    return votes.select(F.least("b", "best.a").alias("a"), F.greatest("b", "best.a").alias("b")).distinct()
+
+
+def _everyone(group: DataFrame, sizes: DataFrame, salt: int, most: int, percent: int, tables: Tables) -> tuple[DataFrame, DataFrame]:
+    """(pairs, those who leave): of the classes outside a group's largest component some meet all others of the group."""
+    # `share` of them, by a hash that changes with each round, so that about `most` pairs of a group are made, of two classes at least
+    share = sizes.select("token", F.col("label").alias("most"), (F.greatest(F.lit(float(most)), 2 * F.col("m")) / (F.col("minor") * F.col("m"))).alias("share"))
+    marked = group.join(share, "token")
+    drawn = (F.pmod(F.xxhash64(F.lit(salt), "cid"), F.lit(1 << 20)) < F.col("share") * (1 << 20)) | (F.col("share") >= 1)
+    marked = marked.withColumn("hub", (F.col("label") != F.col("most")) & drawn).withColumn("whole", F.col("share") >= 1)
+    marked = tables.write(marked.select("token", "cid", "n", "pos", "label", "hub", "whole"), "hubs")
+    hubs = marked.filter("hub")
+    # the count of common tokens is only known for classes all of whose groups are compared at once
+    crowded = marked.filter("not whole").select("cid").distinct()
+    x = hubs.select("token", F.col("cid").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("label").alias("lx"))
+    y = marked.select("token", F.col("cid").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), F.col("label").alias("ly"), "hub")
+    met = x.join(y, "token").filter((F.col("lx") != F.col("ly")) & (~F.col("hub") | (F.col("x") < F.col("y"))))
+    met = met.filter(_can(F.col("nx"), F.col("px"), F.col("ny"), F.col("py"), F.least("px", "py") + 1, percent))
+    first = F.col("x") < F.col("y")
+    pick = lambda p, q, name: F.when(first, F.col(p)).otherwise(F.col(q)).alias(name)
+    met = met.select(pick("x", "y", "a"), pick("y", "x", "b"), pick("nx", "ny", "na"), pick("ny", "nx", "nb"), pick("px", "py", "pa"), pick("py", "px", "pb"))
+    pairs = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"), *(F.max(c).alias(c) for c in ("na", "nb", "pa", "pb")))
+    if crowded.isEmpty():
+        known = F.lit(True)
+    else:
+        crowded = tables.write(crowded.withColumn("is", F.lit(True)), "crowded")
+        for k in ("a", "b"):
+            pairs = pairs.join(crowded.select(F.col("cid").alias(k), F.col("is").alias(f"c{k}")), k, "left")
+        known = F.col("ca").isNull() | F.col("cb").isNull()
+    return pairs.filter(~known | _can(F.col("na"), F.col("pa"), F.col("nb"), F.col("pb"), F.col("common"), percent)).select("a", "b"), hubs.select("token", "cid")
 
 
 def near_duplicates(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id."""
     docs = id_text(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("did"), "text")
-    first = materialise(_sets_pass(docs, rule), "sets-pass")
-    rows = first.filter("n is not null").select("did", "n", "cid")
-    size = rows.agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("tokens")).first()
-    reports = first.filter("kind is not null").groupBy("kind", "token").agg(F.sum("count").alias("count"))
-    share = F.when(F.col("kind") == SHINGLE, rule.frequent).otherwise(rule.frequent_word)
-    # bounded by 8 / share times the mean number of shingles and words of a text, whatever the number of texts
-    often = reports.filter(F.col("count") >= F.greatest(F.lit(3.0), share * size["rows"] / 8)).select("kind", "token").toArrow()
-    kinds, tokens = often["kind"].to_numpy(), often["token"].to_numpy().view(np.uint64)
-    frequent = Frequent(np.sort(tokens[kinds == SHINGLE]), np.sort(tokens[kinds == WORD]))
-    sent = (size["tokens"] or 0) * (100 - rule.percent) / 100
-    buckets = max(64, math.ceil(sent * 17 / (4 << 20)))
-    held = _shared_tokens(docs, rule, frequent, buckets).join(rows.filter("cid is not null").distinct(), "did").select("token", "cid", "n").distinct()
-    held = materialise(held, "held")
-    shared = held.groupBy("token").agg(F.min("cid").alias("low"), F.max("cid").alias("high")).filter("low < high").select("token")
-    group = materialise(held.join(shared, "token"), "groups")
-    links = None
-    labels = None
-    if not group.isEmpty():
-        prefixes = materialise(_other_prefixes(_of_classes(docs, rows, group.select("cid").distinct()), rule, frequent), "prefixes")
-        sets = None
-        for k in [*rule.hubs, *([rule.hubs[-1]] * 1000)]:
-            hub = group.withColumn("at", F.row_number().over(W.partitionBy("token").orderBy("cid"))).filter(F.col("at") <= k).drop("at")
-            hub = materialise(hub, "hubs")
-            label = ["label"] if labels is not None else []
-            pairs = hub.select("token", F.col("cid").alias("a"), F.col("n").alias("na"), *(F.col(x).alias("la") for x in label)).join(group.select("token", F.col("cid").alias("b"), F.col("n").alias("nb"), *(F.col(x).alias("lb") for x in label)), "token")
-            pairs = pairs.filter((F.col("a") != F.col("b")) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * rule.percent))
-            if label:
-                pairs = pairs.filter("la <> lb")
-            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-            passed = materialise(passing(pairs, prefixes), "passed")
-            need = passed.select(F.col("a").alias("cid")).union(passed.select("b")).distinct()
-            if sets is not None:
-                need = need.join(sets.select("cid"), "cid", "left_anti")
-            more = materialise(_whole_sets(_of_classes(docs, rows, need), rule), "whole-sets")
-            sets = more if sets is None else sets.union(more)
-            found = materialise(verified(passed, sets, rule.percent), "links")
+    tables = Tables(docs.sparkSession)
+    rows = tables.write(_sets_pass(docs, rule), "sets-pass")
+    tokens = rows.agg(F.sum("n")).first()[0] or 0
+    heavy = docs.sparkSession.sparkContext.broadcast(_heavy(docs, rule, max(256, math.ceil(tokens * 5 / (4 << 20))), tables))
+    buckets = max(64, math.ceil(tokens * (100 - rule.percent) / 100 * 21 / (4 << 20)))
+    named = rows.select("did", "cid", "n").filter("cid is not null").distinct()
+    group = tables.write(_shared_tokens(docs, rule, heavy, buckets), "shared").join(small(named, 48), "did").groupBy("token", "cid").agg(F.max("n").alias("n"), F.max("pos").alias("pos"))
+    group = tables.write(group.withColumn("label", F.col("cid")).withColumn("stands", F.count(F.lit(1)).over(W.partitionBy("cid"))), "groups")
+    links = labels = whole = sets = None
+    salt, voting, most, at_first, linked = 0, True, rule.pairs, 0, 0
+    while True:
+        if labels is not None:
+            group = group.drop("label").join(small(labels, 48), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+        parts = group.groupBy("token", "label").agg(F.count(F.lit(1)).alias("m"))
+        sizes = parts.groupBy("token").agg(F.sum("m").alias("m"), F.max(F.struct("m", "label")).alias("most")).select("token", "m", (F.col("m") - F.col("most.m")).alias("minor"), F.col("most.label").alias("label")).filter("minor > 0")
+        sizes = tables.write(sizes, "sizes")
+        group = tables.write(group.join(sizes.select("token"), "token", "left_semi").select("token", "cid", "n", "pos", "stands", "label"), "groups")
+        left, held = sizes.agg(F.sum(F.col("minor") * F.col("m")), F.sum("m")).first()
+        if not held:
+            break
+        at_first = at_first or held
+        voting = salt == 0 or voting and left > rule.left * at_first
+        if voting:
+            pairs = _votes(group, salt, rule.percent)
+        else:
+            pairs, leaving = _everyone(group, sizes, salt, most, rule.percent, tables)
+            most *= 4
+            group = group.join(leaving, ["token", "cid"], "left_anti")
+        salt += 1
+        passed = tables.write(passing(tables.write(pairs, "pairs"), rows), "passed")
+        need = passed.select(F.col("a").alias("cid")).union(passed.select("b")).distinct()
+        if sets is not None:
+            need = need.join(sets.select("cid"), "cid", "left_anti")
+        more = tables.write(_whole_sets(docs, rows, need, rule, tables), "whole-sets")
+        sets = more if sets is None else sets.union(more)
+        found = tables.write(verified(passed, sets, rule.percent), "links")
+        n = found.count()
+        linked = max(linked, n)
+        voting &= n * 10 >= linked > 0
+        if n:
             links = found if links is None else links.union(found)
-            if not found.isEmpty() or labels is None:
-                labels = components(links)
-            rest = group.drop("label").join(hub.select("token", "cid"), ["token", "cid"], "left_anti")
-            rest = rest.join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-            left = rest.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("token")
-            group = materialise(rest.join(left, "token").select("token", "cid", "n", "label"), "groups")
-            if group.isEmpty():
-                break
-    named = rows.withColumn("label", F.col("cid"))
+            whole = components(links, tables)
+            labels = whole.select("cid", "label")
+    tables.drop(rows, whole)
+    named = rows.select("did", "n", "cid").withColumn("label", F.col("cid"))
     if labels is not None:
-        named = rows.join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+        named = rows.select("did", "n", "cid").join(small(labels, 48), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     lowest = named.filter("label is not null").groupBy("label").agg(F.min(F.when(F.col("did") != NO_ID, F.col("did"))).alias("component_id"))
     own = F.when(F.col("did") != NO_ID, F.col("did"))
     return named.join(lowest, "label", "left").select(own.alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("label").isNull(), own).otherwise(F.col("component_id")).alias("component_id"))

@@ -31,8 +31,8 @@ class Rules:
     max_repeat_words_pct: int = 50
     #: Repeats shorter than this many words don't count as such.
     min_repeat: int = 10
-    max_covered_pct: int = 40
-    max_longest_pct: int = 30
+    max_covered_pct: int = 25
+    max_longest_pct: int = 15
 
 
 def suffix_array(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

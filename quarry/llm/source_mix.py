@@ -9,7 +9,8 @@ that order, up to the flow, are taken. A document at the border is taken in part
 
 The order is cut into buckets whose sums give each document's place, so no task holds a whole source.
 
-Defined results: a null text has size 0 and is never taken; a null source is a source of its own, last in order; null
+Defined results: a null text has size 0 and is never taken; a null source (or array of
+sources) is a source of its own, last in order; a document with an empty array is in no source and is not taken; null
 ids and repeated rows give one row each; without any words nothing is taken; other columns are not read.
 """
 
@@ -89,14 +90,37 @@ def min_cost_flow(n: int, arcs: list[tuple[int, int, int, int]], source: int, si
 
 
 def route(patterns: list[tuple[tuple[int, ...], int]], quotas: list[int], max_repeats: int) -> list[list[int]]:
-    """Words that each pattern (sources, words) yields at each repetition."""
-    m = len(patterns)
-    first = 2 + m  # nodes: source, sink, patterns, quotas
-    arcs = [(0, 2 + i, words, level) for i, (_, words) in enumerate(patterns) for level in range(max_repeats)]
-    arcs += [(2 + i, first + s, words * max_repeats, 0) for i, (members, words) in enumerate(patterns) for s in members]
-    arcs += [(first + s, 1, q, 0) for s, q in enumerate(quotas)]
-    flow = min_cost_flow(first + len(quotas), arcs, 0, 1)
-    return [flow[i * max_repeats : (i + 1) * max_repeats] for i in range(m)]
+    """Words that each pattern (sources, words) yields at each repetition.
+
+    Patterns that have no source in common, not even over others, don't touch each other's flow: each connected part of
+    the network is solved by itself, so the work grows with the largest part and not with the number of sources.
+    """
+    top = list(range(len(quotas)))
+
+    def root(s: int) -> int:
+        while top[s] != s:
+            top[s] = s = top[top[s]]
+        return s
+
+    for members, _ in patterns:
+        for s in members[1:]:
+            top[root(s)] = root(members[0])
+    parts: dict[int, list[int]] = {}
+    for i, (members, _) in enumerate(patterns):
+        if members:
+            parts.setdefault(root(members[0]), []).append(i)
+    out = [[0] * max_repeats for _ in patterns]
+    for own in parts.values():
+        m = len(own)
+        sources = sorted({s for i in own for s in patterns[i][0]})
+        node = {s: 2 + m + k for k, s in enumerate(sources)}  # nodes: source, sink, patterns, quotas
+        arcs = [(0, 2 + k, patterns[i][1], level) for k, i in enumerate(own) for level in range(max_repeats)]
+        arcs += [(2 + k, node[s], patterns[i][1] * max_repeats, 0) for k, i in enumerate(own) for s in patterns[i][0]]
+        arcs += [(node[s], 1, quotas[s], 0) for s in sources]
+        flow = min_cost_flow(2 + m + len(sources), arcs, 0, 1)
+        for k, i in enumerate(own):
+            out[i] = flow[k * max_repeats : (k + 1) * max_repeats]
+    return out
 
 
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), budget: float = 1.5, max_repeats: int = 2, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -106,14 +130,18 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), budget:
     members. The driver holds a number for each pattern and source, never for documents.
     """
     several = dict(docs.dtypes)[source_col].startswith("array")
-    members = F.array_sort(F.array_distinct(F.col(source_col))) if several else F.array(docs[source_col].cast("string"))
+    nowhere = F.array(F.lit(None).cast("string"))
+    members = F.coalesce(F.array_sort(F.array_distinct(docs[source_col].cast("array<string>"))), nowhere) if several else F.array(docs[source_col].cast("string"))
     size = F.when(docs[text_col].isNull(), 0).otherwise(F.regexp_count(docs[text_col].cast("string"), F.lit(r"[^\x20\x09-\x0D]+"))).cast("long")
     sized = materialise(docs.select(docs[id_col].cast("long").alias("doc_id"), members.alias("members"), size.alias("size")), "sizes")
     totals = sized.groupBy("members").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()
     key = lambda s: (s is None, (s or "").encode())  # noqa: E731  bytes of UTF-8 stand in the order of code points
     sources = sorted({s for r in totals for s in r["members"]}, key=key)
     place = {s: i for i, s in enumerate(sources)}
-    sizes = [sum(r["size"] for r in totals if s in r["members"]) for s in sources]
+    sizes = [0] * len(sources)
+    for r in totals:
+        for s in r["members"]:
+            sizes[place[s]] += r["size"]
     targets = water_fill(sizes, [weights[i % len(weights)] for i in range(len(sources))], budget * sum(r["size"] for r in totals), max_repeats)
     patterns = [(tuple(place[s] for s in r["members"]), r["size"]) for r in totals]
     flows = route(patterns, [round(t) for t in targets], max_repeats)
@@ -142,6 +170,7 @@ def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     Rows that repeat an id get the largest count of that id.
     """
     counts = mix_sources(docs, id_col=id_col, text_col=text_col, source_col=source_col, **how)
-    times = counts.filter("taken > 0").select(F.col("doc_id").alias("_id"), F.ceil(F.col("taken") / F.col("size")).cast("int").alias("_times")).groupBy("_id").agg(F.max("_times").alias("_times"))
-    joined = docs.join(times, docs[id_col].cast("long").eqNullSafe(times["_id"]))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[joined[c] for c in docs.columns])
+    times = counts.filter("taken > 0").select(F.col("doc_id").alias("id"), F.ceil(F.col("taken") / F.col("size")).cast("int").alias("times")).groupBy("id").agg(F.max("times").alias("times"))
+    rows = docs.select(docs[id_col].cast("long").alias("key"), F.struct(*(docs[c] for c in docs.columns)).alias("row"))  # one struct: no names clash
+    joined = rows.join(times, F.col("key").eqNullSafe(F.col("id")))
+    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")

@@ -125,5 +125,5 @@ def quality(text, min_repeat=10):
             if k >= min_repeat:
                 longest = max(longest, k)
                 covered |= set(range(i, i + k)) | set(range(j, j + k))
-    kept = not failed and 100 * len(covered) <= 40 * n and 100 * longest <= 30 * n
+    kept = not failed and 100 * len(covered) <= 25 * n and 100 * longest <= 15 * n
     return n, sum(map(len, w)), sum(text.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(repeat), failed, kept

@@ -101,7 +101,7 @@ def test_pieces_of_huge_texts(monkeypatch):
         assert sorted(starts) == [int(o) + i for o, x in zip(offsets, parts) for i in range(len(x) - 49)]
 
 
-@pytest.mark.parametrize("rule", [jaccard_join.Rule(4, 85), jaccard_join.Rule(2, 60, hubs=(1, 2))])
+@pytest.mark.parametrize("rule", [jaccard_join.Rule(4, 85), jaccard_join.Rule(2, 60, heavy=3, pairs=20, left=1), jaccard_join.Rule(3, 70, table_rows=40)])
 def test_jaccard_join(spark, rule):
     rows = texts(4)
     assert got(jaccard_join.near_duplicates(frame(spark, rows), rule)) == plain.near(rows, rule.words, rule.percent)
