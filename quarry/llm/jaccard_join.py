@@ -321,9 +321,16 @@ def components(links: DataFrame, tables: Tables) -> DataFrame:
 
 
 def _can(na: Column, pa_: Column, nb: Column, pb: Column, before: Column, percent: int) -> Column:
-    """Whether sizes allow the threshold, given a common token at these places and at most so many common ones up to it."""
+    """Whether sizes allow the threshold, given a common token at these places and at most so many common ones up to it.
+
+    Before a common token of the prefixes only tokens that some other class's prefix holds too can be common, so `above`,
+    the number of these, bounds them better than the place does. Sets of these two sizes that reach the threshold share a
+    token in prefixes that are shorter than those cut for any partner; tokens behind these are not asked for.
+    """
+    need = (na + nb) * percent  # times 1 / (100 + percent), of common tokens
     most = before + F.least(na - pa_, nb - pb) - 1
-    return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (most * (100 + percent) >= (na + nb) * percent)
+    near = ((na - pa_) * (100 + percent) >= need) & ((nb - pb) * (100 + percent) >= need)
+    return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & near & (most * (100 + percent) >= need)
 
 
 def _votes(group: DataFrame, salt: int, percent: int) -> DataFrame:
@@ -333,11 +340,11 @@ def _votes(group: DataFrame, salt: int, percent: int) -> DataFrame:
     its copies; later ones are drawn by a hash.
     """
     order = F.xxhash64(F.lit(salt), "cid") if salt else F.col("stands")
-    hub = F.max(F.struct(order.alias("h"), "cid", "n", "pos"))
+    hub = F.max(F.struct(order.alias("h"), "cid", "n", "pos", "above"))
     parts = group.groupBy("token", "label").agg(F.count(F.lit(1)).alias("m"), hub.alias("hub"))
     best = parts.groupBy("token").agg(F.max(F.struct("m", "hub.h", "label", "hub")).alias("best")).select("token", F.col("best.label").alias("lh"), F.col("best.hub").alias("hub"))
-    met = group.join(best, "token").filter("label <> lh").select(F.col("cid").alias("b"), F.col("hub.cid").alias("a"), "n", "pos", F.col("hub.n").alias("nh"), F.col("hub.pos").alias("ph"))
-    met = met.filter(_can(F.col("n"), F.col("pos"), F.col("nh"), F.col("ph"), F.least("pos", "ph") + 1, percent))
+    met = group.join(best, "token").filter("label <> lh").select(F.col("cid").alias("b"), F.col("hub.cid").alias("a"), "n", "pos", "above", F.col("hub.n").alias("nh"), F.col("hub.pos").alias("ph"), F.col("hub.above").alias("ah"))
+    met = met.filter(_can(F.col("n"), F.col("pos"), F.col("nh"), F.col("ph"), F.least("above", "ah") + 1, percent))
     votes = met.groupBy("b", "a").agg(F.count(F.lit(1)).alias("votes")).groupBy("b").agg(F.max(F.struct("votes", "a")).alias("best"))
     return votes.select(F.least("b", "best.a").alias("a"), F.greatest("b", "best.a").alias("b")).distinct()
 
@@ -349,14 +356,14 @@ def _everyone(group: DataFrame, sizes: DataFrame, salt: int, most: int, percent:
     marked = group.join(share, "token")
     drawn = (F.pmod(F.xxhash64(F.lit(salt), "cid"), F.lit(1 << 20)) < F.col("share") * (1 << 20)) | (F.col("share") >= 1)
     marked = marked.withColumn("hub", (F.col("label") != F.col("most")) & drawn).withColumn("whole", F.col("share") >= 1)
-    marked = tables.write(marked.select("token", "cid", "n", "pos", "label", "hub", "whole"), "hubs")
+    marked = tables.write(marked.select("token", "cid", "n", "pos", "above", "label", "hub", "whole"), "hubs")
     hubs = marked.filter("hub")
     # the count of common tokens is only known for classes all of whose groups are compared at once
     crowded = marked.filter("not whole").select("cid").distinct()
-    x = hubs.select("token", F.col("cid").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("label").alias("lx"))
-    y = marked.select("token", F.col("cid").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), F.col("label").alias("ly"), "hub")
+    x = hubs.select("token", F.col("cid").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("above").alias("ax"), F.col("label").alias("lx"))
+    y = marked.select("token", F.col("cid").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), F.col("above").alias("ay"), F.col("label").alias("ly"), "hub")
     met = x.join(y, "token").filter((F.col("lx") != F.col("ly")) & (~F.col("hub") | (F.col("x") < F.col("y"))))
-    met = met.filter(_can(F.col("nx"), F.col("px"), F.col("ny"), F.col("py"), F.least("px", "py") + 1, percent))
+    met = met.filter(_can(F.col("nx"), F.col("px"), F.col("ny"), F.col("py"), F.least("ax", "ay") + 1, percent))
     first = F.col("x") < F.col("y")
     pick = lambda p, q, name: F.when(first, F.col(p)).otherwise(F.col(q)).alias(name)
     met = met.select(pick("x", "y", "a"), pick("y", "x", "b"), pick("nx", "ny", "na"), pick("ny", "nx", "nb"), pick("px", "py", "pa"), pick("py", "px", "pb"))
@@ -381,7 +388,8 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id"
     buckets = max(64, math.ceil(tokens * (100 - rule.percent) / 100 * 21 / (4 << 20)))
     named = rows.select("did", "cid", "n").filter("cid is not null").distinct()
     group = tables.write(_shared_tokens(docs, rule, heavy, buckets), "shared").join(small(named, 48), "did").groupBy("token", "cid").agg(F.max("n").alias("n"), F.max("pos").alias("pos"))
-    group = tables.write(group.withColumn("label", F.col("cid")).withColumn("stands", F.count(F.lit(1)).over(W.partitionBy("cid"))), "groups")
+    own = W.partitionBy("cid")
+    group = tables.write(group.withColumn("label", F.col("cid")).withColumn("stands", F.count(F.lit(1)).over(own)).withColumn("above", F.row_number().over(own.orderBy("pos")) - 1), "groups")
     links = labels = whole = sets = None
     salt, voting, most, at_first, linked = 0, True, rule.pairs, 0, 0
     while True:
@@ -390,7 +398,7 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id"
         parts = group.groupBy("token", "label").agg(F.count(F.lit(1)).alias("m"))
         sizes = parts.groupBy("token").agg(F.sum("m").alias("m"), F.max(F.struct("m", "label")).alias("most")).select("token", "m", (F.col("m") - F.col("most.m")).alias("minor"), F.col("most.label").alias("label")).filter("minor > 0")
         sizes = tables.write(sizes, "sizes")
-        group = tables.write(group.join(sizes.select("token"), "token", "left_semi").select("token", "cid", "n", "pos", "stands", "label"), "groups")
+        group = tables.write(group.join(sizes.select("token"), "token", "left_semi").select("token", "cid", "n", "pos", "above", "stands", "label"), "groups")
         left, held = sizes.agg(F.sum(F.col("minor") * F.col("m")), F.sum("m")).first()
         if not held:
             break
