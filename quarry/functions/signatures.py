@@ -70,3 +70,28 @@ def verify(key: bytes, message: bytes, signature: bytes) -> bool:
 @F.pandas_udf(T.BooleanType())
 def signed(key: pd.Series, message: pd.Series, signature: pd.Series) -> pd.Series:
     return pd.Series([k is not None and m is not None and s is not None and verify(bytes(k), bytes(m), bytes(s)) for k, m, s in zip(key, message, signature, strict=True)], dtype=bool)
+
+
+def _secret(seed: bytes) -> tuple[int, bytes]:
+    digest = hashlib.sha512(seed).digest()
+    return int.from_bytes(digest[:32], "little") & (1 << 254) - 8 | 1 << 254, digest[32:]
+
+
+def _packed(point) -> bytes:
+    x, y, z, _ = point
+    inverse = pow(z, -1, P)
+    return (y * inverse % P | (x * inverse % P & 1) << 255).to_bytes(32, "little")
+
+
+def public_key(seed: bytes) -> bytes:
+    """Of a secret seed of 32 bytes."""
+    return _packed(_times(_secret(seed)[0], BASE))
+
+
+def sign(seed: bytes, message: bytes) -> bytes:
+    scalar, prefix = _secret(seed)
+    key = public_key(seed)
+    r = int.from_bytes(hashlib.sha512(prefix + message).digest(), "little") % ORDER
+    at = _packed(_times(r, BASE))
+    h = int.from_bytes(hashlib.sha512(at + key + message).digest(), "little") % ORDER
+    return at + ((r + h * scalar) % ORDER).to_bytes(32, "little")

@@ -42,15 +42,14 @@ def _folds() -> tuple[str, str, tuple[tuple[str, str], ...]]:
     """Compatibility decomposition at plan time: characters that become one of a-z0-9, and those that become several."""
     one, to, several = [], [], []
     for code in range(0x80, 0x20000):
-        ch = chr(code).lower()
-        if len(ch) == 1 and not 0xD800 <= ord(ch) <= 0xDFFF:
-            plain = "".join(c for c in unicodedata.normalize("NFKD", ch) if c.isascii() and c.isalnum()).lower()
+        if not 0xD800 <= code <= 0xDFFF:
+            plain = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if c in "abcdefghijklmnopqrstuvwxyz0123456789")
             if len(plain) == 1:
-                one.append(ch)
+                one.append(chr(code))
                 to.append(plain)
-            elif plain and ord(ch) < 0x3000:
-                several.append((ch, plain))
-    return "".join(one), "".join(to), tuple(dict(several).items())
+            elif plain:
+                several.append((chr(code), plain))
+    return "".join(one), "".join(to), tuple(several)
 
 
 def umlauts(c: Column) -> Column:
@@ -61,16 +60,23 @@ def umlauts(c: Column) -> Column:
 
 
 def normalize(c: Column) -> Column:
-    """Comparison key: lower case, umlauts to digraphs, other letters to their base, a-z0-9 only."""
-    one, to, _ = _folds()
-    return F.regexp_replace(F.translate(umlauts(c), one, to), "[^a-z0-9]", "")
+    """Comparison key: lower case, umlauts to digraphs, other characters to their compatibility decomposition, a-z0-9 only."""
+    one, to, several = _folds()
+    low = umlauts(c)
+    table = F.create_map(*(F.lit(x) for pair in several for x in pair))
+    spelt = F.array_join(F.transform(F.regexp_extract_all(low, F.lit("(?s)(.)"), F.lit(1)), lambda ch: F.coalesce(F.try_element_at(table, ch), ch)), "")
+    # few texts hold one of the characters that become several
+    low = F.when(low.rlike("[" + "".join(k for k, _ in several) + "]"), spelt).otherwise(low)
+    return F.regexp_replace(F.translate(low, one, to), "[^a-z0-9]", "")
+
+
+#: A run of a-z0-9 that is no stop word, without the last s if more than three characters.
+TOKEN = rf"(?<![a-z0-9])(?!(?:{'|'.join(STOPWORDS)})(?![a-z0-9]))(?:[a-z0-9]{{3,}}(?=s(?![a-z0-9]))|[a-z0-9]{{2,}})"
 
 
 def retrieval_tokens(c: Column) -> Column:
     """Runs of a-z0-9 without single characters and stop words; one trailing s goes from words longer than three."""
-    words = F.regexp_extract_all(umlauts(c), F.lit("([a-z0-9]+)"), F.lit(1))
-    kept = F.filter(words, lambda t: (F.length(t) >= 2) & ~t.isin(STOPWORDS))
-    return F.transform(kept, lambda t: F.when((F.length(t) > 3) & t.endswith("s"), F.regexp_replace(t, "s$", "")).otherwise(t))
+    return F.regexp_extract_all(umlauts(c), F.lit(TOKEN), F.lit(0))
 
 
 def name_tokens(c: Column) -> Column:
@@ -96,6 +102,13 @@ def has_phrase(text: Column, wanted: Column) -> Column:
     return F.contains(phrase(text), phrase(wanted)) & (F.length(phrase(wanted)) > 2)
 
 
+def held_phrases(text: Column, wanted: list[str]) -> Column:
+    """Those of some phrases that a text holds as whole phrases; the text is brought into form once."""
+    listed = F.array(*(F.struct(F.lit(w).alias("wanted"), phrase(F.lit(w)).alias("form")) for w in wanted))
+    hits = F.transform(F.array(phrase(text)), lambda body: F.filter(listed, lambda w: F.contains(body, w["form"]) & (F.length(w["form"]) > 2)))
+    return F.transform(hits[0], lambda w: w["wanted"])
+
+
 def money(currency: Column, amount: Column) -> Column:
     return F.concat(currency, F.lit(" "), F.format_number(amount, 2))
 
@@ -105,18 +118,20 @@ def digest(c: Column) -> Column:
 
 
 def neutralize_controls(c: Column) -> Column:
+    out = c
     for pattern in CONTROLS:
-        c = F.regexp_replace(c, pattern, "")
-    return c
+        out = F.regexp_replace(out, pattern, "")
+    return F.when(c.rlike(CONTROLS[-1]), out).otherwise(c)  # every sequence begins with a control character
 
 
 def scrub(c: Column) -> tuple[Column, dict[str, Column]]:
-    """(clean text, hits of each category, counted before its step)."""
-    hits, out = {}, neutralize_controls(c)
+    """(clean text, hits of each category, counted before its step). Texts that no pattern fits, nearly all, are only looked at once."""
+    hits, clean = {}, neutralize_controls(c)
+    out, suspect = clean, clean.rlike("|".join(f"(?:{pattern})" for _, pattern, _ in SECRETS))
     for name, pattern, to in SECRETS:
-        hits[name] = F.regexp_count(out, F.lit(pattern))
+        hits[name] = F.when(suspect, F.regexp_count(out, F.lit(pattern))).otherwise(0)
         out = F.regexp_replace(out, pattern, to)
-    return out, hits
+    return F.when(suspect, out).otherwise(clean), hits
 
 
 def fence(c: Column) -> Column:

@@ -17,7 +17,7 @@ MONEY = r"\b([A-Z]{3}) ([\d,]+\.\d{2})\b"
 COUNTS = r"spanning (\d+) customer record\(s\) and (\d+) address record\(s\)"
 REFUSE = r"Refused to sum across (\w+) and (\w+)"
 SHARED = r"\"([^\"]+)\" appears in ([^\"]+)$"
-RENEWAL = r"(?s)renews.*?on (\d{1,2} [A-Z][a-z]+)"
+RENEWAL = r"(?s)renews\b.*?\bon (\d{1,2} [A-Z][a-z]+)"
 DATE = r"'(\d{1,2} [A-Z][a-z]+)'"
 
 

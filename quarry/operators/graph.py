@@ -4,18 +4,42 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """checkpoint() in the folder that the session names; one of our own only where none is set."""
+    """checkpoint() in the folder that the session names; in local mode one of our own where none is set."""
     sc = df.sparkSession.sparkContext
     if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="quarry-checkpoint-"))
     return df.checkpoint()
 
 
+def numbered(rows: DataFrame, order: list, to: str) -> DataFrame:
+    """Places from 0 in a total order, over range partitions: only the partitions' counts, one number each, meet in one task.
+
+    Rows that are equal in all of `order` get places next to each other in no defined order.
+    """
+    sorted_ = cut_lineage(rows.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.monotonically_increasing_id().alias("_at")))
+    part = F.shiftright("_at", 33)
+    counts = sorted_.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))
+    return sorted_.withColumn("_part", part).join(F.broadcast(before), "_part").select(*rows.columns, (F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).alias(to))
+
+
+def named_key(kind: str, column: str) -> Column:
+    return F.concat(F.lit(f"{kind}:"), F.col(column).cast("string"))
+
+
+def key_edges(rows: DataFrame, kind: str, key: str, target: str, reference: str, relation: str) -> DataFrame:
+    """(src, dst, relation): a foreign key as edges; a row whose reference is null has none."""
+    return rows.filter(F.col(reference).isNotNull()).select(named_key(kind, key).alias("src"), named_key(target, reference).alias("dst"), F.lit(relation).alias("relation"))
+
+
 def sources_of(edges: DataFrame, targets: DataFrame, relation: str) -> DataFrame:
     """src of edges into the targets (id); repeats stay."""
     return edges.filter(F.col("relation") == relation).join(targets.select(F.col("id").alias("dst")).distinct(), "dst", "left_semi").select(F.col("src").alias("id"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.text import retrieval_tokens
+from .graph import cut_lineage
 
 K1, B = 1.5, 0.75
 
@@ -20,13 +21,14 @@ def postings(records: DataFrame, id_col: str = "id", text_col: str = "text") ->
 def bm25(records: DataFrame, questions: DataFrame, k: int = 5, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """(qid, id, score, rank): the k best records of each question (qid, question) with a score above 0; ties by id.
 
-    The questions' terms are few: records are scanned once, and only terms that some question has leave the scan. A term
-    that a question repeats counts as often. The top k are cut before the shuffle where Spark can.
+    Records are tokenised once, and only the tokens are written; of these only terms that some question has are counted. A
+    term that a question repeats counts as often. The top k are cut before the shuffle where Spark can.
     """
     asked = questions.select("qid", F.explode(retrieval_tokens(F.col("question"))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("times"))
-    tokens = records.select(F.col(id_col).alias("id"), retrieval_tokens(F.coalesce(text_col, F.lit(""))).alias("tokens")).withColumn("length", F.size("tokens"))
+    tokens = cut_lineage(records.select(F.col(id_col).alias("id"), retrieval_tokens(F.coalesce(text_col, F.lit(""))).alias("tokens"))).withColumn("length", F.size("tokens"))
     size = tokens.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"))
     hits = tokens.select("id", "length", F.explode("tokens").alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy("id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+    hits = cut_lineage(hits)
     found = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     scored = hits.join(found, "term").join(F.broadcast(size), F.lit(True)).join(asked, "term")  # size is one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .graph import numbered
+
 
 def subtotals(rows: DataFrame, entity: str, currency: str, amount: str) -> DataFrame:
     """(entity, currency, total, n, currencies): currencies counts those of the entity; more than one means no grand total."""
@@ -20,10 +22,14 @@ def superlative(totals: DataFrame) -> DataFrame:
 
 
 def ranked_pairs(totals: DataFrame) -> DataFrame:
-    """Neighbours in the ranking of each currency, ties left out: (currency, higher, lower, margin)."""
-    w = W.partitionBy("currency").orderBy(F.desc("total"), "entity")
-    pairs = totals.select("currency", F.col("entity").alias("higher"), F.lead("entity").over(w).alias("lower"), "total", F.lead("total").over(w).alias("next"))
-    return pairs.filter("next is not null and total <> next").select("currency", "higher", "lower", (F.col("total") - F.col("next")).alias("margin"))
+    """Neighbours in the ranking of each currency, ties left out: (currency, higher, lower, margin).
+
+    The ranking is one numbering over a range partitioning, so a currency that holds most rows is spread over many tasks.
+    """
+    placed = numbered(totals.select("currency", "entity", "total"), ["currency", F.desc("total"), "entity"], "at")
+    after = placed.select((F.col("at") - 1).alias("at"), "currency", F.col("entity").alias("lower"), F.col("total").alias("next"))
+    pairs = placed.withColumnRenamed("entity", "higher").join(after, ["at", "currency"])
+    return pairs.filter("total <> next").select("currency", "higher", "lower", (F.col("total") - F.col("next")).alias("margin"))
 
 
 def compare(totals: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -50,3 +56,18 @@ def conflicts(clauses: DataFrame, entity: str, text: str, pattern: str) -> DataF
     """(entity, stated): what the clauses of an entity state by the pattern, where that differs."""
     stated = clauses.select(F.col(entity).alias("entity"), F.regexp_extract(text, pattern, 1).alias("stated")).filter("stated <> ''")
     return stated.groupBy("entity").agg(F.sort_array(F.collect_set("stated")).alias("stated"), F.count(F.lit(1)).alias("clauses")).filter(F.size("stated") >= 2)
+
+
+def counts_by_kind(rows: DataFrame, by: str, kind: str, names: dict[str, str]) -> DataFrame:
+    """(by, n, a count for each name): how many rows of each kind, in one pass; null kinds only count in n."""
+    return rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"), *(F.count_if(F.col(kind) == value).alias(name) for name, value in names.items()))
+
+
+def value_sets(rows: DataFrame, by: str, value: str, to: str) -> DataFrame:
+    """(by, to, n): the distinct values in order, joined by commas; nulls are no values."""
+    return rows.groupBy(by).agg(F.array_join(F.sort_array(F.collect_set(value)), ",").alias(to), F.count(F.lit(1)).alias("n"))
+
+
+def guarded(rows: DataFrame, group: list[str], value: str, to: str) -> DataFrame:
+    """Rows with `value` carried over only where the row is the only one of its group, so that no join multiplies it."""
+    return rows.withColumn(to, F.when(F.count(F.lit(1)).over(W.partitionBy(*group)) == 1, F.col(value)))

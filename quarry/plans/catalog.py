@@ -17,11 +17,10 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 def _edges(spark: SparkSession, d: str) -> DataFrame:
     """order -> customer -> nation -> region as one edge table."""
-    key = lambda kind, c: F.concat(F.lit(kind + ":"), F.col(c).cast("string"))
     parts = [
-        _t(spark, d, "orders").select(key("order", "o_orderkey").alias("src"), key("customer", "o_custkey").alias("dst"), F.lit("sold_to").alias("relation")),
-        _t(spark, d, "customer").select(key("customer", "c_custkey").alias("src"), key("nation", "c_nationkey").alias("dst"), F.lit("located_in").alias("relation")),
-        _t(spark, d, "nation").select(key("nation", "n_nationkey").alias("src"), key("region", "n_regionkey").alias("dst"), F.lit("part_of").alias("relation")),
+        graph.key_edges(_t(spark, d, "orders"), "order", "o_orderkey", "customer", "o_custkey", "sold_to"),
+        graph.key_edges(_t(spark, d, "customer"), "customer", "c_custkey", "nation", "c_nationkey", "located_in"),
+        graph.key_edges(_t(spark, d, "nation"), "nation", "n_nationkey", "region", "n_regionkey", "part_of"),
     ]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
@@ -48,9 +47,9 @@ def edge_table(spark, d):
 
 def denormalised(spark, d):
     """Nation joined to the customer; the balance carries over only where the customer is its nation's only one in a segment."""
-    c = _t(spark, d, "customer").withColumn("alone", F.count(F.lit(1)).over(W.partitionBy("c_nationkey", "c_mktsegment")) == 1)
+    c = totals.guarded(_t(spark, d, "customer"), ["c_nationkey", "c_mktsegment"], "c_acctbal", "balance")
     n = _t(spark, d, "nation")
-    return c.join(F.broadcast(n), c.c_nationkey == n.n_nationkey, "left").select("c_custkey", "n_name", F.when(F.col("alone"), F.col("c_acctbal")).alias("balance"))
+    return c.join(n, c.c_nationkey == n.n_nationkey, "left").select("c_custkey", "n_name", "balance")
 
 
 def reverse_traversal(spark, d):
@@ -121,8 +120,7 @@ def comparisons(spark, d):
 
 def kind_counts(spark, d):
     """A5: counts of event kinds in one pass."""
-    e = _t(spark, d, "events")
-    return e.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_type") == "click").alias("clicks"), F.count_if(F.col("event_type") == "purchase").alias("purchases"))
+    return totals.counts_by_kind(_t(spark, d, "events"), "user_id", "event_type", {"clicks": "click", "purchases": "purchase"})
 
 
 def longest_names(spark, d):
@@ -132,12 +130,12 @@ def longest_names(spark, d):
 
 def value_sets(spark, d):
     """Distinct values of each source."""
-    return _t(spark, d, "documents").groupBy("source").agg(F.array_join(F.sort_array(F.collect_set("lang")), ",").alias("langs"), F.count(F.lit(1)).alias("n"))
+    return totals.value_sets(_t(spark, d, "documents"), "source", "lang", "langs")
 
 
 def stated_conflicts(spark, d):
-    """What the documents of a source state by a pattern, where it differs."""
-    c = totals.conflicts(_t(spark, d, "documents"), "source", "text", r"(?s)^([A-Za-z]+)")
+    """The first number of two digits or more that the documents of a source state, where it differs."""
+    c = totals.conflicts(_t(spark, d, "documents"), "source", "text", r"([0-9]{2,})")
     return c.select("entity", F.size("stated").cast("long").alias("distinct_stated"), "clauses", F.element_at("stated", 1).alias("first_stated"))
 
 
@@ -285,20 +283,20 @@ def edit_distances(spark, d):
 
 
 def phrase_hits(spark, d):
-    """Documents that hold a brand's first name word as a whole phrase, counted."""
-    words = spark.createDataFrame([("the",), ("of the",), ("de la",), ("nicht",)], "wanted string")
-    return _t(spark, d, "documents").crossJoin(F.broadcast(words)).filter(X.has_phrase(F.coalesce("text", F.lit("")), F.col("wanted"))).groupBy("wanted").agg(F.count(F.lit(1)).alias("n"))
+    """Documents that hold each of some whole phrases, counted."""
+    held = _t(spark, d, "documents").select(F.explode(X.held_phrases(F.coalesce("text", F.lit("")), ["the", "of the", "de la", "nicht"])).alias("wanted"))
+    return held.groupBy("wanted").agg(F.count(F.lit(1)).alias("n"))
 
 
 def resolved_names(spark, d):
-    """Resolutions between customers' names with the nation as corroborating field."""
-    names = _t(spark, d, "supplier").select(F.col("s_suppkey").alias("seq"), F.col("s_suppkey").alias("id"), F.concat(F.lit("Firm "), F.translate(F.conv(F.col("s_suppkey").cast("string"), 10, 9), "012345678", "bdkmnprst")).alias("name"), F.col("s_nationkey").cast("string").alias("nation"))
-    return resolution.resolve(names, resolution.generic_tokens(spark, names), fields=("nation",))
+    """Resolutions between the parts' names, with the largest brand that uses each as corroborating field."""
+    names = _t(spark, d, "part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("seq"), F.max("p_brand").alias("brand")).select("seq", F.col("seq").alias("id"), "name", "brand")
+    return resolution.resolve(names, resolution.generic_tokens(spark, names), fields=("brand",))
 
 
 def document_mentions(spark, d):
-    """The beginnings of the benchmark passages, taken as names, in the documents."""
-    names = _t(spark, d, "benchmark").select(F.concat(F.lit("item:"), F.col("item_id").cast("string")).alias("id"), F.substring("text", 1, 30).alias("name"))
+    """The benchmark passages, taken as names, in the documents."""
+    names = _t(spark, d, "benchmark").select(F.concat(F.lit("item:"), F.col("item_id").cast("string")).alias("id"), F.col("text").alias("name"))
     return resolution.mentions(_t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")), names)
 
 
@@ -316,6 +314,8 @@ def locators(spark, d):
 
 QUERIES = {f.__name__: f for f in (edge_table, denormalised, reverse_traversal, path_join, dangling_edges, neighbourhood, hops, entity_components, last_write, currency_totals, best_by_currency, neighbours_in_rank, comparisons, kind_counts, longest_names, value_sets, stated_conflicts, scores, tally_pivot, pair_quality, document_frequency, bm25_top, cosine_top, recurrence_counts, filled_forward, step_lines, tail_bytes, newest_first, manifest_changes, manifest_commitment, ledger_tree, paragraph_chunks, name_keys, scrubbed, money_text, edit_distances, phrase_hits, resolved_names, document_mentions, enumeration, locators)}
 
+#: A comparison key, for text whose letters beyond ASCII are all accented ones.
+_KEY = "regexp_replace(strip_accents(replace(replace(replace(replace(lower({0}), 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss')), '[^a-z0-9]', '', 'g')"
 _BENCH = _TOKENS.replace("doc_id", "item_id").replace("FROM documents", "FROM benchmark")
 ORACLE_SQL = {
     "edge_table": _EDGES,
@@ -349,7 +349,7 @@ ORACLE_SQL = {
     "longest_names": "SELECT p_brand AS entity, arg_max(p_name, struct_pack(n := length(p_name), s := p_name)) AS name FROM part GROUP BY 1",
     "value_sets": "SELECT source, array_to_string(list_sort(list(DISTINCT lang)), ',') AS langs, count(*) AS n FROM documents GROUP BY 1",
     "stated_conflicts": """
-        WITH s AS (SELECT source AS entity, regexp_extract(text, '^([A-Za-z]+)', 1) AS stated FROM documents)
+        WITH s AS (SELECT source AS entity, regexp_extract(text, '([0-9]{2,})', 1) AS stated FROM documents)
         SELECT entity, count(DISTINCT stated) AS distinct_stated, count(*) AS clauses, min(stated) AS first_stated FROM s WHERE stated <> '' GROUP BY 1 HAVING count(DISTINCT stated) >= 2""",
     "scores": """
         SELECT lang, count(*) AS cases, round(avg((quality = 1)::INT), 9) AS faithfulness, round(avg((toxic = 0)::INT), 9) AS coverage, round(avg((n_chars > 500)::INT), 9) AS quality,
@@ -387,10 +387,10 @@ ORACLE_SQL = {
     "money_text": f"SELECT entity, currency, currency || ' ' || format('{{:,.2f}}', total::DOUBLE) AS shown FROM ({_TOTALS})",
     "edit_distances": "SELECT a.p_partkey, levenshtein(a.p_name, b.p_name) AS distance FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1",
     "phrase_hits": "SELECT wanted, count(*) AS n FROM documents, (VALUES ('the'), ('of the'), ('de la'), ('nicht')) w(wanted) WHERE contains(' ' || trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) || ' ', ' ' || wanted || ' ') GROUP BY 1",
-    "document_mentions": """
-        WITH t AS (SELECT doc_id, regexp_replace(strip_accents(replace(replace(replace(replace(lower(text), 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss')), '[^a-z0-9]', '', 'g') AS body FROM documents),
-        n AS (SELECT 'item:' || item_id AS node, regexp_replace(strip_accents(replace(replace(replace(replace(lower(substr(text, 1, 30)), 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss')), '[^a-z0-9]', '', 'g') AS key FROM benchmark)
-        SELECT doc_id AS chunk, node, 1.0 AS confidence FROM t JOIN n ON contains(body, key)""",
+    "document_mentions": f"""
+        WITH t AS (SELECT doc_id, {_KEY.format("text")} AS body FROM documents), k AS (SELECT 'item:' || item_id AS node, {_KEY.format("text")} AS key FROM benchmark),
+        n AS (SELECT *, CASE {" ".join(f"WHEN ends_with(key, '{x}') THEN CASE WHEN length(key) - {len(x)} >= {X.MIN_STEM} THEN key[:-{len(x) + 1}] END" for x in X.LEGAL_SUFFIXES)} END AS stem FROM k)
+        SELECT doc_id AS chunk, node, CASE WHEN contains(body, key) THEN 1.0 ELSE 0.9 END AS confidence FROM t JOIN n ON contains(body, key) OR contains(body, stem)""",
     "enumeration": "WITH t AS (SELECT unnest(range(64)) AS truth), c AS (SELECT unnest(range(64)) AS cited) SELECT count(*) AS states, count(*) FILTER (cited & truth = cited) AS sound, count(*) FILTER (cited = 0) AS uncited FROM t, c WHERE bit_count(cited) <= 3",
     "locators": "SELECT n_nationkey, 'row ' || n_nationkey || ', table nation' AS locator, 'Nation ' || n_name || ' in region ' || n_regionkey AS text FROM nation",
 }

@@ -26,7 +26,7 @@ def signatures(chunks: DataFrame) -> DataFrame:
     chunks: (run, id, text), in order of id as a string.
     """
     own = F.regexp_extract_all("text", F.lit(ERROR_LINE), F.lit(1))
-    marked = F.transform(F.regexp_extract_all("text", F.lit(MARKED_LINE), F.lit(1)), F.trim)
+    marked = F.transform(F.regexp_extract_all("text", F.lit(MARKED_LINE), F.lit(1)), lambda x: F.trim(x))
     found = chunks.filter(is_error(F.col("text"))).select("run", "id", F.posexplode(F.concat(own, marked)).alias("at", "line"))
     good = found.filter((F.trim("line") != "") & ~F.contains("line", F.lit('"')) & (normalize(F.col("line")) != ""))
     order = F.struct(F.col("line").rlike(TRAILER).alias("dull"), F.col("id"), F.col("at"))

@@ -22,21 +22,29 @@ def _joined() -> Column:
 
 
 def paragraphs(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, chunk, start_line, end_line, text): blocks between blank lines; lone headings lead the block after them."""
-    each = W.partitionBy(key).orderBy("n")
-    rows = lines(texts, key, text).withColumn("blank", F.trim(F.regexp_replace("line", r"\s", " ")) == "")
-    rows = rows.withColumn("starts", ~F.col("blank") & F.coalesce(F.lag("blank").over(each), F.lit(True)))
-    rows = rows.withColumn("block", F.sum(F.col("starts").cast("int")).over(each))
-    blocks = rows.filter(~F.col("blank")).groupBy(key, "block").agg(F.min("n").alias("a"), F.max("n").alias("b"), F.min_by("line", "n").alias("head"))
-    order = W.partitionBy(key).orderBy("block")
-    heading = (F.col("a") == F.col("b")) & F.col("head").rlike(r"^#{1,6}[ \t]+\S")
-    blocks = blocks.withColumn("heading", heading)
+    """(key, chunk, start_line, end_line, text): blocks between blank lines; lone headings lead the block after them.
+
+    A text is cut where it lies, by the runs of blank lines; only the blocks are shuffled, once, by key. A null text has
+    no blocks.
+    """
+    newlines = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
+    plain = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), BREAK, "\n"), r"\n\s*\z", "")
+    rows = texts.select(key, F.explode(F.array(plain)).alias("t"))
+    rows = rows.withColumn("lead", F.regexp_extract("t", r"\A(\s*\n)", 1)).withColumn("t", F.expr("substr(t, length(lead) + 1)"))
+    gap = r"\n\s*\n"
+    pieces = F.arrays_zip(F.split("t", gap, -1).alias("block"), F.concat(F.regexp_extract_all("t", F.lit(gap), F.lit(0)), F.array(F.lit(""))).alias("gap"))
+    rows = rows.select(key, newlines(F.col("lead")).alias("above"), F.posexplode(pieces).alias("i", "p")).select(key, "above", "i", "p.block", "p.gap")
+    each = W.partitionBy(key).orderBy("i")
+    before = F.coalesce(F.sum(newlines(F.col("block")) + newlines(F.col("gap"))).over(each.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumn("a", (F.col("above") + before + 1).cast("int")).withColumn("b", (F.col("a") + newlines(F.col("block"))).cast("int"))
+    heading = (F.col("a") == F.col("b")) & F.col("block").rlike(r"^#{1,6}[ \t]+\S")
     # the block that a heading leads is the next without one; headings that lead none stay alone
-    after = F.min(F.when(~F.col("heading"), F.col("block"))).over(order.rowsBetween(0, W.unboundedFollowing))
-    blocks = blocks.withColumn("lead", F.coalesce(after, F.col("block")))
-    spans = blocks.groupBy(key, "lead").agg(F.min("a").alias("start_line"), F.max("b").alias("end_line"))
-    held = rows.join(blocks.select(key, "block", "lead"), [key, "block"]).join(spans, [key, "lead"]).filter(F.col("n").between(F.col("start_line"), F.col("end_line")))
-    return held.groupBy(key, "start_line", "end_line").agg(_joined().alias("text")).select(key, F.row_number().over(W.partitionBy(key).orderBy("start_line")).alias("chunk"), "start_line", "end_line", "text")
+    after = F.min(F.when(~heading, F.col("i"))).over(each.rowsBetween(0, W.unboundedFollowing))
+    rows = rows.filter(F.col("block").rlike(r"\S")).withColumn("leads", F.coalesce(after, F.col("i")))
+    parts = F.array_sort(F.collect_list(F.struct("i", "block", "gap")))
+    whole = F.array_join(F.transform(parts, lambda x, k: F.concat(x["block"], F.when(k < F.size(parts) - 1, x["gap"]).otherwise(""))), "")
+    out = rows.groupBy(key, "leads").agg(F.min("a").alias("start_line"), F.max("b").alias("end_line"), whole.alias("text"))
+    return out.select(key, F.row_number().over(W.partitionBy(key).orderBy("start_line")).alias("chunk"), "start_line", "end_line", "text")
 
 
 def diff_hunks(texts: DataFrame, key: str = "pr", text: str = "text") -> DataFrame:

@@ -43,7 +43,7 @@ def pulls(spark: SparkSession, path: str) -> DataFrame:
 
 
 def aliases(c: Column) -> Column:
-    return F.filter(F.transform(F.split(c, ";"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, ";"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def template(text: str) -> Column:

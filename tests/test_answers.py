@@ -46,12 +46,12 @@ def test_business(spark):
     asked = spark.createDataFrame([(1, "What do we know about Granite Works?"), (2, "Compare Granite Works and Pyrite Holdings"), (3, "Who is largest in EUR?"), (4, "zebra"), (5, "what about cobalt")], "qid long, question string")
     status = {r["qid"]: (r["status"], r["entity"]) for r in business.resolve(asked, names).collect()}
     assert status[1] == ("ok", "e1") and status[4] == ("none", None) and status[5] == ("ambiguous", None)
-    assert {r["qid"]: r["kind"] for r in business.route(asked, names).collect()} == {1: "entity", 2: "multi", 3: "multi", 4: "lookup", 5: "lookup"}
+    assert {r["qid"]: r["kind"] for r in business.route(asked, names).collect()} == {1: "entity", 2: "multi", 3: "multi", 4: "lookup", 5: "lookup"}  # the tie takes too little of question 5
     sales = spark.createDataFrame([("e1", "s1", "EUR", "1.00"), ("e1", "s2", "EUR", "2.50"), ("e1", "s3", "USD", "7")], "entity string, id string, currency string, amount string")
-    clauses = spark.createDataFrame([("e1", "d1", "It renews on 1 May")], "entity string, id string, text string")
+    clauses = spark.createDataFrame([("e1", "d1", "m", "It renews on 1 May")], "entity string, id string, source string, text string")
     out = business.compose(business.resolve(asked.filter("qid = 1"), names), names, sales, clauses).orderBy("step", "text").collect()
-    assert [r["step"] for r in out] == [1, 1, 2, 3]
-    assert out[0]["text"] == "'Granite Works GmbH' has a total net order value of EUR 3.50 across 2 order(s)." and out[0]["support"] == ["s1", "s2"]
+    assert [r["step"] for r in out] == [2, 2, 3, 4]
+    assert out[0]["text"] == "Net order value in EUR across 2 order(s): EUR 3.50." and out[0]["support"] == ["s1", "s2"]
 
 
 def test_redaction_and_policy(spark):

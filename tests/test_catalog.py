@@ -4,7 +4,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from quarry.plans import catalog
+from quarry.plans import catalog, evidence
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -28,10 +28,13 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", catalog.ORACLE_SQL)
+QUERIES, SQL = catalog.QUERIES | evidence.QUERIES, catalog.ORACLE_SQL | evidence.ORACLE_SQL
+
+
+@pytest.mark.parametrize("name", SQL)
 def test_query(spark, duck, name):
-    own = catalog.QUERIES[name](spark, SF)
-    cursor = duck.execute(catalog.ORACLE_SQL[name])
+    own = QUERIES[name](spark, SF)
+    cursor = duck.execute(SQL[name])
     columns = [c[0] for c in cursor.description]
     assert sorted(columns) == sorted(own.columns)
     want = sorted(([plain(v) for v in r] for r in cursor.fetchall()), key=repr)
