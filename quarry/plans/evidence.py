@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import json_text, signatures
 from ..functions import text as X
-from ..operators import bundle, conclusions, disclosure, graph, integrity, soundness, temporal
+from ..operators import actions, bundle, conclusions, disclosure, graph, integrity, semantic, sinks, soundness, temporal, triples
 from ..operators import claims as claim_shapes
-from ..sources import chunking, readers
+from ..sources import chunking, datasets, readers
 from . import business, lookup, root_cause
 from .catalog import _EDGES, _TOKENS, _edges, _t
 
@@ -480,8 +480,135 @@ def alias_lists(spark, d):
     """Alias lists, cut at semicolons."""
     return _rows(spark, [(1, "a; b;;c "), (2, ""), (3, " ; ")], "id int, text string").select("id", F.array_join(readers.aliases(F.col("text")), "|").alias("aliases"))
 
+def firm_stoplist(spark, d):
+    """Tokens of part names that many of them share, and the fixed ones."""
+    return semantic.stoplist(_t(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")), 100)
 
-QUERIES = {f.__name__: f for f in (compared_claims, superlative_claims, chain_checks, chain_citations, bounded_soundness, consistency_proofs, bundle_roots, mutation_detection, bundle_verdicts, redacted_bundles, bundle_approvals, canonical_json, scrubbed_json, request_keys, unicode_keys, scrubbed_secrets, split_hunks, text_forms, common_lengths, reasoned, routed, resolved_questions, composed, summarised_changes, services_found, service_answers, directory_answers, ambiguous_names, described, novel_facts, narrations, missing_terms, admitted_events, assertion_rows, split_again, floor_gates, rebased_sources, answer_texts, scorecard_text, claim_verdicts, policy_breaches, failure_signatures, shared_seconds, alias_lists)}
+
+def firm_stems(spark, d):
+    """What is left of brand and part names without tokens that three names share."""
+    names = _t(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat_ws("-", "p_name", "p_brand", F.col("p_partkey").cast("string")).alias("name"))
+    return semantic.stems(names, semantic.stoplist(names, 3))
+
+
+def embedding_pairs(spark, d):
+    """Pairs of vectors that are close enough and among each other's ten nearest, each once."""
+    v = _t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return semantic.proposals(v, "given", threshold=0.5).select("node_a", "node_b", F.round("score", 6).alias("score"), F.round("confidence", 6).alias("confidence"))
+
+
+def semantic_hits(spark, d):
+    """Q3, Q4: vector hits with a cosine above 0, where there is an index."""
+    v = _t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    asked = v.filter("id % 20 = 0").select(F.col("id").alias("qid"), "embedding")
+    return semantic.hits(asked.select("qid", F.lit("").alias("question")), v, 3, v, asked).select("qid", "id", F.round("score", 6).alias("score"), "rank")
+
+
+def name_vectors(spark, d):
+    """Q4: the stand-in vectors hold every three-gram of a name once."""
+    p = _t(spark, d, "part").select("p_partkey", "p_name", semantic.gram_vector(F.col("p_name")).alias("v"))
+    return p.select("p_partkey", F.size("v").cast("long").alias("size"), F.aggregate("v", F.lit(0.0), lambda a, x: a + x).alias("grams"))
+
+
+ANSWERS = [(1, "rca", "R-1 failed", [("boom", ["d1"]), ("Disk full", ["d2"])], None), (2, "summary", "PR-2", [("x", ["d1"])], None), (3, "rca", "t", [], "no evidence"), (4, "lookup", "t", [("boom", ["d1"])], None), (5, "rca", "t", [("boom", [])], None)]
+
+
+def _drafts(spark):
+    answers = _rows(spark, ANSWERS, "qid long, kind string, title string, claims array<struct<text:string,support:array<string>>>, refusal string")
+    return actions.draft(answers, _rows(spark, [("d1", "it went BOOM"), ("d2", "error: disk full ``` here")], "id string, text string"))
+
+
+def drafted_actions(spark, d):
+    """Drafts, and how many of their fields the cited records hold."""
+    return _drafts(spark)
+
+
+def payloads(spark, d):
+    """Requests as JSON; a draft that isn't grounded is withheld."""
+    return actions.payload(_drafts(spark), F.lit("/issues")).select("qid", "target", "payload", "withheld", F.col("key").isNotNull().alias("has_key"))
+
+
+def executions(spark, d):
+    """Simulated outcomes; every order is a request, every third was done before, every second is approved."""
+    o = _t(spark, d, "orders")
+    key = F.concat(F.lit("k"), F.col("o_orderkey").cast("string"))
+    sent = o.select(F.col("o_orderkey").alias("qid"), key.alias("key"), (F.col("o_orderstatus") == "P").alias("withheld"))
+    return actions.execute(sent, o.filter("o_orderkey % 3 = 0").select(key.alias("key")), F.col("qid") % 2 == 0)
+
+
+def rederived_actions(spark, d):
+    """Receipts against what drafting and rendering give again."""
+    again = actions.payload(_drafts(spark), F.lit("/issues"))
+    kept = again.select("qid", "payload", F.when(F.col("withheld"), "withheld").otherwise("simulated").alias("outcome"))
+    bent = kept.withColumn("payload", F.when(F.col("qid") == 1, F.replace("payload", F.lit("boom"), F.lit("calm"))).when(F.col("qid") == 2, "{}").otherwise(F.col("payload")))
+    extra = _rows(spark, [(9, "{}", "simulated")], "qid long, payload string, outcome string")
+    return actions.rederived(bent.unionByName(extra), again)
+
+
+def masked_receipts(spark, d):
+    """Values of secret keys masked in receipts."""
+    n = _t(spark, d, "nation").select("n_nationkey", F.create_map(F.lit("api_key"), F.col("n_name"), F.lit("name"), F.col("n_name"), F.lit("AuthToken"), F.lit("x")).alias("m"))
+    return actions.masked(n, "m").select("n_nationkey", F.col("m")["api_key"].alias("api_key"), F.col("m")["name"].alias("name"), F.col("m")["AuthToken"].alias("auth"))
+
+
+def smoke_checks(spark, d):
+    """A battery of checks over tables; a failed one fails or only warns, one without rows is skipped."""
+    o = _t(spark, d, "orders")
+    return actions.smoke({"keys": (o, F.col("o_orderkey").isNotNull(), False), "positive": (o, F.col("o_totalprice") > 100000, True), "status": (o, F.col("o_orderstatus") == "F", False), "none": (o.filter("o_orderkey < 0"), F.lit(True), False)})
+
+
+LAYERS = {"leaf tamper": "envelope", "leaf omission": "envelope", "extra leaf": "envelope", "root mismatch": "envelope", "manifest edit": "envelope", "verdict flip": "claims"}
+METHODS = {"hash only": ("envelope",), "claims only": ("claims",), "re-execution": ("envelope", "claims")}
+THREATS = {"outsider": tuple(f for f, x in LAYERS.items() if x == "envelope"), "issuer": tuple(LAYERS)}
+
+
+def conformance_grid(spark, d):
+    """Which methods detect the forgeries that each kind of attacker can make."""
+    bundles, leaves, m, r, checks = _sealed(spark, d)
+    found = bundle.mutation_battery(bundles, "1.0", leaves, m, r, checks).select(F.col("mutant").alias("forgery"), (F.col("caught") == F.col("bundles")).alias("caught"))
+    layers = _rows(spark, list(LAYERS.items()), "forgery string, layer string")
+    return actions.conformance(found.join(layers, "forgery"), METHODS, THREATS)
+
+
+def log_sections(spark, d):
+    """The section of a log chunk by its first line."""
+    rows = [(1, "--- job: build ---"), (2, "=== result: failed"), (3, "run R-1"), (4, "--- job: a --- b ---"), (5, "--- job: open")]
+    return _rows(spark, rows, "id int, line string").select("id", datasets.log_section(F.col("line")).alias("section"))
+
+
+def delivery_links(spark, d):
+    """Edges of delivery tables by their keys, and of pull requests by the ticket that they name."""
+    o, c = _t(spark, d, "orders"), _t(spark, d, "customer")
+    text = lambda x: F.col(x).cast("string")
+    tables = {"pipelines.csv": c.select(text("c_custkey").alias("Pipeline"), text("c_nationkey").alias("Component")), "runs.csv": o.select(text("o_orderkey").alias("Run"), text("o_custkey").alias("Pipeline")), "tickets.csv": c.select(F.concat(F.lit("T-"), text("c_custkey")).alias("Ticket"), F.when(F.col("c_custkey") % 2 == 0, text("c_nationkey")).otherwise("").alias("Component"))}
+    pulls = o.select(text("o_orderkey").alias("PR"), F.when(F.col("o_orderkey") % 10 == 0, F.concat(F.lit("Fixes T-"), text("o_custkey"), F.lit(" at last"))).otherwise("no ticket").alias("Description"))
+    return datasets.delivery_edges(tables, pulls)
+
+
+def upserts(spark, d):
+    """K6: vectors written over older ones, the last of a key wins."""
+    e = _t(spark, d, "events").select("user_id", "event_id", "event_type")
+    old = e.filter("event_id % 2 = 0").groupBy("user_id").agg(F.min("event_id").alias("event_id"), F.lit("old").alias("event_type"))
+    return sinks.upserted(old, e.filter("user_id % 2 = 0"), "user_id", "event_id")
+
+
+def journal_badges(spark, d):
+    """K7: the least score of each label's latest entries."""
+    l = _t(spark, d, "labels").join(_t(spark, d, "documents"), "doc_id")
+    journal = l.select(F.col("lang").alias("label"), (F.col("doc_id") % 3).alias("at"), (F.col("quality") + 9).cast("double").alias("tenths")).select("label", "at", (F.col("tenths") / 10).alias("faithfulness"))
+    return sinks.badge(journal)
+
+
+def exported_triples(spark, d):
+    """Nation rows, their links and assertions as triples."""
+    n = _t(spark, d, "nation").select(F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("id"), F.lit("Nation").alias("kind"), F.col("n_name").alias("name"), F.concat(F.lit("Nation "), "n_name").alias("text"), F.lit("nation").alias("source"))
+    edges = _t(spark, d, "nation").select(F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("src"), F.concat(F.lit("region:"), F.col("n_regionkey").cast("string")).alias("dst"), F.lit("part of").alias("relation"))
+    said = _t(spark, d, "nation").filter("n_nationkey > 0").select(F.col("n_nationkey").cast("long").alias("i"), F.lit("nation:0").alias("node_a"), F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("node_b"), F.lit(0.5).alias("score"), F.lit(0.5).alias("confidence"), F.lit("near").alias("reason"))
+    return triples.graph_triples(n, edges, "urn:q:").unionByName(triples.resolution_triples(said, "urn:q:"))
+
+
+
+QUERIES = {f.__name__: f for f in (compared_claims, superlative_claims, chain_checks, chain_citations, bounded_soundness, consistency_proofs, bundle_roots, mutation_detection, bundle_verdicts, redacted_bundles, bundle_approvals, canonical_json, scrubbed_json, request_keys, unicode_keys, scrubbed_secrets, split_hunks, text_forms, common_lengths, reasoned, routed, resolved_questions, composed, summarised_changes, services_found, service_answers, directory_answers, ambiguous_names, described, novel_facts, narrations, missing_terms, admitted_events, assertion_rows, split_again, floor_gates, rebased_sources, answer_texts, scorecard_text, claim_verdicts, policy_breaches, failure_signatures, shared_seconds, alias_lists, firm_stoplist, firm_stems, embedding_pairs, semantic_hits, name_vectors, drafted_actions, payloads, executions, rederived_actions, masked_receipts, smoke_checks, conformance_grid, log_sections, delivery_links, upserts, journal_badges, exported_triples)}
 
 _LEAF = "SELECT c_nationkey AS bundle_id, 'node:' || c_custkey AS name, 'sha256:' || sha256('{\"id\":' || c_custkey || ',\"name\":\"' || c_name || '\"}') AS digest FROM customer"
 _PHRASE = "' ' || trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g')) || ' '"
@@ -552,4 +679,39 @@ ORACLE_SQL = {
     "failure_signatures": _values([("R-1001", "Timeout in db", "r1:c1"), ("R-1002", "Disk full", "r2:c2"), ("R-1003", "only trailer", "r3:c1")], "run, signature, chunk_id"),
     "shared_seconds": _values([("g", 1, 2), ], "g, step, other"),
     "alias_lists": _values([(1, "a|b|c"), (2, ""), (3, "")], "id, aliases"),
+    "firm_stoplist": "SELECT term AS token FROM (SELECT DISTINCT p_partkey, unnest(string_split_regex(lower(p_name), '[^a-z0-9]+')) AS term FROM part) WHERE term <> '' GROUP BY 1 HAVING count(*) >= 100 UNION SELECT unnest(" + str(sorted(set(X.LEGAL_SUFFIXES) | set(X.ORG_DESCRIPTORS))) + ")",
+    "firm_stems": """
+        WITH p AS (SELECT p_partkey AS id, string_split_regex(lower(replace(p_name || '-' || p_brand || '-' || p_partkey, '#', '')), '[^a-z0-9]+') AS l FROM part), t AS (SELECT id, unnest(l) AS t, generate_subscripts(l, 1) AS i FROM p),
+        g AS (SELECT t FROM (SELECT DISTINCT id, t FROM t) GROUP BY t HAVING count(*) >= 3)
+        SELECT id, string_agg(t, ' ' ORDER BY i) AS stem FROM t WHERE t <> '' AND t NOT IN (SELECT t FROM g) GROUP BY id""",
+    "embedding_pairs": """
+        WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings), n AS (SELECT q.id AS qid, v.id, list_cosine_similarity(v.e, q.e) AS s FROM v, v q QUALIFY row_number() OVER (PARTITION BY q.id ORDER BY round(list_cosine_similarity(v.e, q.e), 9) DESC, v.id) <= 11)
+        SELECT least(qid, id) AS node_a, greatest(qid, id) AS node_b, round(max(s), 6) AS score, round(least(1.0, max(s)), 6) AS confidence FROM n WHERE qid <> id AND s >= 0.5 GROUP BY 1, 2""",
+    "semantic_hits": """
+        WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings), n AS (SELECT q.id AS qid, v.id, list_cosine_similarity(v.e, q.e) AS s, row_number() OVER (PARTITION BY q.id ORDER BY round(list_cosine_similarity(v.e, q.e), 9) DESC, v.id) AS rank FROM v, v q WHERE q.id % 20 = 0)
+        SELECT qid, id, round(s, 6) AS score, rank FROM n WHERE rank <= 3 AND s > 0""",
+    "name_vectors": "SELECT p_partkey, 64 AS size, length(p_name)::DOUBLE AS grams FROM part",
+    "drafted_actions": _values([(1, "incident", "R-1 failed", "boom\nDisk full", 2, 2, True), (2, "pr_summary", "PR-2", "x", 0, 1, False), (5, "incident", "t", "boom", 0, 1, False)], "qid, action, title, body, faithful, total, grounded"),
+    "payloads": _values([(1, "/issues", '{"title":"R-1 failed","body":"```\\nboom\\nDisk full\\n```","labels":["incident"]}', False, True), (2, "/issues", None, True, False), (5, "/issues", None, True, False)], "qid, target, payload, withheld, has_key"),
+    "executions": "SELECT o_orderkey AS qid, CASE WHEN o_orderstatus = 'P' THEN 'withheld' WHEN o_orderkey % 3 = 0 THEN 'exists' WHEN o_orderkey % 2 = 1 THEN 'not approved' ELSE 'simulated' END AS outcome FROM orders",
+    "rederived_actions": _values([(1, "the payload does not re-derive"), (2, "an unapproved payload was sent"), (5, None), (9, "no such action")], "qid, problem"),
+    "masked_receipts": "SELECT n_nationkey, '***' AS api_key, n_name AS name, '***' AS auth FROM nation",
+    "smoke_checks": "SELECT 'keys' AS name, CASE WHEN bool_and(o_orderkey IS NOT NULL) THEN 'PASS' ELSE 'FAIL' END AS status FROM orders UNION ALL SELECT 'positive', CASE WHEN bool_and(o_totalprice > 100000) THEN 'PASS' ELSE 'WARN' END FROM orders UNION ALL SELECT 'status', CASE WHEN bool_and(o_orderstatus = 'F') THEN 'PASS' ELSE 'FAIL' END FROM orders UNION ALL SELECT 'none', 'SKIP'",
+    "conformance_grid": _values([("hash only", "outsider", 5, 5), ("hash only", "issuer", 5, 6), ("claims only", "outsider", 0, 5), ("claims only", "issuer", 1, 6), ("re-execution", "outsider", 5, 5), ("re-execution", "issuer", 6, 6)], "method, threat, detected, applicable"),
+    "log_sections": _values([(1, "build"), (2, "result"), (3, "header"), (4, "a --- b"), (5, "open")], "id, section"),
+    "delivery_links": """
+        SELECT 'Pipeline:' || c_custkey AS src, 'Component:' || c_nationkey AS dst, 'builds' AS relation FROM customer UNION ALL SELECT 'Run:' || o_orderkey, 'Pipeline:' || o_custkey, 'executes' FROM orders
+        UNION ALL SELECT 'Ticket:T-' || c_custkey, 'Component:' || c_nationkey, 'concerns' FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT 'PR:' || o_orderkey, 'Ticket:T-' || o_custkey, 'motivated_by' FROM orders WHERE o_orderkey % 10 = 0""",
+    "upserts": """
+        SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events WHERE user_id % 2 = 0 GROUP BY 1
+        UNION ALL SELECT user_id, min(event_id), 'old' FROM events WHERE event_id % 2 = 0 AND user_id % 2 = 1 GROUP BY 1""",
+    "journal_badges": """
+        WITH j AS (SELECT lang AS label, doc_id % 3 AS at_, (quality + 9) / 10.0 AS f FROM labels JOIN documents USING (doc_id)), m AS (SELECT label, max(at_) AS at_ FROM j GROUP BY 1), l AS (SELECT label, min(f)::DOUBLE AS f FROM j JOIN m USING (label, at_) GROUP BY 1)
+        SELECT label, f AS faithfulness, CASE WHEN f >= 1 THEN 'green' WHEN f >= 0.9 THEN 'yellow' ELSE 'red' END AS colour FROM l""",
+    "exported_triples": """
+        WITH n AS (SELECT n_nationkey AS k, n_name, n_regionkey AS r, 'urn:q:node/nation%3A' || n_nationkey AS s FROM nation)
+        SELECT s, 'urn:q:prop/kind' AS p, 'Nation' AS o, false AS is_iri FROM n UNION ALL SELECT s, 'urn:q:prop/name', n_name, false FROM n UNION ALL SELECT s, 'urn:q:prop/text', 'Nation ' || n_name, false FROM n UNION ALL SELECT s, 'urn:q:prop/source', 'nation', false FROM n
+        UNION ALL SELECT s, 'urn:q:rel/part%20of', 'urn:q:node/region%3A' || r, true FROM n
+        UNION ALL SELECT 'urn:q:resolution/' || k, 'urn:q:prop/a', 'urn:q:node/nation%3A0', true FROM n WHERE k > 0 UNION ALL SELECT 'urn:q:resolution/' || k, 'urn:q:prop/b', s, true FROM n WHERE k > 0
+        UNION ALL SELECT 'urn:q:resolution/' || k, 'urn:q:prop/' || p, v, false FROM n, (VALUES ('score', '0.5'), ('confidence', '0.5'), ('reason', 'near')) x(p, v) WHERE k > 0""",
 }
