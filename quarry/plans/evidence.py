@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import json_text, signatures
 from ..functions import text as X
-from ..operators import actions, bundle, conclusions, disclosure, graph, integrity, semantic, sinks, soundness, temporal, triples
+from ..operators import actions, bundle, conclusions, disclosure, graph, integrity, resolution, semantic, sinks, soundness, temporal, totals, triples
 from ..operators import claims as claim_shapes
 from ..sources import chunking, datasets, readers
 from . import business, lookup, root_cause
@@ -607,8 +607,18 @@ def exported_triples(spark, d):
     return triples.graph_triples(n, edges, "urn:q:").unionByName(triples.resolution_triples(said, "urn:q:"))
 
 
+def ranked_firms(spark, d):
+    """180 invented firms built, resolved, clustered and ranked by currency."""
+    firms = graph.cut_lineage(datasets.invented_firms(spark, 180))
+    names = firms.select(F.col("id").alias("seq"), "id", "name", "city")
+    found = resolution.resolve(names, resolution.generic_tokens(spark, names), fields=("city",))
+    entity = graph.components(firms, found)
+    sums = totals.subtotals(firms.join(entity, "id"), "entity_id", "currency", "amount")
+    size = entity.groupBy("entity_id").count()
+    return totals.superlative(sums).crossJoin(size.agg(F.count(F.lit(1)).alias("clusters"), F.max("count").alias("largest")))  # one row
 
-QUERIES = {f.__name__: f for f in (compared_claims, superlative_claims, chain_checks, chain_citations, bounded_soundness, consistency_proofs, bundle_roots, mutation_detection, bundle_verdicts, redacted_bundles, bundle_approvals, canonical_json, scrubbed_json, request_keys, unicode_keys, scrubbed_secrets, split_hunks, text_forms, common_lengths, reasoned, routed, resolved_questions, composed, summarised_changes, services_found, service_answers, directory_answers, ambiguous_names, described, novel_facts, narrations, missing_terms, admitted_events, assertion_rows, split_again, floor_gates, rebased_sources, answer_texts, scorecard_text, claim_verdicts, policy_breaches, failure_signatures, shared_seconds, alias_lists, firm_stoplist, firm_stems, embedding_pairs, semantic_hits, name_vectors, drafted_actions, payloads, executions, rederived_actions, masked_receipts, smoke_checks, conformance_grid, log_sections, delivery_links, upserts, journal_badges, exported_triples)}
+
+QUERIES = {f.__name__: f for f in (compared_claims, superlative_claims, chain_checks, chain_citations, bounded_soundness, consistency_proofs, bundle_roots, mutation_detection, bundle_verdicts, redacted_bundles, bundle_approvals, canonical_json, scrubbed_json, request_keys, unicode_keys, scrubbed_secrets, split_hunks, text_forms, common_lengths, reasoned, routed, resolved_questions, composed, summarised_changes, services_found, service_answers, directory_answers, ambiguous_names, described, novel_facts, narrations, missing_terms, admitted_events, assertion_rows, split_again, floor_gates, rebased_sources, answer_texts, scorecard_text, claim_verdicts, policy_breaches, failure_signatures, shared_seconds, alias_lists, firm_stoplist, firm_stems, embedding_pairs, semantic_hits, name_vectors, drafted_actions, payloads, executions, rederived_actions, masked_receipts, smoke_checks, conformance_grid, log_sections, delivery_links, upserts, journal_badges, exported_triples, ranked_firms)}
 
 _LEAF = "SELECT c_nationkey AS bundle_id, 'node:' || c_custkey AS name, 'sha256:' || sha256('{\"id\":' || c_custkey || ',\"name\":\"' || c_name || '\"}') AS digest FROM customer"
 _PHRASE = "' ' || trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g')) || ' '"

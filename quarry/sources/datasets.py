@@ -133,5 +133,6 @@ def invented_firms(spark: SparkSession, n: int, seed: int = 20260605) -> DataFra
     first = pick("first", ["Granite", "Pyrite", "Cobalt", "Basalt", "Quartz", "Slate", "Flint", "Marble", "Onyx", "Agate"])
     second = pick("second", ["Works", "Holdings", "Trading", "Foundry", "Mills", "Logistics", "Press", "Labs"])
     form = F.element_at(F.array(*map(F.lit, ["GmbH", "Inc", "Ltd", "AG"])), (F.col("id") % 4 + 1).cast("int"))
+    code = F.initcap(F.translate(F.substring(F.md5(F.col("base").cast("string")), 1, 8), "0123456789", "ghijklmnop"))
     rows = spark.range(n).withColumn("base", base)
-    return rows.select("id", F.concat(first, F.lit(" "), second, F.lit(" "), F.col("base").cast("string"), F.lit(" "), form).alias("name"), pick("city", ["Aachen", "Bern", "Graz", "Lyon"]).alias("city"), pick("currency", ["EUR", "USD"]).alias("currency"), (F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(10_000_000)) / 100).cast("decimal(12,2)").alias("amount"))
+    return rows.select("id", F.concat(first, F.lit(" "), second, F.lit(" "), code, F.lit(" "), form).alias("name"), pick("city", ["Aachen", "Bern", "Graz", "Lyon"]).alias("city"), pick("currency", ["EUR", "USD"]).alias("currency"), (F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(10_000_000)) / 100).cast("decimal(12,2)").alias("amount"))

@@ -65,6 +65,13 @@ def test_invented_firms_do_not_depend_on_partitions(spark):
     assert a == sorted(map(tuple, datasets.invented_firms(spark, 50).repartition(3).collect())) and len({r[1] for r in a}) == 50
 
 
+def test_firms_are_resolved_and_ranked(spark):
+    from quarry.plans import evidence
+
+    out = evidence.ranked_firms(spark, "").collect()
+    assert len(out) == 2 and {(r["clusters"], r["largest"]) for r in out} == {(146, 2)}  # two short names with GmbH and AG stay below the ratio
+
+
 def fetch(target, page, per_page):
     return [json.dumps({"n": k, "of": target}) for k in range((page - 1) * per_page, min(page * per_page, 250))]
 
