@@ -18,6 +18,7 @@ read; texts of any length are coded whole, in pieces, and results leave in batch
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
@@ -28,7 +29,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import id_text, map_rows, portions
+from .common import id_text, map_rows, portions, tidied
 
 #: Text that goes into one batch of results, about.
 OUT_BYTES = 2 << 20
@@ -61,7 +62,7 @@ class Transducer:
     one emitted) that lead to it, and the last token emitted if one of these chains is empty.
     """
 
-    def __init__(self, ranks: dict[bytes, int], limit: int = 600_000):
+    def __init__(self, ranks: dict[bytes, int], limit: int = 400_000):
         self.ranks, self.limit = ranks, limit
         self.bytes_of = {i: t for t, i in ranks.items()}
         self.prefixes = {t[:k] for t in ranks for k in range(1, len(t))}
@@ -202,11 +203,11 @@ class Codec:
 
     STEP = 1 << 15
 
-    def __init__(self, ranks_path: str, pattern: str, kept: int = 450_000):
+    def __init__(self, ranks_path: str, pattern: str, kept: int = 450_000, arcs: int = 400_000):
         self.kept = kept
         ranks = load_ranks(ranks_path)
         self.split = regex.compile(pattern).findall
-        self.transducer = Transducer(ranks)
+        self.transducer = Transducer(ranks, arcs)
         self.bytes_of = {str(i): t for t, i in ranks.items()}
         self.bare, self.spaced = _Arcs(self, ""), _Arcs(self, " ")
 
@@ -251,26 +252,35 @@ class Codec:
         return {"n_tokens": count, "ids": np.concatenate(ids), "decoded": "".join(texts) + last, "ids_sha256": coded.hexdigest(), "decoded_sha256": decoded.hexdigest()}
 
 
-@lru_cache(maxsize=2)
-def codec(ranks_path: str, pattern: str) -> Codec:
+@lru_cache(maxsize=1)
+def codec(*args) -> Codec:
     """One per Python worker: what it has learnt serves the next tasks."""
-    return Codec(ranks_path, pattern)
+    return Codec(*args)
+
+
+def forget() -> None:
+    codec.cache_clear()
+    gc.collect()  # a codec and its tables refer to each other
 
 
 TYPES = {"n_tokens": ("long", pa.int64()), "ids": ("array<int>", pa.list_(pa.int32())), "decoded": ("string", pa.string()), "ids_sha256": ("string", pa.string()), "decoded_sha256": ("string", pa.string())}
 
 
-def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, columns: tuple[str, ...] = tuple(TYPES), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id and the wanted columns of TYPES. ranks_path must be there on every executor."""
+def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, columns: tuple[str, ...] = tuple(TYPES), id_col: str = "doc_id", text_col: str = "text", kept: int = 450_000, arcs: int = 400_000, lasting: bool = True) -> DataFrame:
+    """One row per input row: doc_id and the wanted columns of TYPES. ranks_path must be there on every executor.
+
+    kept and arcs bound the tables of a worker, some 300 and 600 bytes an entry; unless lasting, they go with each task,
+    so that other stages find the memory free.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, want = codec(ranks_path, pattern), set(columns)
+        c, want = codec(ranks_path, pattern, kept, arcs), set(columns)
         for whole in batches:
             for batch in portions(whole, 1, OUT_BYTES):
                 rows = [c.round_trip(x.as_py(), want) for x in batch.column(1)]
                 yield pa.record_batch([batch.column(0), *(pa.array([r[k] for r in rows], TYPES[k][1]) for k in columns)], ["doc_id", *columns])
 
-    return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, " + ", ".join(f"{k} {TYPES[k][0]}" for k in columns))
+    return id_text(docs, id_col, text_col).mapInArrow(tidied(run, None if lasting else forget), "doc_id long, " + ", ".join(f"{k} {TYPES[k][0]}" for k in columns))
 
 
 def decode_ids(rows: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

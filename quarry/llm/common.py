@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -70,6 +72,15 @@ def small(df: DataFrame, row_bytes: int, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if n * row_bytes <= BROADCAST_BYTES else df
 
 
+def small_measured(df: DataFrame, *wide: str) -> DataFrame:
+    """As small(), with the bytes of its wide columns (strings or arrays of strings) added up instead of assumed."""
+    kinds = dict(df.dtypes)
+    size = lambda c: F.aggregate(F.coalesce(c, F.array().cast("array<string>")), F.lit(0).cast("long"), lambda n, x: n + F.octet_length(x) + 16) if kinds[c].startswith("array") else F.octet_length(c)
+    bytes_ = sum((size(c) for c in wide), F.lit(48))
+    total = df.agg(F.sum(bytes_)).first()[0] or 0
+    return F.broadcast(df) if 2 * total <= BROADCAST_BYTES else df
+
+
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns an operator needs, so that extra columns can't clash; a null text is empty."""
     return docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
@@ -79,6 +90,25 @@ def sha_hex(col: Column) -> Column:
     return F.sha2(col.cast("binary"), 256)
 
 
+def _give_back() -> None:
+    """Returns freed memory to the system: idle workers stay, and else keep what their last task needed at most."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], after: Callable[[], None] | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow that leaves the worker without what the task needed; `after` is called first."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        if after is not None:
+            after()
+        _give_back()
+
+    return whole
+
+
 def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """Applies a batch function to each Arrow batch."""
 
@@ -87,7 +117,7 @@ def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None
             if batch.num_rows and (out := fn(batch)) is not None:
                 yield out
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidied(run), schema)
 
 
 def portions(batch: pa.RecordBatch, column: int, size: int) -> Iterator[pa.RecordBatch]:

@@ -5,9 +5,9 @@
 2. Three global orders by three hashes; under the first, shingles that `heavy` texts or more hold come last (at most
    `table_rows` of them, the most frequent, so that the table that tells them has a bound). Sets that reach the threshold
    share a token of their prefixes under every order. Prefix tokens of the first order are dealt to buckets; those that
-   two classes share form groups. A candidate pair must pass the filters of sizes and of positions (what is common up to
-   the last shared prefix token and what can still follow), then share prefix tokens under the other two orders too;
-   only then it is verified on its whole sets.
+   two classes share form groups. A candidate pair must pass the filters of sizes, of positions (what is common up to
+   the last shared prefix token and what can still follow) and of signatures (sets that differ in few shingles differ in
+   few bits), then share prefix tokens under the other two orders too; only then it is verified on its whole sets.
 3. Pairs of a group are not all made. In a voting round each class meets only the one hub, a class of the largest component
    of a group, with which it shares most groups; links join components, and groups inside one component are done. Voting
    goes on while it links and much is left. Then the classes outside a group's largest component meet all others of the
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .buckets import pack, unpack
-from .common import Powers, Tables, id_text, map_rows, mix, portions, raw_bytes, small
+from .common import Powers, Tables, id_text, map_rows, mix, portions, raw_bytes, small, tidied
 
 BLOCK = 1 << 20
 #: Text that a map unit works on at once.
@@ -142,13 +142,14 @@ def _long(tokens: np.ndarray) -> np.ndarray:
     return tokens.view(np.int64)
 
 
-SETS = "did long, n long, cid binary, second array<int>, third array<int>"
+SIGNATURE = ["s0", "s1", "s2", "s3"]
+SETS = "did long, n long, cid binary, second array<int>, third array<int>, " + ", ".join(f"{c} long" for c in SIGNATURE)
 
 
 def _sets_pass(docs: DataFrame, rule: Rule) -> DataFrame:
-    """Rows of texts (did, n, cid, prefixes under the other orders as 32 bits of each token).
+    """Rows of texts (did, n, cid, prefixes under the other orders as 32 bits of each token, signature).
 
-    The prefixes stand at one text of each class and map unit; a collision only lets a pair pass.
+    Prefixes and signature stand at one text of each class and map unit; a collision only lets a pair pass.
     """
     listed = pa.list_(pa.int32())
     names = [x.split(" ")[0] for x in SETS.split(", ")]
@@ -159,9 +160,17 @@ def _sets_pass(docs: DataFrame, rule: Rule) -> DataFrame:
                 sets = shingle_sets(batch.column(1), rule.words)
                 cids, fresh = classes(sets)
                 others = [pa.array([None if s is None else s[foremost(s, rank(s, order), rule.percent)].astype(np.uint32).view(np.int32) for s in fresh], listed) for order in (1, 2)]
-                yield pa.record_batch([batch.column(0), pa.array(list(map(len, sets)), pa.int64()), pa.array(cids, pa.binary()), *others], names)
+                bits = [signature(s) if s is not None else None for s in fresh]
+                signatures = [pa.array([None if b is None else int(b[k]) for b in bits], pa.int64()) for k in range(len(SIGNATURE))]
+                yield pa.record_batch([batch.column(0), pa.array(list(map(len, sets)), pa.int64()), pa.array(cids, pa.binary()), *others, *signatures], names)
 
-    return docs.mapInArrow(run, SETS)
+    return docs.mapInArrow(tidied(run), SETS)
+
+
+def signature(tokens: np.ndarray) -> np.ndarray:
+    """A bit for each of 256 hash slots, set if an odd number of tokens fall there: sets that differ in d tokens differ in d bits at most."""
+    odd = np.bincount((mix(tokens, 7) % np.uint64(64 * len(SIGNATURE))).astype(np.int64), minlength=64 * len(SIGNATURE)) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def classes(sets: list[np.ndarray]) -> tuple[list[bytes | None], list[np.ndarray | None]]:
@@ -204,7 +213,7 @@ def _heavy(docs: DataFrame, rule: Rule, buckets: int, tables: Tables) -> np.ndar
         key = word[edge[often]].astype(np.uint64) * np.uint64(buckets) + np.uint64(t["bucket"][0].as_py())
         return pa.table({"key": _long(key), "count": total[often]})
 
-    counts = docs.mapInArrow(send, "bucket long, keys binary, counts binary")
+    counts = docs.mapInArrow(tidied(send), "bucket long, keys binary, counts binary")
     found = tables.write(counts.groupBy("bucket").applyInArrow(meet, "key long, count long"), "heavy")
     level, room, least = F.floor(F.log2("count") * 8).cast("int"), rule.table_rows, 0
     for r in sorted(found.groupBy(level.alias("level")).count().collect(), reverse=True):  # some hundred levels at most
@@ -263,7 +272,7 @@ def _shared_tokens(docs: DataFrame, rule: Rule, heavy: Broadcast, buckets: int)
             token, owner, place = token[keep], owner[keep], place[keep]
         return pa.table({"token": _long(token), "did": owner, "pos": place.astype(np.int64)})
 
-    return docs.mapInArrow(send, "bucket long, keys binary, owners binary, places binary, flags binary").groupBy("bucket").applyInArrow(meet, "token long, did long, pos long")
+    return docs.mapInArrow(tidied(send), "bucket long, keys binary, owners binary, places binary, flags binary").groupBy("bucket").applyInArrow(meet, "token long, did long, pos long")
 
 
 def _whole_sets(docs: DataFrame, rows: DataFrame, cids: DataFrame, rule: Rule, tables: Tables) -> DataFrame:
@@ -276,7 +285,7 @@ def _whole_sets(docs: DataFrame, rows: DataFrame, cids: DataFrame, rule: Rule, t
                 found = [s for s in shingle_sets(batch.column(1), rule.words) if len(s)]
                 yield pa.record_batch([pa.array(map(class_of, found), pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], ["cid", "tokens"])
 
-    return docs.join(small(firsts, 16), "did", "left_semi").select("did", "text").mapInArrow(run, "cid binary, tokens binary").dropDuplicates(["cid"])
+    return docs.join(small(firsts, 16), "did", "left_semi").select("did", "text").mapInArrow(tidied(run), "cid binary, tokens binary").dropDuplicates(["cid"])
 
 
 def _both(pairs: DataFrame, table: DataFrame, *cols: str) -> DataFrame:
@@ -349,21 +358,23 @@ def _votes(group: DataFrame, salt: int, percent: int) -> DataFrame:
     return votes.select(F.least("b", "best.a").alias("a"), F.greatest("b", "best.a").alias("b")).distinct()
 
 
-def _everyone(group: DataFrame, sizes: DataFrame, salt: int, most: int, percent: int, tables: Tables) -> tuple[DataFrame, DataFrame]:
+def _everyone(group: DataFrame, sizes: DataFrame, rows: DataFrame, salt: int, most: int, percent: int, tables: Tables) -> tuple[DataFrame, DataFrame]:
     """(pairs, those who leave): of the classes outside a group's largest component some meet all others of the group."""
     # `share` of them, by a hash that changes with each round, so that about `most` pairs of a group are made, of two classes at least
     share = sizes.select("token", F.col("label").alias("most"), (F.greatest(F.lit(float(most)), 2 * F.col("m")) / (F.col("minor") * F.col("m"))).alias("share"))
-    marked = group.join(share, "token")
+    own = rows.filter("second is not null").select("cid", *SIGNATURE).join(group.select("cid").distinct(), "cid", "left_semi").dropDuplicates(["cid"])
+    marked = group.join(share, "token").join(small(own, 64), "cid")
     drawn = (F.pmod(F.xxhash64(F.lit(salt), "cid"), F.lit(1 << 20)) < F.col("share") * (1 << 20)) | (F.col("share") >= 1)
     marked = marked.withColumn("hub", (F.col("label") != F.col("most")) & drawn).withColumn("whole", F.col("share") >= 1)
-    marked = tables.write(marked.select("token", "cid", "n", "pos", "above", "label", "hub", "whole"), "hubs")
+    marked = tables.write(marked.select("token", "cid", "n", "pos", "above", "label", "hub", "whole", *SIGNATURE), "hubs")
     hubs = marked.filter("hub")
     # the count of common tokens is only known for classes all of whose groups are compared at once
     crowded = marked.filter("not whole").select("cid").distinct()
-    x = hubs.select("token", F.col("cid").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("above").alias("ax"), F.col("label").alias("lx"))
-    y = marked.select("token", F.col("cid").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), F.col("above").alias("ay"), F.col("label").alias("ly"), "hub")
+    x = hubs.select("token", F.col("cid").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("above").alias("ax"), F.col("label").alias("lx"), *(F.col(c).alias(f"{c}x") for c in SIGNATURE))
+    y = marked.select("token", F.col("cid").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), F.col("above").alias("ay"), F.col("label").alias("ly"), "hub", *(F.col(c).alias(f"{c}y") for c in SIGNATURE))
     met = x.join(y, "token").filter((F.col("lx") != F.col("ly")) & (~F.col("hub") | (F.col("x") < F.col("y"))))
-    met = met.filter(_can(F.col("nx"), F.col("px"), F.col("ny"), F.col("py"), F.least("ax", "ay") + 1, percent))
+    differ = sum((F.bit_count(F.col(f"{c}x").bitwiseXOR(F.col(f"{c}y"))) for c in SIGNATURE), F.lit(0))
+    met = met.filter(_can(F.col("nx"), F.col("px"), F.col("ny"), F.col("py"), F.least("ax", "ay") + 1, percent) & (differ * (100 + percent) <= (F.col("nx") + F.col("ny")) * (100 - percent)))
     first = F.col("x") < F.col("y")
     pick = lambda p, q, name: F.when(first, F.col(p)).otherwise(F.col(q)).alias(name)
     met = met.select(pick("x", "y", "a"), pick("y", "x", "b"), pick("nx", "ny", "na"), pick("ny", "nx", "nb"), pick("px", "py", "pa"), pick("py", "px", "pb"))
@@ -407,7 +418,7 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id"
         if voting:
             pairs = _votes(group, salt, rule.percent)
         else:
-            pairs, leaving = _everyone(group, sizes, salt, most, rule.percent, tables)
+            pairs, leaving = _everyone(group, sizes, rows, salt, most, rule.percent, tables)
             most *= 4
             group = group.join(leaving, ["token", "cid"], "left_anti")
         salt += 1

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, map_rows, materialise, small
+from .common import id_text, map_rows, materialise, small, small_measured
 
 KINDS = ("email", "ip", "card", "phone", "term")
 _domain = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -153,7 +153,7 @@ def disclosing_terms(evidence: DataFrame, docs: DataFrame, rule: Disclosure) ->
     near = words.join(kept, "content").groupBy("entity", "term", "with_entity").agg(F.count(F.lit(1)).alias("both"))
     near = materialise(near.join(anywhere, "term").filter(lower_bound(F.col("both"), F.col("anywhere"), rule.deviations) >= rule.min_share - 1e-9), "near")
     names = near.select("term").distinct()
-    of_term = word_rows(docs.select("content", "text")).join(small(names, 64), "term", "left_semi").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("with_term"))
+    of_term = word_rows(docs.select("content", "text")).join(small_measured(names, "term"), "term", "left_semi").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("with_term"))
     total = docs.select(F.countDistinct("content").alias("total"))
     joined = near.join(of_term, "term").join(F.broadcast(total), F.lit(True))  # one row
     share = lower_bound(F.col("both"), F.greatest("with_term", "anywhere"), rule.deviations)
@@ -185,7 +185,7 @@ def personal_data(docs: DataFrame, rule: Disclosure = Disclosure(), id_col: str
     if terms.isEmpty():
         return base
     words = word_rows(docs)
-    hits = materialise(words.join(small(terms, 64), "term").groupBy("doc_id").agg(F.collect_set("term").alias("terms")).withColumnRenamed("doc_id", "hit_id"), "hits")
+    hits = materialise(words.join(small_measured(terms, "term"), "term").groupBy("doc_id").agg(F.collect_set("term").alias("terms")).withColumnRenamed("doc_id", "hit_id"), "hits")
     n = hits.count()
     on = F.col("doc_id").eqNullSafe(F.col("hit_id"))
 
@@ -197,5 +197,5 @@ def personal_data(docs: DataFrame, rule: Disclosure = Disclosure(), id_col: str
             rows.append(_row(base, sorted(base + term_spans(text, set(terms)))))
         return _batch(batch.column(0), rows)
 
-    touched = map_rows(docs.join(small(hits, 128, n), on).select("doc_id", "text", "terms"), second, SCHEMA)
+    touched = map_rows(docs.join(small_measured(hits, "terms"), on).select("doc_id", "text", "terms"), second, SCHEMA)
     return base.join(small(hits.select("hit_id"), 16, n), on, "left_anti").unionByName(touched)

@@ -11,13 +11,16 @@
    half of the rest must agree if any window does), the suffixes of these dictionary phrases, cut off at `length` bytes,
    are put in order together with their documents, again by map units first and then by buckets. In this order equal
    windows stand together, the smallest document first, which is the corpus order that matters here: all others lose
-   the window's bytes. The order is that of 64-bit fingerprints, not of bytes, since only equality counts.
+   the window's bytes. The order is that of fingerprints, not of bytes, since only equality counts. Windows are equal by
+   96 bits of two hashes with different bases, phrases by 64 bits and the 40 bits of their trigger.
 4. The documents that lose something are parsed once more, and the bytes of lost phrases and windows are taken out.
 
 No task gets more rows of one phrase or window than there are map units, whatever the number of copies.
 
 Defined results: a null text is empty; a null id counts as smaller than all others; rows with one id don't take bytes
-from each other; an empty table gives no rows; other columns are not read; texts are treated whole.
+from each other; an empty table gives no rows; other columns are not read; texts are treated whole, and the lost phrases
+and windows of a text travel in one row, 8 bytes each, which bounds a text with no lost phrase but only lost windows to
+some 250 MB.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .buckets import unpack
-from .common import Powers, id_text, materialise, mix, raw_bytes, sha_hex, small
+from .common import Powers, id_text, materialise, mix, raw_bytes, sha_hex, small, tidied
 
 TRIGGER = 20
 BLOCK = 1 << 20
@@ -42,6 +45,7 @@ MANY = 16
 NO_ID = -(1 << 63)
 PHRASE, WINDOW, ASK = 0, 1, 2
 _powers = Powers(0xD1342543DE82EF95, 31)
+_again = Powers(0xAF251AF3B0F025B5, 37)
 _low = np.uint64((1 << 24) - 1)
 
 
@@ -51,7 +55,8 @@ class Parse:
     def __init__(self, data: np.ndarray, offsets: np.ndarray, length: int):
         n, w = len(data), length - TRIGGER + 1
         self.length = length
-        self.sums = sums = _powers.prefix(data)
+        self.data, self.sums = data, _powers.prefix(data)
+        sums = self.sums
         at = np.arange(n - TRIGGER + 1)
         rolled = mix((sums[TRIGGER:] - sums[:-TRIGGER]) * _powers.down[: len(at)])
         low = (rolled & ~_low) | at.astype(np.uint64)
@@ -90,6 +95,10 @@ class Parse:
         start = np.repeat(self.start[chosen] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
         return start, mix(_powers.span(self.sums, start, start + self.length), 9)
 
+    def checks(self, start: np.ndarray) -> np.ndarray:
+        """32 bits more of the windows from some places on."""
+        return (_again.span(_again.prefix(self.data), start, start + self.length) >> np.uint64(32)).astype(np.uint32)
+
 
 def parses(data: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tuple[Parse, int, int]]:
     """(parse, first text, place in data) of blocks of whole texts, or of pieces of a text that is longer than a block."""
@@ -224,7 +233,7 @@ def phrase_findings(docs: DataFrame, length: int, buckets: int) -> DataFrame:
         trigger = spot.astype(np.uint64) * np.uint64(buckets) + np.uint64(bucket)
         return pa.concat_tables([_found(PHRASE, did[loses], phrase[loses]), _found(ASK, did[ask], trigger[ask])])
 
-    return docs.mapInArrow(send, PACKED).groupBy("bucket").applyInArrow(meet, FOUND)
+    return docs.mapInArrow(tidied(send), PACKED).groupBy("bucket").applyInArrow(meet, FOUND)
 
 
 def window_findings(asked: DataFrame, length: int, buckets: int) -> DataFrame:
@@ -240,39 +249,40 @@ def window_findings(asked: DataFrame, length: int, buckets: int) -> DataFrame:
                 owner = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
                 # a text's number and its trigger in one value: equal ones may only add comparisons
                 wanted = np.sort(mix(wanted, 3) + owner.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                prints, dids = [], []
+                prints, checks, dids = [], [], []
                 for p, k, _ in parses(data, offsets, length):
                     own = mix(p.trigger, 3) + (p.text + k).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
                     chosen = wanted[np.minimum(np.searchsorted(wanted, own), len(wanted) - 1)] == own
                     start, value = p.windows(np.flatnonzero(chosen))
                     prints.append(value)
+                    checks.append(p.checks(start))
                     dids.append(ids[np.repeat(p.text[chosen] + k, p.count[chosen])])
                 if not prints or not sum(map(len, prints)):
                     continue
-                value, did = np.concatenate(prints), np.concatenate(dids)
-                order = np.lexsort((did, value))
-                value, did = value[order], did[order]
-                once = _starts(value, did)
-                value, did = value[once], did[once]
-                first = _starts(value)
+                value, check, did = map(np.concatenate, (prints, checks, dids))
+                order = np.lexsort((did, check, value))
+                value, check, did = value[order], check[order], did[order]
+                once = _starts(value, check, did)
+                value, check, did = value[once], check[once], did[once]
+                first = _starts(value, check)
                 if not first.all():
                     yield _direct(WINDOW, did[~first], value[~first])
-                value, did = value[first], did[first]
+                value, check, did = value[first], check[first], did[first]
                 order = np.argsort(did, kind="stable")
-                yield _send(((value[order] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64), buckets, {"phrase": value[order], "did": did[order]})
+                yield _send(((value[order] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64), buckets, {"spot": check[order], "phrase": value[order], "did": did[order]})
 
     def meet(t: pa.Table) -> pa.Table:
         if (passed := _passed(t)) is not None:
             return passed
-        value, did = unpack(t, {"phrase": np.uint64, "did": np.int64})
-        order = np.lexsort((did, value))
-        value, did = value[order], did[order]
-        first = _starts(value)
+        check, value, did = unpack(t, {"spot": np.uint32, "phrase": np.uint64, "did": np.int64})
+        order = np.lexsort((did, check, value))
+        check, value, did = check[order], value[order], did[order]
+        first = _starts(value, check)
         least = did[np.flatnonzero(first)][np.cumsum(first) - 1]
         loses = did > least
         return _found(WINDOW, did[loses], value[loses])
 
-    return asked.mapInArrow(send, PACKED).groupBy("bucket").applyInArrow(meet, FOUND)
+    return asked.mapInArrow(tidied(send), PACKED).groupBy("bucket").applyInArrow(meet, FOUND)
 
 
 def cut(data: np.ndarray, phrases: np.ndarray, windows: np.ndarray, length: int) -> tuple[bytes, list[tuple[int, int]]]:
@@ -331,5 +341,5 @@ def remove_repeats(docs: DataFrame, length: int = 50, texts: bool = False, id_co
 
     touched = docs.join(small(lists.select("did"), 16, n_lost), "did", "left_semi").join(lists, "did").select("did", "text", "phrases", "windows")
     schema = "did long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", spans array<struct<start:long, end:long>>, kept binary" * texts
-    out = untouched.unionByName(touched.mapInArrow(run, schema))
+    out = untouched.unionByName(touched.mapInArrow(tidied(run), schema))
     return out.select(own, *out.columns[1:])

@@ -1,6 +1,8 @@
 """Plain versions of the operators, row by row, for small tables."""
 
 import hashlib
+import itertools
+import math
 import re
 from collections import Counter
 
@@ -127,3 +129,75 @@ def quality(text, min_repeat=10):
                 covered |= set(range(i, i + k)) | set(range(j, j + k))
     kept = not failed and 100 * len(covered) <= 25 * n and 100 * longest <= 15 * n
     return n, sum(map(len, w)), sum(text.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(repeat), failed, kept
+
+
+def terms(rows, base_spans, deviations=1.0, min_share=0.5, min_bits=6.0):
+    """Disclosing terms by the definition: rows (id, text); equal texts count once; base_spans(text) gives (start, kind, end)."""
+    texts = {t or "" for _, t in rows}
+    word = re.compile(r"[^\W_]{3,}")
+    split = re.compile(r"[\W_]+")
+    held = {t: set(filter(None, split.split(t.lower()))) for t in texts}
+    near = {}
+    entities = {}
+    for t in texts:
+        spans = base_spans(t)
+        found = {(k, t[a:b].lower() if k < 2 else "".join(c for c in t[a:b] if c in "0123456789")) for a, k, b in spans}
+        rest = list(t)
+        for a, _, b in spans:
+            rest[a:b] = "\0" * (b - a)
+        words = {m[0].lower() for m in word.finditer("".join(rest))}
+        for e in found:
+            entities[e] = entities.get(e, 0) + 1
+            for w in words:
+                near[e, w] = near.get((e, w), 0) + 1
+    out = set()
+    z = deviations
+    for (e, w), both in near.items():
+        of = sum(w in h for h in held.values())
+        p = both / of
+        low = (p + z * z / (2 * of) - z * (p * (1 - p) / of + z * z / (4 * of * of)) ** 0.5) / (1 + z * z / of)
+        if low >= min_share - 1e-9 and math.log2(low / (entities[e] / len(texts))) >= min_bits:
+            out.add(w)
+    return out
+
+
+def boilerplate(pages, min_run=8, min_share=0.05, min_pages=3):
+    """pages (host, blocks) of different contents: the blocks without what enough pages of the host share."""
+    by, count = {}, {}
+    for host, blocks in pages:
+        by[host] = by.get(host, 0) + 1
+        for run in {tuple(w[i : i + min_run]) for b in blocks for w in [b.split(" ")] for i in range(len(w) - min_run + 1)}:
+            count[host, run] = count.get((host, run), 0) + 1
+    out = []
+    for host, blocks in pages:
+        bound, kept = max(min_pages, -(-by[host] * min_share // 1)), []
+        for b in blocks:
+            w = b.split(" ")
+            gone = set()
+            for i in range(len(w) - min_run + 1):
+                if by[host] >= min_pages and count[host, tuple(w[i : i + min_run])] >= bound:
+                    gone |= set(range(i, i + min_run))
+            left = " ".join(x for i, x in enumerate(w) if i not in gone)
+            if left:
+                kept.append(left)
+        out.append("\n\n".join(kept))
+    return out
+
+
+def cheapest(patterns, quotas, most):
+    """(words, cost) of the best routing by trying all: patterns (sources, words), small numbers only."""
+    options = [[x for x in itertools.product(range(n * most + 1), repeat=len(m)) if sum(x) <= n * most] for m, n in patterns]
+    best = (0, 0)
+    for choice in itertools.product(*options):
+        got = [0] * len(quotas)
+        cost = 0
+        for (m, n), x in zip(patterns, choice):
+            for s, v in zip(m, x):
+                got[s] += v
+            left = sum(x)
+            for level in range(most):
+                step = min(left, n)
+                cost, left = cost + step * level, left - step
+        if all(g <= q for g, q in zip(got, quotas)):
+            best = max(best, (sum(got), -cost))
+    return best[0], -best[1]

@@ -326,3 +326,111 @@ def test_pii_terms_of_rare_entities(spark):
         at = dict(rows)[d].index(word)
         assert f"term:{at}:{at + len(word)}" in spans[d]
     assert all("term" not in spans[d] for d in (0, 903, 904, 905))
+
+
+def test_terms_are_those_of_the_definition(spark):
+    r = random.Random(11)
+    vocabulary = [f"w{i}ord" for i in range(60)]
+    mails = [f"m{i}@corp.example" for i in range(6)]
+    rows = [(i, " ".join([*(r.choice(vocabulary) for _ in range(r.randint(1, 12))), *([r.choice(mails)] if r.random() < 0.1 else []), *([f"rare{r.randint(0, 400)}"] if r.random() < 0.3 else [])])) for i in range(500)]
+    rows += [(1000 + i, rows[i][1]) for i in range(40)] + [(2000, None), (2001, "")]
+    rule = pii.Disclosure(min_share=0.5, min_bits=3.0)
+    want = plain.terms(rows, plain_pii, min_bits=3.0)
+    assert want
+    out = {x["doc_id"]: x["spans"] for x in pii.personal_data(frame(spark, rows), rule).collect()}
+    for d, text in rows:
+        spans = plain_pii(text or "") + [(m.start(), 4, m.end()) for m in re.finditer(r"[^\W_]{3,}", text or "") if m[0].lower() in want]
+        assert out[d] == pii.render(sorted(spans))
+
+
+def test_pii_takes_linear_time():
+    import time
+
+    began = time.time()
+    assert pii.base_spans("7" * 1_000_000) == [] and pii.base_spans("1." * 300_000)
+    text = "x@y.example " * 100_000
+    assert len(pii.base_spans(text)) == 100_000 and len(pii.render(pii.base_spans("1.2.3.4 " * 20_000)).split(",")) == 20_000
+    assert time.time() - began < 20
+
+
+def test_boilerplate_is_that_of_the_definition(spark):
+    r = random.Random(12)
+    lines = [" ".join(f"l{k}x{i}" for i in range(r.randint(6, 14))) for k in range(12)]
+    pages = []
+    for i in range(120):
+        own = [" ".join(f"v{r.randint(0, 4000)}" for _ in range(r.randint(5, 40))) for _ in range(3)]
+        shared = [x for k, x in enumerate(lines) if r.random() < [0.02, 0.04, 0.08, 0.3, 0.6, 1][k % 6]]
+        blocks = own + shared
+        r.shuffle(blocks)
+        pages.append((f"h{i % 3}", blocks))
+    rows = [(i, f"http://{h}/{i}", "".join(f"<p>{b}</p>" for b in blocks), "x") for i, (h, blocks) in enumerate(pages)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, host string").repartition(3)
+    want = plain.boilerplate(pages)
+    for size in (400, 9):
+        assert [x[2] for x in sorted(map(tuple, html_text.main_text(df, group_pages=size).collect()))] == want
+    assert want != ["\n\n".join(b) for _, b in pages]
+
+
+def test_routing_is_the_cheapest():
+    r = random.Random(13)
+    for _ in range(60):
+        n = r.randint(1, 3)
+        patterns = [(tuple(sorted(r.sample(range(n), r.randint(1, min(n, 2))))), r.randint(0, 3)) for _ in range(r.randint(1, 3))]
+        quotas = [r.randint(0, 7) for _ in range(n)]
+        flows = source_mix.route(patterns, quotas, 2)
+        assert (sum(map(sum, flows)), sum(f[1] for f in flows)) == plain.cheapest(patterns, quotas, 2)
+        assert all(0 <= x <= w for f, (_, w) in zip(flows, patterns) for x in f)
+
+
+def test_url_rules_with_odd_tokens(spark):
+    rules = [url_filters.host_rule("Example.com/En/x", "block"), url_filters.host_rule("example.com/a%2Fb/c", "block"), url_filters.pattern_rule("digits", r"\0.*[0-9]{9}", (), "block"), url_filters.host_rule("org", "block")]
+    urls = ["http://example.com/En/xy", "http://EXAMPLE.com/En/x", "http://example.com/en/x", "http://example.com/a%2Fb/c", "http://a.de/123456789", "http://a.org/z", "http://a.de/", "http://a.orgs/"]
+    rows = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    out = [r["verdict"] for r in url_filters.filter_urls(rows, rules).orderBy("page_id").collect()]
+    assert out == ["block", "block", "allow", "block", "block", "block", "allow", "allow"]
+    assert url_filters.filter_urls(rows, rules[2:3]).filter("verdict = 'block'").count() == 1
+
+
+CLASH = "doc_id long, text string, source string, _s string, _id long, _times int, _copy int, _sha string, id long, row string, key long, digest string, sha string, times int"
+
+
+def clashing(spark, rows):
+    return spark.createDataFrame([(d, t, s, "a", 1, 2, 3, "b", 4, "c", 5, "d", "e", 6) for d, t, s in rows], CLASH)
+
+
+def test_stages_take_odd_tables(spark):
+    import corpus_pipeline
+
+    base = " ".join(f"w{i}" for i in range(80))
+    rows = [(1, base, "a"), (2, base, "a"), (3, base + " x", None), (None, base, "b"), (4, None, "a"), (5, "", None), (3, base + " x", None), (6, " ".join(f"z{i}" for i in range(70)), "a")]
+    df = clashing(spark, rows)
+    assert got(quality_rules.drop_failing(df), "doc_id") == [(1,), (2,), (3,), (3,), (6,), (None,)]
+    assert got(exact_dedup.drop_copies(df), "doc_id") == [(2,), (3,), (5,), (6,)]
+    assert got(jaccard_join.keep_one(df), "doc_id") == [(1,), (4,), (5,), (6,)]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, df, "").columns == df.columns, name
+        none = stage(spark, df.limit(0), "")
+        assert none.columns == df.columns and none.count() == 0, name
+    assert corpus_pipeline.encode(spark, df, "").count() == len(rows) and corpus_pipeline.encode(spark, df.limit(0), "").count() == 0
+    taken = got(source_mix.apply_mix(df), "doc_id", "_copy")
+    assert taken and {c for _, c in taken} == {3}
+
+
+def test_mix_of_null_and_empty_arrays(spark):
+    rows = [(1, "w w w", None), (2, "w w", []), (3, "w", ["a", None]), (4, "w w", ["a"])]
+    out = {x["doc_id"]: x for x in source_mix.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source array<string>")).collect()}
+    assert out[2]["taken"] == 0 and out[2]["source_size"] == 0 and out[1]["source_size"] == 4 and len(out) == 4
+
+
+def test_long_texts(spark):
+    r = random.Random(14)
+    unbroken = "".join(r.choice("abcdefgh") for _ in range(200_000))
+    words = " ".join(f"w{r.randint(0, 30_000)}" for _ in range(60_000))
+    rows = [(1, unbroken), (2, words), (3, words + " again"), (4, unbroken[:150_000] + words[:1000])]
+    df = frame(spark, rows)
+    out = got(repeated_passages.remove_repeats(df), "doc_id", "n_removed")
+    assert out[0] == (1, 0) and out[1] == (2, 0) and out[2][1] >= len(words) and out[3][1] == 151_000
+    assert [x[2] for x in got(jaccard_join.near_duplicates(df))] == [1, 2, 2, 4]
+    other = library()
+    assert got(byte_bpe.encode_decode(df, P.path("byte_bpe_50k.tiktoken"), P.PATTERN, ("n_tokens",))) == [(d, len(other.encode_ordinary(t))) for d, t in rows]
+    assert [x[1] for x in got(quality_rules.quality_rules(df), "doc_id", "kept")] == [False, True, True, True]
