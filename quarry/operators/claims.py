@@ -49,10 +49,15 @@ def aggregate_recompute(text: Column, records: Column) -> Column:
     return F.when(text.rlike(MONEY) & F.contains(F.lower(text), F.lit("net order value")) & same & (total == amount), F.lit(True))
 
 
-def count_match(text: Column, records: Column, customer: str = "I_Customer", address: str = "I_AddrOrgNamePostalAddress") -> Column:
-    number = lambda k: F.try_to_number(F.regexp_extract(text, COUNTS, k), F.lit("999999999"))
-    of = lambda kind: F.size(F.filter(records, lambda r: r["kind"] == kind))
-    return F.when(text.rlike(COUNTS) & (of(customer) == number(1)) & (of(address) == number(2)), F.lit(True))
+def count_match(customer: str, address: str):
+    """The shape for records whose kinds have these names."""
+
+    def shape(text: Column, records: Column) -> Column:
+        number = lambda k: F.try_to_number(F.regexp_extract(text, COUNTS, k), F.lit("999999999"))
+        of = lambda kind: F.size(F.filter(records, lambda r: r["kind"] == kind))
+        return F.when(text.rlike(COUNTS) & (of(customer) == number(1)) & (of(address) == number(2)), F.lit(True))
+
+    return shape
 
 
 def refuse_to_sum(text: Column, records: Column) -> Column:
@@ -60,10 +65,12 @@ def refuse_to_sum(text: Column, records: Column) -> Column:
     return F.when(text.rlike(REFUSE) & (F.size(F.array_except(named, F.transform(records, lambda r: r["currency"]))) == 0), F.lit(True))
 
 
-SHAPES = (conflict_disclosure, aggregate_recompute, count_match, refuse_to_sum, shared_fragment)
+def shapes(customer: str, address: str) -> tuple:
+    """All shapes, in the order in which they decide."""
+    return conflict_disclosure, aggregate_recompute, count_match(customer, address), refuse_to_sum, shared_fragment
 
 
-def verify(claims: DataFrame, support: DataFrame, shapes=SHAPES) -> DataFrame:
+def verify(claims: DataFrame, support: DataFrame, shapes: tuple) -> DataFrame:
     """(claim_id, text, supported). One shuffle brings a claim and what it cites together."""
     record = F.struct("id", "source", "kind", "text", "currency", "amount", normalize(F.coalesce("text", F.lit(""))).alias("key"))
     cited = support.groupBy("claim_id").agg(F.array_sort(F.collect_list(record)).alias("records"))

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -43,20 +47,51 @@ def top(scored: DataFrame, k: int, group: str, tie: str) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= max(k, 0))
 
 
-def dot(a: str | Column, b: str | Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)))
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Rows of unit length; a zero vector, a null or one of another length than the first stays zero and scores 0."""
+    rows = [np.array([v or 0.0 for v in x], np.float64) if x is not None else np.zeros(0) for x in column.to_pylist()]
+    width = max(map(len, rows), default=0)
+    out = np.zeros((len(rows), width))
+    for k, x in enumerate(rows):
+        if len(x) == width:
+            out[k] = x
+    norms = np.sqrt((out * out).sum(axis=1))
+    return out / np.where(norms == 0, 1, norms)[:, None]
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", parts: int | None = None, block_rows: int = 4096) -> DataFrame:
     """(qid, id, score, rank) by cosine; a zero vector scores 0; ties by id.
 
-    Every query meets every vector, as an exact search must; norms are computed once for each side, queries travel to
-    the vectors, and each task keeps its own k best before the shuffle.
+    An exact search: every query meets every vector, as products of matrices. Vectors are dealt to parts and queries to
+    blocks of about `block_rows`; a task holds one part and one block, and sends on the k best of each query only. What is
+    shuffled is the vectors times the number of blocks and the queries times that of parts.
     """
-    side = lambda df, i, v, to: df.select(F.col(i).alias(to), F.col(v).alias(f"{to}_v"), F.sqrt(dot(v, v)).alias(f"{to}_n"))
-    pairs = side(vectors, id_col, vector_col, "id").crossJoin(side(queries, id_col, vector_col, "qid"))
-    norms = F.col("id_n") * F.col("qid_n")
-    scored = pairs.select("qid", "id", F.when(norms == 0, 0.0).otherwise(dot("id_v", "qid_v") / norms).alias("score"))
+    n, m = vectors.count(), queries.count()
+    parts = parts or max(1, math.ceil(n / 65536), min(vectors.sparkSession.sparkContext.defaultParallelism, n // 256))
+    blocks = max(1, math.ceil(m / block_rows))
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
+    dealt = lambda c, of: F.pmod(F.xxhash64(c), F.lit(of)).cast("int")
+    left = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"), dealt(id_col, parts).alias("part"), every(blocks).alias("block"))
+    right = queries.select(F.col(id_col).alias("qid"), F.col(vector_col).alias("q"), every(parts).alias("part"), dealt(id_col, blocks).alias("block"))
+    kind = dict(vectors.dtypes)[id_col]
+
+    def best(own: pa.Table, asked: pa.Table) -> pa.Table:
+        ids, qids = own["id"].to_pylist(), asked["qid"].to_pylist()
+        a, b = _matrix(asked["q"]), _matrix(own["v"])
+        out: dict[str, list] = {"qid": [], "id": [], "score": []}
+        for at in range(0, len(qids) if ids else 0, 256):
+            scores = a[at : at + 256] @ b.T if a.shape[1] == b.shape[1] else np.zeros((min(256, len(qids) - at), len(ids)))
+            for row, qid in zip(scores, qids[at : at + 256], strict=True):
+                least = np.partition(row, -k)[-k] if k < len(row) else -2.0
+                found = sorted((-round(float(row[i]), 9), ids[i], i) for i in np.flatnonzero(row >= least - 1e-9).tolist())[:k]
+                out["qid"] += [qid] * len(found)
+                out["id"] += [x[1] for x in found]
+                out["score"] += [float(row[x[2]]) for x in found]
+        return pa.table({"qid": pa.array(out["qid"], asked["qid"].type), "id": pa.array(out["id"], own["id"].type), "score": pa.array(out["score"], pa.float64())})
+
+    if k < 1:
+        return vectors.select(F.col(id_col).alias("qid"), F.col(id_col).alias("id"), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
+    scored = left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInArrow(best, f"qid {dict(queries.dtypes)[id_col]}, id {kind}, score double")
     return top(scored, k, "qid", "id")
 
 

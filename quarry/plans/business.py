@@ -23,8 +23,9 @@ def matches(questions: DataFrame, names: DataFrame) -> DataFrame:
     six = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - LEAST_MATCH + 1, F.lit(1))), lambda i: F.substr(c, i, F.lit(LEAST_MATCH))))
     asked = questions.select("qid", F.explode(F.array(normalize(F.col("question")))).alias("q"))
     known = names.select("entity", F.explode(F.array(normalize(F.col("name")))).alias("key")).filter("key <> ''").distinct()
-    pairs = asked.select("qid", "q", F.explode(six(F.col("q"))).alias("gram")).join(known.select("entity", "key", F.explode(six(F.col("key"))).alias("gram")), "gram").select("qid", "q", "entity", "key").distinct()
-    found = pairs.withColumn("match", common_length(F.col("key"), F.col("q"))).filter(F.col("match") >= LEAST_MATCH)
+    # grams travel without the questions, which only join what was met
+    pairs = asked.select("qid", F.explode(six(F.col("q"))).alias("gram")).join(known.select("entity", "key", F.explode(six(F.col("key"))).alias("gram")), "gram").select("qid", "entity", "key").distinct()
+    found = pairs.join(asked, "qid").withColumn("match", common_length(F.col("key"), F.col("q"))).filter(F.col("match") >= LEAST_MATCH)
     return found.groupBy("qid", "entity").agg(F.max("match").alias("match"), F.max(F.col("match") / F.length("key")).alias("share"))
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions import text as X
 from ..operators import evaluation, graph, integrity, resolution, retrieval, temporal, totals
@@ -232,7 +231,7 @@ def manifest_commitment(spark, d):
 
 def ledger_tree(spark, d):
     """All levels of the Merkle tree over the customers' names."""
-    levels = integrity.merkle_levels(_t(spark, d, "customer").select((F.row_number().over(W.orderBy("c_custkey")) - 1).alias("i"), "c_name"), "i", "c_name")
+    levels = integrity.merkle_levels(graph.numbered(_t(spark, d, "customer").select("c_custkey", "c_name"), ["c_custkey"], "i"), "i", "c_name")
     out = None
     for k, level in enumerate(levels):
         part = level.select(F.lit(k).alias("level"), "i", F.lower(F.hex("hash")).alias("hash"))

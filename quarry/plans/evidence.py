@@ -443,9 +443,9 @@ def scorecard_text(spark, d):
 
 def claim_verdicts(spark, d):
     """V1, V2, V5 to V7: claims of every shape against what they cite."""
-    rows = [(1, "i1", "s", "item", "row", "EUR", "1.25"), (1, "i2", "s", "item", "row", "EUR", "2.25"), (2, "i1", "s", "item", "row", "EUR", "1.25"), (3, "c", "s", "I_Customer", "c", None, None), (3, "a", "s", "I_AddrOrgNamePostalAddress", "a", None, None), (4, "i1", "s", "item", "row", "EUR", "1"), (4, "i2", "s", "item", "row", "USD", "1")]
+    rows = [(1, "i1", "s", "item", "row", "EUR", "1.25"), (1, "i2", "s", "item", "row", "EUR", "2.25"), (2, "i1", "s", "item", "row", "EUR", "1.25"), (3, "c", "s", "Customer", "c", None, None), (3, "a", "s", "Address", "a", None, None), (4, "i1", "s", "item", "row", "EUR", "1"), (4, "i2", "s", "item", "row", "USD", "1")]
     rows += [(k, x, f"{x}.log", "document", f"it went Boom, NOW in {x}", None, None) for k in (5, 6) for x in "ab"] + [(7, "d1", "m", "document", "It renews every year on 1 May", None, None), (7, "d2", "n", "document", "renews upon 1 May; then on 2 June", None, None), (8, "e", "m", "document", "Some PLAIN-words here", None, None), (9, "e", "m", "document", "other", None, None)]
-    return claim_shapes.verify(_rows(spark, [r[:2] for r in CLAIMS], "claim_id long, text string"), _rows(spark, rows, "claim_id long, id string, source string, kind string, text string, currency string, amount string")).select("claim_id", "supported")
+    return claim_shapes.verify(_rows(spark, [r[:2] for r in CLAIMS], "claim_id long, text string"), _rows(spark, rows, "claim_id long, id string, source string, kind string, text string, currency string, amount string"), claim_shapes.shapes("Customer", "Address")).select("claim_id", "supported")
 
 
 CLAIMS = [

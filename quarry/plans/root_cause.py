@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.text import normalize
+from ..operators.resolution import holding
 
 # Run names, error lines and the trailer that says nothing.
 RUN_ID = r"\bR-\d{3,5}\b|\b\d{8,}\b"
@@ -44,11 +45,13 @@ def explain(runs: DataFrame, chunks: DataFrame, tickets: DataFrame, motivated_by
     logs = chunks.filter(is_error(F.col("text"))).join(failed.select("run"), "run", "left_semi").select("run", *claim("log", 2, F.col("text"), F.array("id")))
     signed = signatures(chunks).join(failed.select("run", "started"), "run")
     earlier = chunks.join(runs.select("run", F.col("started").alias("at")), "run").select(F.col("id").alias("prior"), F.col("text").alias("prior_text"), "at")
-    # few failed runs meet the logs by containment, which no key can express; the small side travels
-    recur = signed.join(earlier, F.contains("prior_text", "signature") & (F.col("at") < F.col("started"))).groupBy("run", "signature", "chunk_id").agg(F.array_sort(F.collect_set("prior")).alias("priors"))
+    needles = signed.select(F.col("signature").alias("key"), F.col("signature").alias("needle")).distinct()
+    seen = holding(earlier.select(F.col("prior").alias("id"), F.col("prior_text").alias("text")), needles).select(F.col("id").alias("prior"), F.col("key").alias("signature"))
+    recur = signed.join(seen, "signature").join(earlier.select("prior", "at"), "prior").filter(F.col("at") < F.col("started")).groupBy("run", "signature", "chunk_id").agg(F.array_sort(F.collect_set("prior")).alias("priors"))
     named = F.concat(F.lit('"'), F.col("signature"), F.lit('" appears in '))
     again = recur.select("run", *claim("recurrence", 3, F.concat(named, F.concat_ws(" and ", F.transform(F.concat(F.array("chunk_id"), "priors"), lambda x: F.concat(F.lit("'"), x, F.lit("'"))))), F.concat(F.array("chunk_id"), "priors")))
-    known = signed.join(tickets.select(F.col("id").alias("ticket"), F.col("text").alias("ticket_text")), F.contains("ticket_text", "signature"))
+    told = holding(tickets.select("id", "text"), needles).select(F.col("id").alias("ticket"), F.col("key").alias("signature"))
+    known = signed.join(told, "signature").join(tickets.select(F.col("id").alias("ticket"), F.col("text").alias("ticket_text")), "ticket")
     incidents = known.select("run", *claim("incident", 4, F.concat(named, F.lit("'"), F.col("chunk_id"), F.lit("' and '"), F.col("ticket"), F.lit("'")), F.array("chunk_id", "ticket")))
     quoted = known.select("run", *claim("ticket", 5, F.col("ticket_text"), F.array("ticket")))
     fixes = known.join(motivated_by, "ticket").select("run", *claim("fix", 6, motivated_by["text"], F.array("ticket", "pr")))

@@ -19,11 +19,11 @@ def test_claims(spark):
         10: "uncited",
     }
     rows = [(1, "i1", "s", "item", "row", "EUR", "1.25"), (1, "i2", "s", "item", "row", "EUR", "2.25"), (2, "i1", "s", "item", "row", "EUR", "1.25")]
-    rows += [(3, "c", "s", "I_Customer", "c", None, None), (3, "a", "s", "I_AddrOrgNamePostalAddress", "a", None, None), (4, "i1", "s", "item", "row", "EUR", "1"), (4, "i2", "s", "item", "row", "USD", "1")]
+    rows += [(3, "c", "s", "Customer", "c", None, None), (3, "a", "s", "Address", "a", None, None), (4, "i1", "s", "item", "row", "EUR", "1"), (4, "i2", "s", "item", "row", "USD", "1")]
     rows += [(k, x, f"{x}.log", "document", f"it went Boom, NOW in {x}", None, None) for k in (5, 6) for x in "ab"]
     rows += [(7, "d1", "m", "document", "It renews every year on 1 May", None, None), (7, "d2", "n", "document", "renews\non 2 June", None, None), (8, "e", "m", "document", "Some PLAIN-words here", None, None), (9, "e", "m", "document", "other", None, None)]
     support = spark.createDataFrame(rows, "claim_id long, id string, source string, kind string, text string, currency string, amount string")
-    out = {r["claim_id"]: r["supported"] for r in claims.verify(spark.createDataFrame(list(said.items()), "claim_id long, text string"), support).collect()}
+    out = {r["claim_id"]: r["supported"] for r in claims.verify(spark.createDataFrame(list(said.items()), "claim_id long, text string"), support, claims.shapes("Customer", "Address")).collect()}
     assert out == {1: True, 2: False, 3: True, 4: True, 5: True, 6: False, 7: True, 8: True, 9: False, 10: False}
 
 
