@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, map_rows, materialise, mix, small
+from .common import BROADCAST_BYTES, Powers, map_rows, materialise, mix, small, tidied
 
 #: Element names, and words of class, id and role attributes.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -116,17 +116,9 @@ def blocks(page: str) -> list[str]:
     return article if marked else body
 
 
-class Hashes(dict):
-    """64-bit hashes of words, the same in every process; emptied when full."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= 400_000:
-            self.clear()
-        self[word] = value = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest())
-        return value
-
-
-HASHES = Hashes()
+_powers = Powers(0xD6E8FEB86659FD93, 41)
+#: Text that is hashed at once.
+PIECE = 1 << 20
 
 
 def strings(hashed: np.ndarray, length: int) -> np.ndarray:
@@ -148,18 +140,26 @@ def among(values: np.ndarray, runs: np.ndarray) -> np.ndarray:
     return runs[np.minimum(np.searchsorted(runs, values), len(runs) - 1)] == values if len(runs) else np.zeros(len(values), bool)
 
 
-def joined(pages: list[list[str]], hashes: Hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The hashed tokens of some pages with a mark (0) after each block, whether each is a mark, and its page."""
-    hashed: list[int] = []
-    lengths = []
-    for page in pages:
-        before = len(hashed)
-        for block in page:
-            hashed += [hashes[t] for t in block.split(" ")]
-            hashed.append(0)
-        lengths.append(len(hashed) - before)
-    tokens = np.array(hashed, np.uint64)
-    return tokens, tokens == 0, np.repeat(np.arange(len(pages)), lengths)
+def joined(pages: list[list[str]], marks: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hashed tokens of some pages with marks (0) after each block, whether each is a mark, and its page."""
+    data = np.frombuffer("".join([f"{block}\n" for page in pages for block in page]).encode(), np.uint8)
+    stops = np.flatnonzero((data == 32) | (data == 10))  # a space or the block's end stands after each token
+    starts = np.concatenate([np.zeros(1, np.int64), stops[:-1] + 1])[: len(stops)]
+    hashed, at = np.zeros(len(stops), np.uint64), 0
+    while at < len(stops):
+        last = max(at + 1, int(np.searchsorted(stops, starts[at] + PIECE, side="right")))
+        lo = int(starts[at])
+        sums = _powers.prefix(data[lo : int(stops[last - 1])])
+        hashed[at:last] = _powers.span(sums, starts[at:last] - lo, stops[at:last] - lo)
+        at = last
+    hashed |= np.uint64(1)  # no token looks like a mark
+    ends = data[stops] == 10
+    before = np.concatenate([np.zeros(1, np.int64), np.cumsum(ends)])
+    tokens = np.zeros(len(stops) + marks * int(before[-1]), np.uint64)
+    place = np.arange(len(stops)) + marks * before[:-1]
+    tokens[place] = hashed
+    sizes = np.array([sum(block.count(" ") + 1 + marks for block in page) for page in pages], np.int64)
+    return tokens, tokens == 0, np.repeat(np.arange(len(pages)), sizes)
 
 
 def free(ends: np.ndarray, length: int) -> np.ndarray:
@@ -170,11 +170,10 @@ def free(ends: np.ndarray, length: int) -> np.ndarray:
     return np.flatnonzero(sums[length:] == sums[:-length])
 
 
-def sketches(pages: list[list[str]], hashes: Hashes) -> np.ndarray:
+def sketches(pages: list[list[str]]) -> np.ndarray:
     """Equal for copies; pages that share a part b of their strings have the same one with a chance of about b squared."""
-    tokens, _, owner = joined([[" ".join(page), ""] if page else [] for page in pages], hashes)  # the empty word ends a page
+    tokens, last, owner = joined([[" ".join(page)] if page else [] for page in pages], 2)  # two marks, so no string reaches the next page
     grams = strings(np.concatenate([tokens, np.zeros(2, np.uint64)]), 3)
-    last = (tokens == 0) | (tokens == hashes[""])
     low = []
     for salt in (21, 22):
         value = mix(grams, salt)
@@ -189,23 +188,15 @@ def sketches(pages: list[list[str]], hashes: Hashes) -> np.ndarray:
 
 def repeated_runs(pages: list[list[str]], contents: list[int], min_run: int, bound: int) -> np.ndarray:
     """Fingerprints of the runs that stand in at least `bound` different contents, by a suffix array."""
-    words: dict[str, int] = {}
-    ids: list[int] = []
-    of_page: list[int] = []
-    for k, page in zip(contents, pages, strict=True):
-        for block in page:
-            tokens = block.split(" ")
-            ids += [words.setdefault(t, len(words)) for t in tokens]
-            ids.append(-1)
-            of_page += [k] * (len(tokens) + 1)
-    if not ids:
-        return np.zeros(0, np.uint64)
-    rank, owner = np.array(ids, np.int64), np.array(of_page, np.int64)
-    n = len(rank)
-    ends = rank < 0
+    tokens, ends, page = joined(pages)
+    if not len(tokens):
+        return tokens
+    owner = np.array(contents, np.int64)[page]
+    n = len(tokens)
     inside = np.zeros(n, bool)
     inside[free(ends, min_run)] = True
-    rank[ends] = len(words) + np.arange(ends.sum())  # each end of a block is unlike all others
+    rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64)
+    rank[ends] = n + np.arange(ends.sum())  # each end of a block is unlike all others
     rank = np.unique(rank, return_inverse=True)[1].astype(np.int64)
     reach = 1
     while reach < min_run:  # after this, suffixes are in order of their first min_run tokens
@@ -222,17 +213,12 @@ def repeated_runs(pages: list[list[str]], contents: list[int], min_run: int, bou
     first[1:] = run[1:] != run[:-1]
     spread = np.add.reduceat(fresh.astype(np.int64), np.flatnonzero(first))
     places = order[first][spread >= bound]
-    places = places[inside[places]]
-    if not len(places):
-        return np.zeros(0, np.uint64)
-    used, at = np.unique(np.array(ids, np.int64)[places[:, None] + np.arange(min_run)], return_inverse=True)
-    names = list(words)
-    return combine(list(np.array([HASHES[names[i]] for i in used.tolist()], np.uint64)[at.reshape(-1, min_run)].T))
+    return strings(tokens, min_run)[places[inside[places]]]
 
 
 def without(pages: list[list[str]], runs: np.ndarray, min_run: int) -> list[list[str]]:
     """The blocks of some pages without the tokens that some runs cover."""
-    tokens, ends, _ = joined(pages, HASHES)
+    tokens, ends, owner = joined(pages)
     places = free(ends, min_run)
     if len(places):
         places = places[among(strings(tokens, min_run)[places], runs)]
@@ -241,17 +227,19 @@ def without(pages: list[list[str]], runs: np.ndarray, min_run: int) -> list[list
     cover = np.zeros(len(tokens) + 1, np.int64)
     np.add.at(cover, places, 1)
     np.add.at(cover, places + min_run, -1)
-    gone = (np.cumsum(cover) > 0).tolist()
-    out, at = [], 0
-    for page in pages:
-        kept = []
-        for block in page:
-            words = block.split(" ")
-            left = [t for i, t in enumerate(words, at) if not gone[i]]
-            at += len(words) + 1
-            if left:
-                kept.append(" ".join(left))
-        out.append(kept)
+    gone = np.cumsum(cover) > 0
+    starts = np.searchsorted(owner, np.arange(len(pages)))
+    out = list(pages)
+    for k in np.unique(owner[places]).tolist():
+        kept, at = [], int(starts[k])
+        for block in pages[k]:
+            n = block.count(" ") + 1
+            if gone[at : at + n].any():
+                block = " ".join([t for t, g in zip(block.split(" "), gone[at : at + n].tolist(), strict=True) if not g])
+            at += n + 1
+            if block:
+                kept.append(block)
+        out[k] = kept
     return out
 
 
@@ -281,7 +269,7 @@ def beside_runs(pages: DataFrame, runs: DataFrame, hosts: DataFrame, fn: Callabl
                 for h, at in places.items():
                     yield from fn(pa.Table.from_batches([batch]).take(at), held.value[h] if h is not None else np.zeros(0, np.uint64)).to_batches()
 
-        return pages.mapInArrow(run, schema)
+        return pages.mapInArrow(tidied(run), schema)
     part = F.pmod(F.xxhash64(F.lit(11), "page_id", "url"), F.coalesce("splits", F.lit(1)))
     dealt = pages.join(small(hosts.select("host", "splits"), 64), "host", "left").withColumn("part", part).drop("splits")
     near = dealt.select(F.col("host").alias("of_host"), F.col("part").alias("of_part")).distinct().join(runs.withColumnRenamed("host", "of_host"), "of_host")
@@ -300,7 +288,7 @@ def main_text(pages: DataFrame, min_run: int = 8, min_share: float = 0.05, min_p
     def scan(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [blocks(x.as_py()) for x in batch.column(3)]
         packed = [pack(p) for p in found]
-        more = [pa.array(sketches(found, HASHES)), pa.array([x for x, _ in packed], pa.binary()), pa.array([n for _, n in packed], pa.int64())]
+        more = [pa.array(sketches(found)), pa.array([x for x, _ in packed], pa.binary()), pa.array([n for _, n in packed], pa.int64())]
         return pa.record_batch([*batch.columns[:3], *more], ["page_id", "url", "host", "content", "packed", "size"])
 
     scanned = materialise(map_rows(rows, scan, "page_id long, url string, host string, content long, packed binary, size long"), "page-blocks")
@@ -327,11 +315,11 @@ def main_text(pages: DataFrame, min_run: int = 8, min_share: float = 0.05, min_p
         found = repeated_runs(texts, t["content"].to_pylist(), min_run, -(-least // parts))
         return pa.table({"host": pa.array([t["host"][0].as_py()] * len(found), pa.string()), "run": pa.array(found.view(np.int64)), "parts": pa.array([parts] * len(found), pa.int64()), "bound": pa.array([least] * len(found), pa.int64())})
 
-    found = materialise(dealt.mapInArrow(fresh, dealt.schema).groupBy("host", "part").applyInArrow(group, "host string, run long, parts long, bound long"), "found-runs")
+    found = materialise(dealt.mapInArrow(tidied(fresh), dealt.schema).groupBy("host", "part").applyInArrow(group, "host string, run long, parts long, bound long"), "found-runs")
 
     def stands(t: pa.Table, runs: np.ndarray) -> pa.Table:
         texts = [unpack(*x) for x in zip(t["packed"].to_pylist(), t["size"].to_pylist(), strict=True)] if len(runs) else []
-        tokens, ends, owner = joined(texts, HASHES)
+        tokens, ends, owner = joined(texts)
         at = free(ends, min_run)
         run = strings(tokens, min_run)[at]
         hit = among(run, runs)

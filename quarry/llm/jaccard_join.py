@@ -54,7 +54,7 @@ class Rule:
     #: Pairs of a group that the first round after voting makes, about; each later one makes four times as many.
     pairs: int = 1 << 22
     #: Voting ends when at most so many pairs are left for each row that the groups had at first, or when it links little.
-    left: int = 4
+    left: int = 64
 
 
 _powers = Powers(0x9E3779B97F4A7C15 | 1, 20)
@@ -409,7 +409,8 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id"
         parts = group.groupBy("token", "label").agg(F.count(F.lit(1)).alias("m"))
         sizes = parts.groupBy("token").agg(F.sum("m").alias("m"), F.max(F.struct("m", "label")).alias("most")).select("token", "m", (F.col("m") - F.col("most.m")).alias("minor"), F.col("most.label").alias("label")).filter("minor > 0")
         sizes = tables.write(sizes, "sizes")
-        group = tables.write(group.join(sizes.select("token"), "token", "left_semi").select("token", "cid", "n", "pos", "above", "stands", "label"), "groups")
+        if labels is not None:  # at first nearly every group has several
+            group = tables.write(group.join(sizes.select("token"), "token", "left_semi").select("token", "cid", "n", "pos", "above", "stands", "label"), "groups")
         left, held = sizes.agg(F.sum(F.col("minor") * F.col("m")), F.sum("m")).first()
         if not held:
             break
