@@ -113,6 +113,18 @@ def explained(verdicts_: DataFrame) -> DataFrame:
     return verdicts_.select("bundle_id", F.concat_ws("\n", F.concat("verdict", F.lit(" ("), F.lower("status"), F.lit(")")), F.array_join(F.transform("problems", lambda p: F.concat(F.lit("- "), p)), "\n")).alias("text"))
 
 
+#: What an audit asks for, and where the law names it.
+AUDIT = (("Record-keeping / traceability", "Art. 12"), ("Reconstructing why an output was produced", "Art. 12 (purpose)"), ("Human oversight", "Art. 14"))
+
+
+def audit(verdicts_: DataFrame, actions: DataFrame) -> DataFrame:
+    """(bundle_id, concept, article, met): what a bundle shows of each concept; oversight only where it holds an action (bundle_id, approved)."""
+    both = verdicts_.join(actions.select("bundle_id", "approved"), "bundle_id", "left")
+    met = (F.col("verdict") != "TAMPERED", F.col("status") == "RE-DERIVED", F.col("approved"))
+    rows = F.array(*(F.struct(F.lit(c).alias("concept"), F.lit(a).alias("article"), m.alias("met")) for (c, a), m in zip(AUDIT, met, strict=True)))
+    return both.select("bundle_id", F.explode(rows).alias("r")).select("bundle_id", "r.*").filter("met is not null")
+
+
 def mutants(leaves: DataFrame, manifest_: DataFrame, roots_: DataFrame, checks: DataFrame) -> dict[str, tuple[DataFrame, DataFrame, DataFrame, DataFrame, str]]:
     """Forged copies of every bundle: name -> (leaves, manifest, roots, checks, the verdict that must come out).
 

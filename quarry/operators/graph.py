@@ -53,6 +53,16 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(edges.select(F.col("dst").alias("a"), F.col("src").alias("b")))
 
 
+def all_links(edges: DataFrame, resolutions: DataFrame | None = None, mentions: DataFrame | None = None) -> DataFrame:
+    """(src, dst, relation) of edges, resolutions (node_a, node_b) and mentions (chunk, node), for walks over all of them."""
+    out = edges.select("src", "dst", "relation")
+    if resolutions is not None:
+        out = out.unionByName(resolutions.select(F.col("node_a").alias("src"), F.col("node_b").alias("dst"), F.lit("resolves").alias("relation")))
+    if mentions is not None:
+        out = out.unionByName(mentions.select(F.col("chunk").alias("src"), F.col("node").alias("dst"), F.lit("mentions").alias("relation")))
+    return out
+
+
 def neighbours(edges: DataFrame, start: DataFrame) -> DataFrame:
     """Ids one hop from start (id) in either direction."""
     return both_ways(edges).join(start.select(F.col("id").alias("a")).distinct(), "a", "left_semi").select(F.col("b").alias("id")).distinct()

@@ -460,7 +460,7 @@ def policy_breaches(spark, d):
     c = _t(spark, d, "customer").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"))
     k = F.col("c_nationkey")
     reports = c.select(k.alias("bundle_id"), F.when(k % 2 == 0, "key").alias("signer"), F.when(k % 3 == 0, "RE-DERIVED").otherwise("INTEGRITY-ONLY").alias("status"), (k % 4).alias("unverified"), F.array(F.concat(F.lit("docs/"), k.cast("string"))).alias("sources"), (k % 5).alias("withheld"))
-    out = disclosure.judge(reports, {"require_signed": True, "require_rederived": True, "forbid_unverified_claims": True, "allowed_evidence_sources": ["docs/1*"], "max_withheld": 3})
+    out = disclosure.judge(reports, {"require_signed": True, "require_rederived": True, "forbid_unverified_claims": True, "allowed_evidence_sources": ["docs/1*"], "redaction": {"max_withheld": 3}})
     return out.select("bundle_id", F.size("breaches").cast("long").alias("breaches"))
 
 
@@ -607,6 +607,29 @@ def exported_triples(spark, d):
     return triples.graph_triples(n, edges, "urn:q:").unionByName(triples.resolution_triples(said, "urn:q:"))
 
 
+def _walks(spark, d):
+    c, li = _t(spark, d, "customer"), _t(spark, d, "lineitem")
+    resolutions = c.filter("c_custkey % 10 = 0").select(F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("node_a"), F.concat(F.lit("customer:"), (F.col("c_custkey") + 1).cast("string")).alias("node_b"))
+    mentions = li.filter("l_linenumber = 1").select(F.concat(F.lit("part:"), F.col("l_partkey").cast("string")).alias("chunk"), F.concat(F.lit("order:"), F.col("l_orderkey").cast("string")).alias("node"))
+    return graph.all_links(_edges(spark, d), resolutions, mentions)
+
+
+def full_neighbourhood(spark, d):
+    """One hop over edges, resolutions and mentions."""
+    return graph.neighbours(_walks(spark, d), _rows(spark, [("customer:10",), ("order:7",)], "id string"))
+
+
+def full_hops(spark, d):
+    """Everything within two hops over edges, resolutions and mentions."""
+    return graph.within_hops(_walks(spark, d), _rows(spark, [("part:3",)], "id string"), 2)
+
+
+def audit_rows(spark, d):
+    """What sealed bundles show an auditor; every third holds an action, approved or not."""
+    v = bundle_verdicts(spark, d)
+    return bundle.audit(v, v.filter("bundle_id % 3 = 0").select("bundle_id", (F.col("bundle_id") % 2 == 0).alias("approved")))
+
+
 def ranked_firms(spark, d):
     """180 invented firms built, resolved, clustered and ranked by currency."""
     firms = graph.cut_lineage(datasets.invented_firms(spark, 180))
@@ -618,8 +641,9 @@ def ranked_firms(spark, d):
     return totals.superlative(sums).crossJoin(size.agg(F.count(F.lit(1)).alias("clusters"), F.max("count").alias("largest")))  # one row
 
 
-QUERIES = {f.__name__: f for f in (compared_claims, superlative_claims, chain_checks, chain_citations, bounded_soundness, consistency_proofs, bundle_roots, mutation_detection, bundle_verdicts, redacted_bundles, bundle_approvals, canonical_json, scrubbed_json, request_keys, unicode_keys, scrubbed_secrets, split_hunks, text_forms, common_lengths, reasoned, routed, resolved_questions, composed, summarised_changes, services_found, service_answers, directory_answers, ambiguous_names, described, novel_facts, narrations, missing_terms, admitted_events, assertion_rows, split_again, floor_gates, rebased_sources, answer_texts, scorecard_text, claim_verdicts, policy_breaches, failure_signatures, shared_seconds, alias_lists, firm_stoplist, firm_stems, embedding_pairs, semantic_hits, name_vectors, drafted_actions, payloads, executions, rederived_actions, masked_receipts, smoke_checks, conformance_grid, log_sections, delivery_links, upserts, journal_badges, exported_triples, ranked_firms)}
+QUERIES = {f.__name__: f for f in (compared_claims, superlative_claims, chain_checks, chain_citations, bounded_soundness, consistency_proofs, bundle_roots, mutation_detection, bundle_verdicts, redacted_bundles, bundle_approvals, canonical_json, scrubbed_json, request_keys, unicode_keys, scrubbed_secrets, split_hunks, text_forms, common_lengths, reasoned, routed, resolved_questions, composed, summarised_changes, services_found, service_answers, directory_answers, ambiguous_names, described, novel_facts, narrations, missing_terms, admitted_events, assertion_rows, split_again, floor_gates, rebased_sources, answer_texts, scorecard_text, claim_verdicts, policy_breaches, failure_signatures, shared_seconds, alias_lists, firm_stoplist, firm_stems, embedding_pairs, semantic_hits, name_vectors, drafted_actions, payloads, executions, rederived_actions, masked_receipts, smoke_checks, conformance_grid, log_sections, delivery_links, upserts, journal_badges, exported_triples, full_neighbourhood, full_hops, audit_rows, ranked_firms)}
 
+_WALKS = f"{_EDGES} UNION ALL SELECT 'customer:' || c_custkey, 'customer:' || (c_custkey + 1), 'resolves' FROM customer WHERE c_custkey % 10 = 0 UNION ALL SELECT 'part:' || l_partkey, 'order:' || l_orderkey, 'mentions' FROM lineitem WHERE l_linenumber = 1"
 _LEAF = "SELECT c_nationkey AS bundle_id, 'node:' || c_custkey AS name, 'sha256:' || sha256('{\"id\":' || c_custkey || ',\"name\":\"' || c_name || '\"}') AS digest FROM customer"
 _PHRASE = "' ' || trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g')) || ' '"
 ORACLE_SQL = {
@@ -689,6 +713,14 @@ ORACLE_SQL = {
     "failure_signatures": _values([("R-1001", "Timeout in db", "r1:c1"), ("R-1002", "Disk full", "r2:c2"), ("R-1003", "only trailer", "r3:c1")], "run, signature, chunk_id"),
     "shared_seconds": _values([("g", 1, 2), ], "g, step, other"),
     "alias_lists": _values([(1, "a|b|c"), (2, ""), (3, "")], "id, aliases"),
+    "full_neighbourhood": f"WITH e AS ({_WALKS}) SELECT DISTINCT id FROM (SELECT dst AS id FROM e WHERE src IN ('customer:10', 'order:7') UNION ALL SELECT src FROM e WHERE dst IN ('customer:10', 'order:7'))",
+    "full_hops": f"""
+        WITH e AS ({_WALKS}), b AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e), h1 AS (SELECT DISTINCT b AS id FROM b WHERE a = 'part:3'), h2 AS (SELECT DISTINCT b.b AS id FROM b JOIN h1 ON b.a = h1.id)
+        SELECT 'part:3' AS id, 0 AS hop UNION ALL SELECT id, 1 FROM h1 UNION ALL SELECT id, 2 FROM h2 WHERE id <> 'part:3' AND id NOT IN (SELECT id FROM h1)""",
+    "audit_rows": """
+        WITH n AS (SELECT DISTINCT c_nationkey AS k FROM customer)
+        SELECT k AS bundle_id, 'Record-keeping / traceability' AS concept, 'Art. 12' AS article, k % 5 <> 3 AS met FROM n UNION ALL SELECT k, 'Reconstructing why an output was produced', 'Art. 12 (purpose)', k % 5 NOT IN (1, 2) FROM n
+        UNION ALL SELECT k, 'Human oversight', 'Art. 14', k % 2 = 0 FROM n WHERE k % 3 = 0""",
     "firm_stoplist": "SELECT term AS token FROM (SELECT DISTINCT p_partkey, unnest(string_split_regex(lower(p_name), '[^a-z0-9]+')) AS term FROM part) WHERE term <> '' GROUP BY 1 HAVING count(*) >= 100 UNION SELECT unnest(" + str(sorted(set(X.LEGAL_SUFFIXES) | set(X.ORG_DESCRIPTORS))) + ")",
     "firm_stems": """
         WITH p AS (SELECT p_partkey AS id, string_split_regex(lower(replace(p_name || '-' || p_brand || '-' || p_partkey, '#', '')), '[^a-z0-9]+') AS l FROM part), t AS (SELECT id, unnest(l) AS t, generate_subscripts(l, 1) AS i FROM p),

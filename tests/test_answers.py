@@ -60,8 +60,15 @@ def test_redaction_and_policy(spark):
     out = {r["id"]: r for r in disclosure.redact(nodes, edges, spark.createDataFrame([("a",)], "id string"), 1).collect()}
     assert [out[x]["withheld"] for x in "abcd"] == [False, False, True, True] and out["c"]["text"] is None and out["c"]["digest"].startswith("sha256:")
     reports = spark.createDataFrame([(1, "k", "RE-DERIVED", 0, ["docs/a.md"], 1), (2, None, "INTEGRITY-ONLY", 2, ["x"], 9)], "bundle_id long, signer string, status string, unverified int, sources array<string>, withheld int")
-    policy = {"require_signed": True, "require_rederived": True, "forbid_unverified_claims": True, "allowed_evidence_sources": ["docs/*"], "max_withheld": 3}
+    policy = {"require_signed": True, "require_rederived": True, "forbid_unverified_claims": True, "allowed_evidence_sources": ["docs/*"], "redaction": {"max_withheld": 3}}
     out = {r["bundle_id"]: r["breaches"] for r in disclosure.judge(reports, policy).collect()}
     assert out[1] == [] and len(out[2]) == 5
     with pytest.raises(ValueError):
         disclosure.judge(reports, {"nonsense": 1})
+    with pytest.raises(ValueError):
+        disclosure.judge(reports, {"redaction": {"nonsense": 1}})
+    full = reports.select("*", F.when(F.col("bundle_id") == 2, "incident").alias("action"), F.lit(False).alias("gated"), (F.col("bundle_id") == 2).alias("sent"), F.col("bundle_id").alias("depth"), F.array(F.lit("k"), F.col("signer")).alias("upstream_signers"), F.array(F.lit("ada"), F.lit("ada")).alias("approvers"), F.lit(True).alias("in_ledger"))
+    policy = {"actions": {"allow": ["pr_summary"], "require_approval_gate": True, "forbid_real_send": True}, "chain": {"max_depth": 1, "require_signed_upstreams": True, "allowed_upstream_signers": ["k"]}, "approvals": {"require": 2, "allowed_approvers": ["ada"], "distinct_approvers": 2}, "redaction": {"allow": False}, "ledger": {"require_inclusion": True}}
+    out = {r["bundle_id"]: r["breaches"] for r in disclosure.judge(full, policy).collect()}
+    assert out[1] == ["too few approvers", "redaction not allowed"]
+    assert out[2] == ["action not allowed", "action without an approval gate", "action really sent", "chain too deep", "unsigned upstream", "upstream signer not allowed", "too few approvers", "redaction not allowed"]
