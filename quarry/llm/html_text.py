@@ -11,8 +11,8 @@ Contents are pages told apart by a sketch (two minima over hashed strings of thr
 count as one, close copies mostly do, pages that share their boilerplate only count each. Runs are told by 64-bit
 fingerprints.
 
-Pages of a host with more than `group_pages` contents are dealt by their sketch to several arrays of about that size, so
-that no task holds a whole host. A run that reaches the bound over the host reaches its part of the bound in one array
+Pages of a host with more than `group_pages` contents, or more than GROUP_BYTES of text, are dealt by their sketch to
+several arrays of about that size, so that no task holds a whole host. A run that reaches the bound over the host reaches its part of the bound in one array
 at least; what does so is counted again over all pages of the host, so the parts have no effect on the result.
 
 Defined results: a null or empty html gives an empty text; a null url has an empty host; repeated rows and null ids give
@@ -119,6 +119,8 @@ def blocks(page: str) -> list[str]:
 _powers = Powers(0xD6E8FEB86659FD93, 41)
 #: Text that is hashed at once.
 PIECE = 1 << 20
+#: Text of the pages that one array holds, about.
+GROUP_BYTES = 16 << 20
 
 
 def strings(hashed: np.ndarray, length: int) -> np.ndarray:
@@ -293,9 +295,10 @@ def main_text(pages: DataFrame, min_run: int = 8, min_share: float = 0.05, min_p
 
     scanned = materialise(map_rows(rows, scan, "page_id long, url string, host string, content long, packed binary, size long"), "page-blocks")
     n = F.count(F.lit(1))
-    hosts = scanned.groupBy("host", "content").agg(n.alias("copies")).groupBy("host").agg(n.alias("n"), F.sum("copies").alias("pages")).filter(F.col("n") >= min_pages)
+    hosts = scanned.groupBy("host", "content").agg(n.alias("copies"), F.max("size").alias("size")).groupBy("host").agg(n.alias("n"), F.sum("copies").alias("pages"), F.sum("size").alias("bytes"), F.sum(F.col("size") * F.col("copies")).alias("all_bytes")).filter(F.col("n") >= min_pages)
     bound = F.greatest(F.lit(min_pages), F.ceil(F.col("n") * min_share)).cast("long")
-    hosts = materialise(hosts.select("host", F.ceil(F.col("n") / group_pages).alias("parts"), F.ceil(F.col("pages") / group_pages).alias("splits"), bound.alias("bound")), "hosts")
+    cut = lambda pages, size: F.greatest(F.ceil(F.col(pages) / group_pages), F.ceil(F.col(size) / GROUP_BYTES))
+    hosts = materialise(hosts.select("host", cut("n", "bytes").alias("parts"), cut("pages", "all_bytes").alias("splits"), bound.alias("bound")), "hosts")
     held = scanned.select("host", "content", "packed", "size").join(small(hosts, 64), "host")
     dealt = held.select("host", F.pmod("content", "parts").alias("part"), "parts", "bound", "content", "packed", "size")
 
