@@ -313,6 +313,16 @@ def locators(spark, d):
 
 QUERIES = {f.__name__: f for f in (edge_table, denormalised, reverse_traversal, path_join, dangling_edges, neighbourhood, hops, entity_components, last_write, currency_totals, best_by_currency, neighbours_in_rank, comparisons, kind_counts, longest_names, value_sets, stated_conflicts, scores, tally_pivot, pair_quality, document_frequency, bm25_top, cosine_top, recurrence_counts, filled_forward, step_lines, tail_bytes, newest_first, manifest_changes, manifest_commitment, ledger_tree, paragraph_chunks, name_keys, scrubbed, money_text, edit_distances, phrase_hits, resolved_names, document_mentions, enumeration, locators)}
 
+
+
+def _ledger_sql(levels: int = 24) -> str:
+    """Level by level; a level over a single node is empty."""
+    steps = ["l0 AS (SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS i, sha256(unhex('00') || encode(c_name)) AS h FROM customer)"]
+    for k in range(1, levels):
+        steps.append(f"l{k} AS (SELECT i // 2 AS i, CASE WHEN count(*) = 2 THEN sha256(unhex('01') || unhex(arg_min(h, i)) || unhex(arg_max(h, i))) ELSE min(h) END AS h FROM l{k - 1} WHERE (SELECT count(*) FROM l{k - 1}) > 1 GROUP BY 1)")
+    return "WITH " + ", ".join(steps) + " " + " UNION ALL ".join(f"SELECT {k} AS level, i, h AS hash FROM l{k}" for k in range(levels))
+
+
 #: A comparison key, for text whose letters beyond ASCII are all accented ones.
 _KEY = "regexp_replace(strip_accents(replace(replace(replace(replace(lower({0}), 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss')), '[^a-z0-9]', '', 'g')"
 _BENCH = _TOKENS.replace("doc_id", "item_id").replace("FROM documents", "FROM benchmark")
@@ -376,6 +386,7 @@ ORACLE_SQL = {
         WITH a AS (SELECT c_custkey::VARCHAR AS name, sha256(c_name) AS d FROM customer WHERE c_custkey % 7 <> 0), b AS (SELECT c_custkey::VARCHAR AS name, sha256(CASE WHEN c_custkey % 3 = 0 THEN 'x' ELSE c_name END) AS d FROM customer WHERE c_custkey % 5 <> 0)
         SELECT coalesce(a.name, b.name) AS name, CASE WHEN b.d IS NULL THEN 'missing' WHEN a.d IS NULL THEN 'unexpected' ELSE 'differs' END AS change FROM a FULL JOIN b ON a.name = b.name WHERE a.d IS DISTINCT FROM b.d""",
     "manifest_commitment": "SELECT 'sha256:' || sha256(string_agg(x, chr(10) ORDER BY x)) AS root, count(*) AS leaves FROM (SELECT n_nationkey || '=sha256:' || sha256(n_name) AS x FROM nation)",
+    "ledger_tree": _ledger_sql(),
     "paragraph_chunks": """
         WITH l AS (SELECT doc_id, unnest(string_split(regexp_replace(regexp_replace(text, '\\.\\n', E'.\\n\\n', 'g'), '\\n$', ''), chr(10))) AS line, generate_subscripts(string_split(regexp_replace(regexp_replace(text, '\\.\\n', E'.\\n\\n', 'g'), '\\n$', ''), chr(10)), 1) AS n FROM documents),
         b AS (SELECT *, trim(line) = '' AS blank, coalesce(lag(trim(line) = '') OVER (PARTITION BY doc_id ORDER BY n), true) AS gap FROM l),
