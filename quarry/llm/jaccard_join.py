@@ -15,7 +15,7 @@
    two components. So a group of near copies costs about one pair a member, and no link between components is lost.
 
 Defined results: a null or empty text, or one of white space only, has no shingles, links with nothing and is its own
-component; of repeated ids the components are united under the smallest id; a null id takes the smallest id of its
+component; rows that repeat an id count each by its own text; a null id takes the smallest id of its
 component (null if it has none); an empty table gives no rows; other columns are not read; a text's set is held whole,
 some 60 bytes of memory for each of its words.
 """
@@ -117,6 +117,10 @@ def class_of(tokens: np.ndarray) -> bytes | None:
     return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest() if len(tokens) else None
 
 
+def short(cid: bytes | None) -> int | None:
+    return None if cid is None else int.from_bytes(cid[:8], "little", signed=True)
+
+
 def prefix_length(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
@@ -143,11 +147,11 @@ def _long(tokens: np.ndarray) -> np.ndarray:
 
 
 SIGNATURE = ["s0", "s1", "s2", "s3"]
-SETS = "did long, n long, cid binary, second array<int>, third array<int>, " + ", ".join(f"{c} long" for c in SIGNATURE)
+SETS = "did long, n long, cid binary, own long, second array<int>, third array<int>, " + ", ".join(f"{c} long" for c in SIGNATURE)
 
 
 def _sets_pass(docs: DataFrame, rule: Rule) -> DataFrame:
-    """Rows of texts (did, n, cid, prefixes under the other orders as 32 bits of each token, signature).
+    """Rows of texts (did, n, cid, own: 64 bits of it, prefixes under the other orders as 32 bits of each token, signature).
 
     Prefixes and signature stand at one text of each class and map unit; a collision only lets a pair pass.
     """
@@ -162,7 +166,7 @@ def _sets_pass(docs: DataFrame, rule: Rule) -> DataFrame:
                 others = [pa.array([None if s is None else s[foremost(s, rank(s, order), rule.percent)].astype(np.uint32).view(np.int32) for s in fresh], listed) for order in (1, 2)]
                 bits = [signature(s) if s is not None else None for s in fresh]
                 signatures = [pa.array([None if b is None else int(b[k]) for b in bits], pa.int64()) for k in range(len(SIGNATURE))]
-                yield pa.record_batch([batch.column(0), pa.array(list(map(len, sets)), pa.int64()), pa.array(cids, pa.binary()), *others, *signatures], names)
+                yield pa.record_batch([batch.column(0), pa.array(list(map(len, sets)), pa.int64()), pa.array(cids, pa.binary()), pa.array(list(map(short, cids)), pa.int64()), *others, *signatures], names)
 
     return docs.mapInArrow(tidied(run), SETS)
 
@@ -226,17 +230,17 @@ def _heavy(docs: DataFrame, rule: Rule, buckets: int, tables: Tables) -> np.ndar
 
 
 def _shared_tokens(docs: DataFrame, rule: Rule, heavy: Broadcast, buckets: int) -> DataFrame:
-    """(token, did, pos) of prefix tokens under the first order that more than one text holds; pos: place in the order."""
+    """(token, own, pos) of prefix tokens under the first order that more than one text holds; own: short class, pos: place in the order."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in portions(whole, 1, UNIT_BYTES):
                 tokens, owners, places, met = [], [], [], set()
-                for did, own in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), rule.words), strict=True):
-                    if len(own) and (cid := class_of(own)) not in met:
+                for own in shingle_sets(batch.column(1), rule.words):
+                    if len(own) and (cid := short(class_of(own))) not in met:
                         met.add(cid)
                         tokens.append(own[foremost(own, first_ranks(own, heavy.value), rule.percent)])
-                        owners.append(np.full(len(tokens[-1]), did, np.int64))
+                        owners.append(np.full(len(tokens[-1]), cid, np.int64))
                         places.append(np.arange(len(tokens[-1]), dtype=np.uint32))
                 if not tokens:
                     continue
@@ -270,9 +274,9 @@ def _shared_tokens(docs: DataFrame, rule: Rule, heavy: Broadcast, buckets: int)
             keep[:-1] |= same
             keep &= flag == 0  # flagged rows have gone on already
             token, owner, place = token[keep], owner[keep], place[keep]
-        return pa.table({"token": _long(token), "did": owner, "pos": place.astype(np.int64)})
+        return pa.table({"token": _long(token), "own": owner, "pos": place.astype(np.int64)})
 
-    return docs.mapInArrow(tidied(send), "bucket long, keys binary, owners binary, places binary, flags binary").groupBy("bucket").applyInArrow(meet, "token long, did long, pos long")
+    return docs.mapInArrow(tidied(send), "bucket long, keys binary, owners binary, places binary, flags binary").groupBy("bucket").applyInArrow(meet, "token long, own long, pos long")
 
 
 def _whole_sets(docs: DataFrame, rows: DataFrame, cids: DataFrame, rule: Rule, tables: Tables) -> DataFrame:
@@ -397,8 +401,8 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id"
     tokens = rows.agg(F.sum("n")).first()[0] or 0
     heavy = docs.sparkSession.sparkContext.broadcast(_heavy(docs, rule, max(256, math.ceil(tokens * 5 / (4 << 20))), tables))
     buckets = max(64, math.ceil(tokens * (100 - rule.percent) / 100 * 21 / (4 << 20)))
-    named = rows.select("did", "cid", "n").filter("cid is not null").distinct()
-    group = tables.write(_shared_tokens(docs, rule, heavy, buckets), "shared").join(small(named, 48), "did").groupBy("token", "cid").agg(F.max("n").alias("n"), F.max("pos").alias("pos"))
+    named = rows.select("own", "cid", "n").filter("cid is not null").distinct()
+    group = tables.write(_shared_tokens(docs, rule, heavy, buckets), "shared").join(small(named, 48), "own").groupBy("token", "cid").agg(F.max("n").alias("n"), F.max("pos").alias("pos"))
     own = W.partitionBy("cid")
     group = tables.write(group.withColumn("label", F.col("cid")).withColumn("stands", F.count(F.lit(1)).over(own)).withColumn("above", F.row_number().over(own.orderBy("pos")) - 1), "groups")
     links = labels = whole = sets = None

@@ -108,6 +108,19 @@ def test_jaccard_join(spark, rule):
     assert jaccard_join.near_duplicates(empty(spark), rule).count() == 0
 
 
+def test_jaccard_join_of_rows_that_share_an_id(spark):
+    r = random.Random(21)
+    base = [[f"b{k}x{i}" for i in range(r.randint(40, 120))] for k in range(12)]
+    rows = []
+    for k in range(150):
+        words = list(r.choice(base))
+        for _ in range(r.choice([0, 0, 1, 2, 3])):
+            words[r.randrange(len(words))] = f"e{r.randint(0, 30)}"
+        rows.append((r.choice([None, None, 1, 2, 3, 3, 100 + k, 100 + k]), " ".join(words)))
+    rule = jaccard_join.Rule(3, 80, heavy=3)
+    assert got(jaccard_join.near_duplicates(frame(spark, rows), rule)) == plain.near(rows, 3, 80)
+
+
 def test_source_mix(spark):
     rows = [(d, t, s) for d, t, s in got(frame(spark, texts(5)), "doc_id", "text", "source") if d is not None and d != 1003 and d != 1001]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
