@@ -79,6 +79,11 @@ def retrieval_tokens(c: Column) -> Column:
     return F.regexp_extract_all(umlauts(c), F.lit(TOKEN), F.lit(0))
 
 
+def grams(c: Column, size: int) -> Column:
+    """All strings of `size` characters of a text, in one pass; none if it is shorter."""
+    return F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
+
+
 def name_tokens(c: Column) -> Column:
     """Parts between white space and -_/.,& in normalised form, of two characters at least."""
     return F.filter(F.transform(F.split(c, r"[\s\-_/.,&]+"), normalize), lambda t: F.length(t) >= 2)
