@@ -214,7 +214,7 @@ def request_keys(spark, d):
     return n.select("n_nationkey", a.alias("key"), (a == b).alias("same"))
 
 
-KEYS = [("ﬁrm ½ ™ ㎏ Ǆ", "firm12kgdz"), ("Lumière & Söhne", "lumieresoehne"), ("ÅNGSTRÖM-Straße №7", "angstroemstrasseo7"), ("ⅷ Ⅳ ㎒ ﬀ", "viiiivzff"), ("Ωμέγα", ""), ("𝐛𝐨𝐥𝐝 ⑫", "bold12"), ("İstanbul", "istanbul"), ("", "")]
+KEYS = [("ﬁrm ½ ™ ㎏ Ǆ", "firm12kgdz"), ("Crémerie & Söhne", "cremeriesoehne"), ("ÅNGSTRÖM-Straße №7", "angstroemstrasseo7"), ("ⅷ Ⅳ ㎒ ﬀ", "viiiivzff"), ("Ωμέγα", ""), ("𝐛𝐨𝐥𝐝 ⑫", "bold12"), ("İstanbul", "istanbul"), ("", "")]
 
 
 def unicode_keys(spark, d):
@@ -246,8 +246,8 @@ def split_hunks(spark, d):
 
 
 FORMS = [
-    (1, "Granite Works GmbH", "graniteworks", "``` x ````", "`````", "abcdefghij", "abcdefg …[truncated]"),
-    (2, "Acme Inc", None, "plain", "```", "abc", "abc"),
+    (1, "Bittern Works GmbH", "bitternworks", "``` x ````", "`````", "abcdefghij", "abcdefg …[truncated]"),
+    (2, "Teal Inc", None, "plain", "```", "abc", "abc"),
     (3, "Northern Lights Incorporated", "northernlights", "", "```", "", ""),
 ]
 
@@ -258,7 +258,7 @@ def text_forms(spark, d):
     return rows.select("id", X.strip_legal_suffix(F.col("name")).alias("stem"), X.fence(F.col("code")).alias("fence"), X.elide(F.col("long"), 7).alias("elided"))
 
 
-COMMON = [("abcdef", "zabcy", 3), ("", "a", 0), ("aaaa", "aa", 2), ("xyz", "abc", 0), ("granite", "thegranitefirm", 7), ("abab", "baba", 3)]
+COMMON = [("abcdef", "zabcy", 3), ("", "a", 0), ("aaaa", "aa", 2), ("xyz", "abc", 0), ("bittern", "thebitternfirm", 7), ("abab", "baba", 3)]
 
 
 def common_lengths(spark, d):
@@ -266,9 +266,9 @@ def common_lengths(spark, d):
     return _rows(spark, [r[:2] for r in COMMON], "a string, b string").select("a", "b", X.common_length(F.col("a"), F.col("b")).cast("long").alias("n"))
 
 
-FIRMS = [("e1", "Granite Works GmbH"), ("e1", "Granite Works"), ("e2", "Pyrite Holdings"), ("e3", "Cobalt North"), ("e4", "Cobalt South")]
+FIRMS = [("e1", "Bittern Works GmbH"), ("e1", "Bittern Works"), ("e2", "Plover Holdings"), ("e3", "Curlew North"), ("e4", "Curlew South")]
 FIRM_SALES = [("e1", "s1", "EUR", "1.00"), ("e1", "s2", "EUR", "2.50"), ("e2", "s3", "EUR", "3.00"), ("e3", "s4", "USD", "7.00"), ("e3", "s5", "EUR", "1000.00"), ("e4", "s6", "USD", "1.00")]
-ASKED = [(1, "Compare Granite Works with Pyrite Holdings"), (2, "Which firm has the highest total in EUR? FYI"), (3, "Who is largest?"), (4, "zebra"), (5, "Compare Granite Works and Cobalt North"), (6, "Granite Works, Cobalt South"), (7, "Granite Works, Pyrite Holdings, Cobalt North"), (8, "cobalt"), (9, "Tell me about Granite Works please")]
+ASKED = [(1, "Compare Bittern Works with Plover Holdings"), (2, "Which firm has the highest total in EUR? FYI"), (3, "Who is largest?"), (4, "zebra"), (5, "Compare Bittern Works and Curlew North"), (6, "Bittern Works, Curlew South"), (7, "Bittern Works, Plover Holdings, Curlew North"), (8, "curlew"), (9, "Tell me about Bittern Works please")]
 
 
 def _firms(spark):
@@ -281,12 +281,12 @@ def reasoned(spark, d):
 
 
 REASONED = [
-    (1, 1, "'Pyrite Holdings': total net order value across 1 order(s): EUR 3.00.", "s3", None), (1, 2, "'Granite Works GmbH': total net order value across 2 order(s): EUR 3.50.", "s1,s2", None),
-    (1, 3, "'Granite Works GmbH' (EUR 3.50 across 2 order(s)) exceeds 'Pyrite Holdings' (EUR 3.00 across 1 order(s)) in total net order value.", "s3,s1,s2", None),
-    (2, 1, "Among 3 entities with EUR orders, 'Cobalt North' has the highest total net order value: EUR 1,000.00.", "s5", None), (3, 0, None, None, "A single ranking would mix currencies (EUR, USD); name one."),
-    (4, 0, None, None, "the question asks for no comparison or ranking"), (5, 0, None, None, "Cannot compare: 'Cobalt North' has orders in EUR and USD, which are not directly comparable."),
-    (6, 0, None, None, "Cannot compare: 'Granite Works GmbH' has orders in EUR but 'Cobalt South' in USD; the totals are not directly comparable."),
-    (7, 0, None, None, "Ambiguous: the question matches more than two entities (Pyrite Holdings, Granite Works GmbH, Cobalt North)."), (8, 0, None, None, "the question asks for no comparison or ranking"), (9, 0, None, None, "the question asks for no comparison or ranking"),
+    (1, 1, "'Plover Holdings': total net order value across 1 order(s): EUR 3.00.", "s3", None), (1, 2, "'Bittern Works GmbH': total net order value across 2 order(s): EUR 3.50.", "s1,s2", None),
+    (1, 3, "'Bittern Works GmbH' (EUR 3.50 across 2 order(s)) exceeds 'Plover Holdings' (EUR 3.00 across 1 order(s)) in total net order value.", "s3,s1,s2", None),
+    (2, 1, "Among 3 entities with EUR orders, 'Curlew North' has the highest total net order value: EUR 1,000.00.", "s5", None), (3, 0, None, None, "A single ranking would mix currencies (EUR, USD); name one."),
+    (4, 0, None, None, "the question asks for no comparison or ranking"), (5, 0, None, None, "Cannot compare: 'Curlew North' has orders in EUR and USD, which are not directly comparable."),
+    (6, 0, None, None, "Cannot compare: 'Bittern Works GmbH' has orders in EUR but 'Curlew South' in USD; the totals are not directly comparable."),
+    (7, 0, None, None, "Ambiguous: the question matches more than two entities (Plover Holdings, Bittern Works GmbH, Curlew North)."), (8, 0, None, None, "the question asks for no comparison or ranking"), (9, 0, None, None, "the question asks for no comparison or ranking"),
 ]
 
 
@@ -312,7 +312,7 @@ def composed(spark, d):
 
 
 COMPOSED = [
-    (1, 1, "'Granite Works GmbH' is one resolved entity spanning 2 customer record(s) and 1 address record(s).", "a1,c1,c2"), (1, 2, "Total net order value across 2 order(s): EUR 3.50.", "s1,s2"),
+    (1, 1, "'Bittern Works GmbH' is one resolved entity spanning 2 customer record(s) and 1 address record(s).", "a1,c1,c2"), (1, 2, "Total net order value across 2 order(s): EUR 3.50.", "s1,s2"),
     (1, 4, "It renews every year on 1 May.", "d1"), (1, 4, "This renews upon 1 May; again on 2 June.", "d2"),
     (1, 5, "Conflict: the cited documents disagree on the renewal date — '1 May' (a.md); '2 June' (b.md). No single renewal date can be asserted.", "d1,d2"),
     (2, 2, "Net order value in EUR across 1 order(s): EUR 1,000.00.", "s5"), (2, 2, "Net order value in USD across 1 order(s): USD 7.00.", "s4"),
@@ -676,7 +676,7 @@ ORACLE_SQL = {
     "common_lengths": _values(COMMON, "a, b, n"),
     "reasoned": _values(REASONED, "qid, step, text, support, refusal"),
     "routed": _values([(1, "multi"), (2, "multi"), (3, "multi"), (4, "lookup"), (5, "multi"), (6, "multi"), (7, "multi"), (8, "entity"), (9, "entity")], "qid, kind"),
-    "resolved_questions": _values([(1, "ok", "e2", None), (2, "none", None, None), (3, "none", None, None), (4, "none", None, None), (5, "ok", "e1", None), (6, "ok", "e1", None), (7, "ok", "e2", None), (8, "ambiguous", None, "Cobalt North,Cobalt South"), (9, "ok", "e1", None)], "qid, status, entity, candidates"),
+    "resolved_questions": _values([(1, "ok", "e2", None), (2, "none", None, None), (3, "none", None, None), (4, "none", None, None), (5, "ok", "e1", None), (6, "ok", "e1", None), (7, "ok", "e2", None), (8, "ambiguous", None, "Curlew North,Curlew South"), (9, "ok", "e1", None)], "qid, status, entity, candidates"),
     "composed": _values(COMPOSED, "qid, step, text, support"),
     "summarised_changes": _values(SUMMARISED, "qid, step, place, text"),
     "services_found": """

@@ -130,7 +130,7 @@ def invented_firms(spark: SparkSession, n: int, seed: int = 20260605) -> DataFra
     """(id, name, city, currency, amount) of n firms, the same for a seed whatever the partitioning; every fifth repeats its forerunner's name with another legal form."""
     pick = lambda salt, words: F.element_at(F.array(*map(F.lit, words)), (F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), "base"), F.lit(len(words))) + 1).cast("int"))
     base = F.when(F.col("id") % 5 == 4, F.col("id") - 1).otherwise(F.col("id"))
-    first = pick("first", ["Granite", "Pyrite", "Cobalt", "Basalt", "Quartz", "Slate", "Flint", "Marble", "Onyx", "Agate"])
+    first = pick("first", ["Bittern", "Plover", "Curlew", "Avocet", "Dunlin", "Egret", "Grebe", "Teal", "Wigeon", "Osprey"])
     second = pick("second", ["Works", "Holdings", "Trading", "Foundry", "Mills", "Logistics", "Press", "Labs"])
     form = F.element_at(F.array(*map(F.lit, ["GmbH", "Inc", "Ltd", "AG"])), (F.col("id") % 4 + 1).cast("int"))
     code = F.initcap(F.translate(F.substring(F.md5(F.col("base").cast("string")), 1, 8), "0123456789", "ghijklmnop"))

@@ -42,8 +42,8 @@ def test_root_cause(spark):
 
 
 def test_business(spark):
-    names = spark.createDataFrame([("e1", "Granite Works GmbH"), ("e1", "Granite Works"), ("e2", "Pyrite Holdings"), ("e3", "Cobalt North"), ("e4", "Cobalt South")], "entity string, name string")
-    asked = spark.createDataFrame([(1, "What do we know about Granite Works?"), (2, "Compare Granite Works and Pyrite Holdings"), (3, "Who is largest in EUR?"), (4, "zebra"), (5, "what about cobalt")], "qid long, question string")
+    names = spark.createDataFrame([("e1", "Bittern Works GmbH"), ("e1", "Bittern Works"), ("e2", "Plover Holdings"), ("e3", "Curlew North"), ("e4", "Curlew South")], "entity string, name string")
+    asked = spark.createDataFrame([(1, "What do we know about Bittern Works?"), (2, "Compare Bittern Works and Plover Holdings"), (3, "Who is largest in EUR?"), (4, "zebra"), (5, "what about curlew")], "qid long, question string")
     status = {r["qid"]: (r["status"], r["entity"]) for r in business.resolve(asked, names).collect()}
     assert status[1] == ("ok", "e1") and status[4] == ("none", None) and status[5] == ("ambiguous", None)
     assert {r["qid"]: r["kind"] for r in business.route(asked, names).collect()} == {1: "entity", 2: "multi", 3: "multi", 4: "lookup", 5: "lookup"}  # the tie takes too little of question 5

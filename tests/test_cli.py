@@ -28,15 +28,15 @@ glob = "*.*"
 @pytest.fixture
 def folder(tmp_path):
     (tmp_path / directory.FILE).write_text(DECLARED)
-    (tmp_path / "firms.csv").write_text("id,title,city\n1,Granite Works,7\n2,Pyrite Holdings,\n3,Same Name,7\n4,Same Name,7\n")
+    (tmp_path / "firms.csv").write_text("id,title,city\n1,Bittern Works,7\n2,Plover Holdings,\n3,Same Name,7\n4,Same Name,7\n")
     (tmp_path / "cities.csv").write_text("id,name\n7,Aachen\n")
     (tmp_path / "note.md").write_text("# Renewal\n\nThe zebra agreement renews yearly.\n")
     return str(tmp_path)
 
 
 def test_ask(spark, folder, capsys, tmp_path):
-    assert cli.main(["ask", folder, "What about Granite Works?"], spark) == 0
-    assert capsys.readouterr().out == "City Aachen\n  ↳ cities.csv (row 1)\nFirm 1: Granite Works\n  ↳ firms.csv (row 1)\n"
+    assert cli.main(["ask", folder, "What about Bittern Works?"], spark) == 0
+    assert capsys.readouterr().out == "City Aachen\n  ↳ cities.csv (row 1)\nFirm 1: Bittern Works\n  ↳ firms.csv (row 1)\n"
     assert cli.main(["ask", folder, "zebra agreement"], spark) == 0
     assert "The zebra agreement renews yearly." in capsys.readouterr().out
     assert cli.main(["ask", folder, "xylophone"], spark) == 1

@@ -40,15 +40,15 @@ def test_erp_slice(spark, tmp_path):
 
 
 def test_erp_tables(spark, tmp_path):
-    write(tmp_path / "I_Customer.csv", [{"Customer": "1", "CustomerName": "Granite", "CustomerAccountGroup": "G", "Country": "DE", "AddressID": "5"}])
-    write(tmp_path / "I_AddrOrgNamePostalAddress.csv", [{"AddressID": "5", "OrganizationName": "Granite", "StreetName": "S", "HouseNumber": "1", "PostalCode": "52062", "CityName": "Aachen", "Country": "DE"}])
+    write(tmp_path / "I_Customer.csv", [{"Customer": "1", "CustomerName": "Bittern", "CustomerAccountGroup": "G", "Country": "DE", "AddressID": "5"}])
+    write(tmp_path / "I_AddrOrgNamePostalAddress.csv", [{"AddressID": "5", "OrganizationName": "Bittern", "StreetName": "S", "HouseNumber": "1", "PostalCode": "52062", "CityName": "Aachen", "Country": "DE"}])
     write(tmp_path / "I_SalesDocument.csv", [{"SalesDocument": "3", "SoldToParty": "1", "TotalNetAmount": "1234.5", "TransactionCurrency": "EUR", "SalesDocumentDate": "2020-01-01"}])
     write(tmp_path / "I_SalesDocumentItem.csv", [{"SalesDocument": "3", "SalesDocumentItem": "10", "SalesDocumentItemText": "bolt", "Material": "M", "OrderQuantity": "2", "NetAmount": "1234.5", "TransactionCurrency": "EUR"}])
     nodes, edges = datasets.keyed(spark, str(tmp_path), datasets.ERP, "erp", "x")
     got = {r["id"]: r for r in nodes.collect()}
     assert got["I_SalesDocument:3"]["text"] == "Sales document 3: sold-to party 1, net value EUR 1,234.50, dated 2020-01-01."
     assert got["I_SalesDocumentItem:3-10"]["text"] == "Item 10 of sales document 3: bolt (material M), quantity 2, net EUR 1,234.50."
-    assert got["I_Customer:1"]["name"] == "Granite" and got["I_AddrOrgNamePostalAddress:5"]["attributes"]["CityName"] == "Aachen"
+    assert got["I_Customer:1"]["name"] == "Bittern" and got["I_AddrOrgNamePostalAddress:5"]["attributes"]["CityName"] == "Aachen"
     assert sorted(r["relation"] for r in edges.collect()) == ["has_address", "line_of", "sold_to"]
 
 
