@@ -9,6 +9,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chunking import log_chunks
+
 JOBS = "array<struct<name:string,conclusion:string,status:string,steps:array<struct<number:int,name:string,conclusion:string>>>>"
 CI_RUN = f"databaseId bigint, workflowName string, displayTitle string, headBranch string, headSha string, event string, conclusion string, createdAt string, name string, jobs {JOBS}"
 PULL = "number bigint, title string, state string, author string, createdAt string, mergedAt string, headRef string, baseRef string, body string"
@@ -38,8 +40,19 @@ def ci_runs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def pulls(spark: SparkSession, path: str) -> DataFrame:
-    """Pull requests from <number>.json files; order by number, not by name."""
-    return spark.read.schema(PULL).json(path, multiLine=True)
+    """Pull requests from files named by their number, <number>.json; others are left out. Order is by number, not by name."""
+    rows = spark.read.schema(PULL).json(path, multiLine=True).select("*", F.col("_metadata.file_name").alias("file"))
+    return rows.filter(F.col("file").rlike(r"^\d+\.json$")).drop("file")
+
+
+def ci_logs(runs: DataFrame, logs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges): the chunks of runs' logs (name, text), named by the run's id, and their links to the runs (databaseId); a log without a run is left out."""
+    known = runs.select(F.col("databaseId").cast("string").alias("run")).distinct()
+    chunks = log_chunks(logs.select(F.col("name").alias("run"), "text").join(known, "run", "left_semi"))
+    own = F.concat("run", F.lit(":"), "name")
+    place = render_locator(locator("log-span", job=F.col("job"), step=F.col("step"), lines=F.concat("start_line", F.lit("-"), "end_line")))
+    nodes = chunks.select(own.alias("id"), F.lit("log-span").alias("kind"), F.concat(F.lit("logs/"), "run", F.lit(".log")).alias("source"), place.alias("locator"), "text")
+    return nodes, chunks.select(own.alias("src"), F.concat(F.lit("Run:"), "run").alias("dst"), F.lit("log_of").alias("relation"))
 
 
 def aliases(c: Column) -> Column:
