@@ -19,14 +19,11 @@ def escaped(c: Column) -> Column:
 
 
 def unescaped(c: Column) -> Column:
-    """Backslashes are set aside first, so that what follows an escaped one isn't read as an escape."""
-    keep = "\ue000"  # stands for a backslash on the way; texts with this private-use character aren't round-tripped
-    c = F.replace(c, F.lit("\\\\"), F.lit(keep))
-    for a, b in ESCAPES[1:]:
-        c = F.replace(c, F.lit(b), F.lit(a))
-    for ch in CODED:
-        c = F.replace(c, F.lit(f"\\u{ord(ch):04X}"), F.lit(ch))
-    return F.replace(c, F.lit(keep), F.lit("\\"))
+    """Escapes read from left to right, so that what follows an escaped backslash isn't taken for one."""
+    parts = F.regexp_extract_all(c, F.lit(r"(?s)(\\u[0-9A-Fa-f]{4}|\\.|[^\\]+)"), F.lit(1))
+    known = F.create_map(*(F.lit(x) for plain, coded in ESCAPES for x in (coded, plain)))
+    read = F.transform(parts, lambda p: F.when(p.rlike(r"^\\u[0-9A-Fa-f]{4}$"), F.decode(F.unhex(F.substr(p, F.lit(3))), "UTF-16BE")).otherwise(F.coalesce(F.try_element_at(known, p), p)))
+    return F.when(F.contains(c, F.lit("\\")), F.array_join(read, "")).otherwise(c)
 
 
 def iri(base: str, kind: str, c: Column) -> Column:
