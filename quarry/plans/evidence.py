@@ -630,6 +630,40 @@ def audit_rows(spark, d):
     return bundle.audit(v, v.filter("bundle_id % 3 = 0").select("bundle_id", (F.col("bundle_id") % 2 == 0).alias("approved")))
 
 
+def alias_links(spark, d):
+    """Declared aliases that are a name in another form, and what they link."""
+    p = _t(spark, d, "part")
+    names = p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    aliases = p.filter("p_partkey % 100 = 0").select(F.col("p_partkey").alias("id"), F.upper(F.replace("p_name", F.lit(" "), F.lit("-"))).alias("alias"))
+    return resolution.aliases_resolve(names, aliases).select("node_a", "node_b", "score")
+
+
+def field_signals(spark, d):
+    """The first field that both sides have decides: customers and the supplier of the same number by nation, then balance."""
+    c, s = _t(spark, d, "customer"), _t(spark, d, "supplier")
+    some = lambda x, k: F.when(F.col(k) % 3 != 0, F.col(x).cast("string"))
+    both = c.join(s, F.col("c_custkey") == F.col("s_suppkey"))
+    signal = resolution.field_signal([(some("c_nationkey", "c_custkey"), F.col("s_nationkey").cast("string")), (F.col("c_mktsegment"), F.lit("Building"))])
+    return both.select("c_custkey", signal.alias("signal"))
+
+
+NAMES = ["Bittern Spedition GmbH", "Plover Spedition GmbH", "Curlew Spedition GmbH", "Jürgens Kork AG", "Juergens Kork AG", "Service GmbH", "Service GmbH", "", None, "Bittern Spedition AG"]
+
+
+def confirmed_pairs(spark, d):
+    """Names that resolve, and on what ground; a shared generic token is none."""
+    names = _rows(spark, [(i, f"n{i}", n) for i, n in enumerate(NAMES)], "seq long, id string, name string")
+    found = resolution.resolve(names, ["ag", "gmbh", "service", "spedition"])
+    return found.select("node_a", "node_b", F.regexp_extract("reason", r"(shared distinctive token '[a-z]+'|fully-generic|near-identical|edit\(s\))", 1).alias("ground"))
+
+
+def issued_roots(spark, d):
+    """Roots appended to a ledger in order, each once."""
+    c = _t(spark, d, "customer")
+    ledger = c.filter("c_custkey < 100").select(F.col("c_custkey").alias("idx"), F.concat(F.lit("old"), F.col("c_custkey").cast("string")).alias("root"))
+    return integrity.append_roots(ledger, _t(spark, d, "part").select(F.col("p_partkey").alias("seq"), F.concat(F.lit("new"), F.col("p_partkey").cast("string")).alias("root")))
+
+
 def ranked_firms(spark, d):
     """180 invented firms built, resolved, clustered and ranked by currency."""
     firms = graph.cut_lineage(datasets.invented_firms(spark, 180))
@@ -641,7 +675,7 @@ def ranked_firms(spark, d):
     return totals.superlative(sums).crossJoin(size.agg(F.count(F.lit(1)).alias("clusters"), F.max("count").alias("largest")))  # one row
 
 
-QUERIES = {f.__name__: f for f in (compared_claims, superlative_claims, chain_checks, chain_citations, bounded_soundness, consistency_proofs, bundle_roots, mutation_detection, bundle_verdicts, redacted_bundles, bundle_approvals, canonical_json, scrubbed_json, request_keys, unicode_keys, scrubbed_secrets, split_hunks, text_forms, common_lengths, reasoned, routed, resolved_questions, composed, summarised_changes, services_found, service_answers, directory_answers, ambiguous_names, described, novel_facts, narrations, missing_terms, admitted_events, assertion_rows, split_again, floor_gates, rebased_sources, answer_texts, scorecard_text, claim_verdicts, policy_breaches, failure_signatures, shared_seconds, alias_lists, firm_stoplist, firm_stems, embedding_pairs, semantic_hits, name_vectors, drafted_actions, payloads, executions, rederived_actions, masked_receipts, smoke_checks, conformance_grid, log_sections, delivery_links, upserts, journal_badges, exported_triples, full_neighbourhood, full_hops, audit_rows, ranked_firms)}
+QUERIES = {f.__name__: f for f in (compared_claims, superlative_claims, chain_checks, chain_citations, bounded_soundness, consistency_proofs, bundle_roots, mutation_detection, bundle_verdicts, redacted_bundles, bundle_approvals, canonical_json, scrubbed_json, request_keys, unicode_keys, scrubbed_secrets, split_hunks, text_forms, common_lengths, reasoned, routed, resolved_questions, composed, summarised_changes, services_found, service_answers, directory_answers, ambiguous_names, described, novel_facts, narrations, missing_terms, admitted_events, assertion_rows, split_again, floor_gates, rebased_sources, answer_texts, scorecard_text, claim_verdicts, policy_breaches, failure_signatures, shared_seconds, alias_lists, firm_stoplist, firm_stems, embedding_pairs, semantic_hits, name_vectors, drafted_actions, payloads, executions, rederived_actions, masked_receipts, smoke_checks, conformance_grid, log_sections, delivery_links, upserts, journal_badges, exported_triples, full_neighbourhood, full_hops, audit_rows, alias_links, field_signals, confirmed_pairs, issued_roots, ranked_firms)}
 
 _WALKS = f"{_EDGES} UNION ALL SELECT 'customer:' || c_custkey, 'customer:' || (c_custkey + 1), 'resolves' FROM customer WHERE c_custkey % 10 = 0 UNION ALL SELECT 'part:' || l_partkey, 'order:' || l_orderkey, 'mentions' FROM lineitem WHERE l_linenumber = 1"
 _LEAF = "SELECT c_nationkey AS bundle_id, 'node:' || c_custkey AS name, 'sha256:' || sha256('{\"id\":' || c_custkey || ',\"name\":\"' || c_name || '\"}') AS digest FROM customer"
@@ -717,6 +751,10 @@ ORACLE_SQL = {
     "full_hops": f"""
         WITH e AS ({_WALKS}), b AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e), h1 AS (SELECT DISTINCT b AS id FROM b WHERE a = 'part:3'), h2 AS (SELECT DISTINCT b.b AS id FROM b JOIN h1 ON b.a = h1.id)
         SELECT 'part:3' AS id, 0 AS hop UNION ALL SELECT id, 1 FROM h1 UNION ALL SELECT id, 2 FROM h2 WHERE id <> 'part:3' AND id NOT IN (SELECT id FROM h1)""",
+    "alias_links": "SELECT a.p_partkey AS node_a, b.p_partkey AS node_b, 1.0::DOUBLE AS score FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_partkey <> b.p_partkey WHERE a.p_partkey % 100 = 0",
+    "field_signals": "SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 THEN CASE WHEN c_nationkey = s_nationkey THEN 'agree' ELSE 'contradict' END WHEN c_mktsegment = 'BUILDING' THEN 'agree' ELSE 'contradict' END AS signal FROM customer JOIN supplier ON c_custkey = s_suppkey",
+    "confirmed_pairs": _values([("n0", "n9", "shared distinctive token 'bittern'"), ("n3", "n4", "shared distinctive token 'juergens'"), ("n5", "n6", "fully-generic")], "node_a, node_b, ground"),
+    "issued_roots": "SELECT p_partkey + (SELECT max(c_custkey) + 1 FROM customer WHERE c_custkey < 100) AS idx, 'new' || p_partkey AS root FROM part",
     "audit_rows": """
         WITH n AS (SELECT DISTINCT c_nationkey AS k FROM customer)
         SELECT k AS bundle_id, 'Record-keeping / traceability' AS concept, 'Art. 12' AS article, k % 5 <> 3 AS met FROM n UNION ALL SELECT k, 'Reconstructing why an output was produced', 'Art. 12 (purpose)', k % 5 NOT IN (1, 2) FROM n
