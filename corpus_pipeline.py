@@ -37,7 +37,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document that is left, and digests of them and of the decoded text."""
-    return encode_decode(docs, tokenizer("byte_bpe_50k.tiktoken"), split_pattern(), ("n_tokens", "ids", "ids_sha256", "decoded_sha256"), kept=150_000, arcs=200_000, lasting=False)
+    return encode_decode(docs, tokenizer("byte_bpe_50k.tiktoken"), split_pattern(), ("n_tokens", "ids", "ids_sha256", "decoded_sha256"), kept=75_000, arcs=200_000, lasting=False)
 
 
 STAGES = [("quality rules", quality), ("exact dedup", exact), ("n-gram Jaccard join", near), ("mixing sources", mix), ("byte-level BPE", encode)]

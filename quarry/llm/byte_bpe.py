@@ -62,7 +62,7 @@ class Transducer:
     one emitted) that lead to it, and the last token emitted if one of these chains is empty.
     """
 
-    def __init__(self, ranks: dict[bytes, int], limit: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], limit: int = 600_000):
         self.ranks, self.limit = ranks, limit
         self.bytes_of = {i: t for t, i in ranks.items()}
         self.prefixes = {t[:k] for t in ranks for k in range(1, len(t))}
@@ -180,30 +180,44 @@ class Utf8Stream:
         return held.decode("utf-8", "replace")
 
 
-class _Arcs(dict):
-    """Unit of text -> its ids in decimal, joined by a space; emptied when full. Long units, which hardly come again, are not kept."""
+class _Arcs:
+    """Unit of text -> its ids in decimal, joined by a space; when full, what wasn't met since the last time goes. Long units, which hardly come again, are not kept."""
 
     LONG = 64
 
     def __init__(self, codec: Codec, lead: str):
         self.codec, self.lead = codec, lead
+        self.old: dict[str, str] = {}
+        self.now = _Met(self.meet)
 
-    def __missing__(self, unit: str) -> str:
-        encode = self.codec.transducer.encode
-        out = " ".join([str(i) for piece in self.codec.split(self.lead + unit) for i in encode(piece.encode())])
+    def meet(self, unit: str) -> str:
+        if (out := self.old.get(unit)) is None:
+            encode = self.codec.transducer.encode
+            out = " ".join([str(i) for piece in self.codec.split(self.lead + unit) for i in encode(piece.encode())])
         if len(unit) <= self.LONG:
-            if len(self) >= self.codec.kept:
-                self.clear()
-            self[unit] = out
+            self.now[unit] = out
         return out
 
+    def turn(self) -> None:
+        """To be called between texts: a full table becomes the old one."""
+        if len(self.now) >= self.codec.kept:
+            self.old, self.now = self.now, _Met(self.meet)
+
+
+class _Met(dict):
+    def __init__(self, meet):
+        self.meet = meet
+
+    def __missing__(self, unit: str) -> str:
+        return self.meet(unit)
+
 
 class Codec:
-    """`kept` bounds the units kept as compressed arcs, of _Arcs.LONG characters at most, so their bytes are bounded too."""
+    """`kept` bounds the units kept as compressed arcs, twice over, of _Arcs.LONG characters at most, so their bytes are bounded too."""
 
     STEP = 1 << 15
 
-    def __init__(self, ranks_path: str, pattern: str, kept: int = 450_000, arcs: int = 400_000):
+    def __init__(self, ranks_path: str, pattern: str, kept: int = 450_000, arcs: int = 600_000):
         self.kept = kept
         ranks = load_ranks(ranks_path)
         self.split = regex.compile(pattern).findall
@@ -215,15 +229,17 @@ class Codec:
         """The ids, as decimals joined by spaces, some units at a time."""
         if not text:
             return
+        self.bare.turn()
         if is_plain(text):
             first, *rest = text.split(" ")
             if first:
-                yield self.bare[first]
+                yield self.bare.now[first]
             arcs = self.spaced
         else:
             rest, arcs = units(text), self.bare
         for at in range(0, len(rest), self.STEP):
-            yield " ".join(map(arcs.__getitem__, rest[at : at + self.STEP]))
+            arcs.turn()
+            yield " ".join(map(arcs.now.__getitem__, rest[at : at + self.STEP]))
 
     def encode(self, text: str) -> list[int]:
         return [int(i) for part in self.coded(text) for i in part.split(" ")]
@@ -266,7 +282,7 @@ def forget() -> None:
 TYPES = {"n_tokens": ("long", pa.int64()), "ids": ("array<int>", pa.list_(pa.int32())), "decoded": ("string", pa.string()), "ids_sha256": ("string", pa.string()), "decoded_sha256": ("string", pa.string())}
 
 
-def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, columns: tuple[str, ...] = tuple(TYPES), id_col: str = "doc_id", text_col: str = "text", kept: int = 450_000, arcs: int = 400_000, lasting: bool = True) -> DataFrame:
+def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, columns: tuple[str, ...] = tuple(TYPES), id_col: str = "doc_id", text_col: str = "text", kept: int = 450_000, arcs: int = 600_000, lasting: bool = True) -> DataFrame:
     """One row per input row: doc_id and the wanted columns of TYPES. ranks_path must be there on every executor.
 
     kept and arcs bound the tables of a worker, some 300 and 600 bytes an entry; unless lasting, they go with each task,
