@@ -62,7 +62,7 @@ class Transducer:
     one emitted) that lead to it, and the last token emitted if one of these chains is empty.
     """
 
-    def __init__(self, ranks: dict[bytes, int], limit: int = 600_000):
+    def __init__(self, ranks: dict[bytes, int], limit: int = 800_000):
         self.ranks, self.limit = ranks, limit
         self.bytes_of = {i: t for t, i in ranks.items()}
         self.prefixes = {t[:k] for t in ranks for k in range(1, len(t))}
@@ -217,7 +217,7 @@ class Codec:
 
     STEP = 1 << 15
 
-    def __init__(self, ranks_path: str, pattern: str, kept: int = 450_000, arcs: int = 600_000):
+    def __init__(self, ranks_path: str, pattern: str, kept: int = 600_000, arcs: int = 800_000):
         self.kept = kept
         ranks = load_ranks(ranks_path)
         self.split = regex.compile(pattern).findall
@@ -282,7 +282,7 @@ def forget() -> None:
 TYPES = {"n_tokens": ("long", pa.int64()), "ids": ("array<int>", pa.list_(pa.int32())), "decoded": ("string", pa.string()), "ids_sha256": ("string", pa.string()), "decoded_sha256": ("string", pa.string())}
 
 
-def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, columns: tuple[str, ...] = tuple(TYPES), id_col: str = "doc_id", text_col: str = "text", kept: int = 450_000, arcs: int = 600_000, lasting: bool = True) -> DataFrame:
+def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, columns: tuple[str, ...] = tuple(TYPES), id_col: str = "doc_id", text_col: str = "text", kept: int = 600_000, arcs: int = 800_000, lasting: bool = True) -> DataFrame:
     """One row per input row: doc_id and the wanted columns of TYPES. ranks_path must be there on every executor.
 
     kept and arcs bound the tables of a worker, some 300 and 600 bytes an entry; unless lasting, they go with each task,
