@@ -38,8 +38,12 @@ from .buckets import unpack
 from .common import Powers, id_text, materialise, mix, raw_bytes, sha_hex, small, tidied
 
 TRIGGER = 20
-BLOCK = 1 << 20
-UNIT_BYTES = 24 << 20
+BLOCK = 1 << 18
+#: A map unit holds its rows once, some 30 bytes each, and sorts and sends them by PORTIONS of the buckets: copies are made of one portion only.
+UNIT_ROWS = {"phrases": 3 << 19, "windows": 3 << 20}
+PORTIONS = 8
+#: Bytes of text whose phrases meet in one bucket.
+BUCKET_BYTES = 16 << 20
 #: Different phrases of one trigger that a map unit sends on; beyond it sends word that there are many.
 MANY = 16
 NO_ID = -(1 << 63)
@@ -116,12 +120,30 @@ def parses(data: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tuple
         k = stop
 
 
-def _units(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    part = np.cumsum(np.diff(raw_bytes(batch.column(1))[1])) // UNIT_BYTES
-    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
-    for a, b in zip(edges, edges[1:], strict=False):
-        if b > a:
-            yield batch.slice(a, b - a)
+def portioned(blocks: Iterator[tuple[np.ndarray, ...]], buckets: int, rows: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """The columns of blocks, the first of which deals the rows to buckets, again by map units and in them by portions: rows of one bucket of a unit come together."""
+    held, n = [[] for _ in range(PORTIONS)], 0
+
+    def emptied() -> Iterator[tuple[np.ndarray, ...]]:
+        for portion in held:
+            if portion:
+                columns = tuple(map(np.concatenate, zip(*portion, strict=True)))
+                portion.clear()
+                yield columns
+
+    for key, *columns in blocks:
+        part = (key % np.uint64(buckets) % np.uint64(PORTIONS)).astype(np.uint8)
+        order = np.argsort(part, kind="stable")
+        limits = np.searchsorted(part[order], np.arange(PORTIONS + 1))
+        columns = [c[order] for c in columns]
+        for portion, lo, hi in zip(held, limits[:-1], limits[1:], strict=True):
+            if hi > lo:
+                portion.append([c[lo:hi] for c in columns])
+        n += len(part)
+        if n >= rows:
+            yield from emptied()
+            n = 0
+    yield from emptied()
 
 
 KINDS = {"spot": np.uint32, "phrase": np.uint64, "did": np.int64, "left": np.uint16, "right": np.uint16, "many": np.uint8}
@@ -129,12 +151,19 @@ PACKED = "bucket long, " + ", ".join(f"{k} binary" for k in KINDS)
 DIRECT = 1 << 60
 
 
-def _send(bucket: np.ndarray, buckets: int, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+def _send(bucket: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
     order = np.argsort(bucket, kind="stable")
-    limits = np.searchsorted(bucket[order], np.arange(buckets + 1)).tolist()
-    columns = {k: v[order] for k, v in columns.items()}
-    there = [b for b in range(buckets) if limits[b + 1] > limits[b]]
-    return pa.record_batch([pa.array(there, pa.int64()), *(pa.array([columns[k][limits[b] : limits[b + 1]].tobytes() if k in columns else b"" for b in there], pa.binary()) for k in KINDS)], ["bucket", *KINDS])
+    bucket = bucket[order]
+    edges = np.flatnonzero(_starts(bucket))
+    limits = [*edges.tolist(), len(bucket)]
+
+    def packed(name: str) -> pa.Array:
+        if name not in columns:
+            return pa.array([b""] * len(edges), pa.binary())
+        column = columns[name][order]
+        return pa.array([column[lo:hi].tobytes() for lo, hi in zip(limits, limits[1:], strict=False)], pa.binary())
+
+    return pa.record_batch([pa.array(bucket[edges], pa.int64()), *map(packed, KINDS)], ["bucket", *KINDS])
 
 
 def _direct(kind: int, did: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
@@ -169,15 +198,15 @@ def _starts(*columns: np.ndarray) -> np.ndarray:
 def phrase_findings(docs: DataFrame, length: int, buckets: int) -> DataFrame:
     """FOUND: phrases that a document loses (PHRASE), and triggers whose phrases' suffixes must be compared (ASK)."""
 
+    def rows(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+        data, offsets = raw_bytes(batch.column(1))
+        ids = batch.column(0).to_numpy()
+        for p, k, _ in parses(data, offsets, length):
+            yield p.trigger, p.trigger, p.phrase, ids[p.text + k], p.left, p.right
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in _units(whole):
-                data, offsets = raw_bytes(batch.column(1))
-                ids = batch.column(0).to_numpy()
-                got = [(p.trigger, p.phrase, ids[p.text + k], p.left, p.right) for p, k, _ in parses(data, offsets, length)]
-                if not got or not sum(len(x[0]) for x in got):
-                    continue
-                trigger, phrase, did, left, right = map(np.concatenate, zip(*got, strict=True))
+        for batch in batches:
+            for trigger, phrase, did, left, right in portioned(rows(batch), buckets, UNIT_ROWS["phrases"]):
                 order = np.lexsort((did, phrase, trigger))
                 trigger, phrase, did, left, right = (x[order] for x in (trigger, phrase, did, left, right))
                 once = _starts(trigger, phrase, did)
@@ -196,7 +225,7 @@ def phrase_findings(docs: DataFrame, length: int, buckets: int) -> DataFrame:
                 row = np.flatnonzero(~many | word)
                 row = row[np.argsort(did[row], kind="stable")]
                 spot, bucket = np.divmod(trigger[row], np.uint64(buckets))
-                yield _send(bucket.astype(np.int64), buckets, {"spot": spot.astype(np.uint32), "phrase": phrase[row], "did": did[row], "left": left[row], "right": right[row], "many": word[row].astype(np.uint8)})
+                yield _send(bucket.astype(np.int64), {"spot": spot.astype(np.uint32), "phrase": phrase[row], "did": did[row], "left": left[row], "right": right[row], "many": word[row].astype(np.uint8)})
 
     def meet(t: pa.Table) -> pa.Table:
         if (passed := _passed(t)) is not None:
@@ -239,27 +268,24 @@ def phrase_findings(docs: DataFrame, length: int, buckets: int) -> DataFrame:
 def window_findings(asked: DataFrame, length: int, buckets: int) -> DataFrame:
     """FOUND: windows that a document loses, from (did, text, triggers)."""
 
+    def rows(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+        data, offsets = raw_bytes(batch.column(1))
+        ids = batch.column(0).to_numpy()
+        lists = batch.column(2)
+        wanted = lists.flatten().to_numpy().view(np.uint64)
+        owner = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
+        # a text's number and its trigger in one value: equal ones may only add comparisons
+        wanted = np.sort(mix(wanted, 3) + owner.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        for p, k, _ in parses(data, offsets, length):
+            own = mix(p.trigger, 3) + (p.text + k).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            chosen = wanted[np.minimum(np.searchsorted(wanted, own), len(wanted) - 1)] == own
+            if chosen.any():
+                start, value = p.windows(np.flatnonzero(chosen))
+                yield value >> np.uint64(32), value, p.checks(start), ids[np.repeat(p.text[chosen] + k, p.count[chosen])]
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in _units(whole):
-                data, offsets = raw_bytes(batch.column(1))
-                ids = batch.column(0).to_numpy()
-                lists = batch.column(2)
-                wanted = lists.flatten().to_numpy().view(np.uint64)
-                owner = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
-                # a text's number and its trigger in one value: equal ones may only add comparisons
-                wanted = np.sort(mix(wanted, 3) + owner.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                prints, checks, dids = [], [], []
-                for p, k, _ in parses(data, offsets, length):
-                    own = mix(p.trigger, 3) + (p.text + k).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-                    chosen = wanted[np.minimum(np.searchsorted(wanted, own), len(wanted) - 1)] == own
-                    start, value = p.windows(np.flatnonzero(chosen))
-                    prints.append(value)
-                    checks.append(p.checks(start))
-                    dids.append(ids[np.repeat(p.text[chosen] + k, p.count[chosen])])
-                if not prints or not sum(map(len, prints)):
-                    continue
-                value, check, did = map(np.concatenate, (prints, checks, dids))
+        for batch in batches:
+            for value, check, did in portioned(rows(batch), buckets, UNIT_ROWS["windows"]):
                 order = np.lexsort((did, check, value))
                 value, check, did = value[order], check[order], did[order]
                 once = _starts(value, check, did)
@@ -269,7 +295,7 @@ def window_findings(asked: DataFrame, length: int, buckets: int) -> DataFrame:
                     yield _direct(WINDOW, did[~first], value[~first])
                 value, check, did = value[first], check[first], did[first]
                 order = np.argsort(did, kind="stable")
-                yield _send(((value[order] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64), buckets, {"spot": check[order], "phrase": value[order], "did": did[order]})
+                yield _send(((value[order] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64), {"spot": check[order], "phrase": value[order], "did": did[order]})
 
     def meet(t: pa.Table) -> pa.Table:
         if (passed := _passed(t)) is not None:
@@ -307,7 +333,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, texts: bool = False, id_co
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with texts also spans and kept (bytes)."""
     docs = id_text(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("did"), "text")
     total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    buckets = max(256, math.ceil(total / (64 << 20)))  # about a row for 16 bytes, and 16 bytes a row
+    buckets = max(256, math.ceil(total / BUCKET_BYTES))  # about a row for 16 bytes, and some 30 bytes a row
     found = materialise(phrase_findings(docs, length, buckets), "phrases")
     asks = materialise(found.filter(F.col("kind") == ASK).groupBy("did").agg(F.collect_set("value").alias("triggers")), "asks")
     n_asks = asks.count()

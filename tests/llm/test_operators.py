@@ -101,6 +101,75 @@ def test_pieces_of_huge_texts(monkeypatch):
         assert sorted(starts) == [int(o) + i for o, x in zip(offsets, parts) for i in range(len(x) - 49)]
 
 
+class Local:
+    """Record batches whose Arrow functions run in this process, where constants can be changed and memory seen."""
+
+    def __init__(self, *batches):
+        self.batches = batches
+
+    def mapInArrow(self, run, _):
+        return Local(*run(iter(self.batches)))
+
+    def groupBy(self, key):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        whole = pa.Table.from_batches(self.batches)
+        self.groups = [whole.filter(pc.equal(whole[key], k)) for k in whole[key].unique()]
+        return self
+
+    def applyInArrow(self, meet, _):
+        return [x for t in self.groups for x in meet(t).to_pylist()]
+
+
+def did_text(rows):
+    import pyarrow as pa
+
+    return pa.record_batch([pa.array([repeated_passages.NO_ID if d is None else d for d, _ in rows], pa.int64()), pa.array([t or "" for _, t in rows])], ["did", "text"])
+
+
+def test_memory_of_a_map_unit():
+    import tracemalloc
+
+    r = random.Random(31)
+    rows = [(k, r.randbytes(100_000).hex()) for k in range(40)]
+    repeated_passages.phrase_findings(Local(did_text(rows[:10])), 50, 256)
+    batch = Local(did_text(rows))
+    tracemalloc.start()
+    assert not repeated_passages.phrase_findings(batch, 50, 256)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 6 * sum(len(t) for _, t in rows), peak
+
+
+@pytest.mark.parametrize(("unit", "portions"), [(40, 3), (1 << 20, 8)])
+def test_repeats_over_small_units(monkeypatch, unit, portions):
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(repeated_passages, "BLOCK", 400)
+    monkeypatch.setattr(repeated_passages, "PORTIONS", portions)
+    monkeypatch.setattr(repeated_passages, "UNIT_ROWS", {"phrases": unit, "windows": unit})
+    rows = texts(32)
+    batch = did_text(rows)
+    found = repeated_passages.phrase_findings(Local(batch), 50, 256)
+    asks = {}
+    for x in found:
+        if x["kind"] == repeated_passages.ASK:
+            asks.setdefault(x["did"], set()).add(x["value"])
+    lists = [sorted(asks.get(d, ())) for d in batch["did"].to_pylist()]
+    asked = pa.record_batch([*batch.columns, pa.array(lists, pa.list_(pa.int64()))], ["did", "text", "triggers"]).filter(pa.array([bool(x) for x in lists]))
+    assert asked.num_rows
+    found += repeated_passages.window_findings(Local(asked), 50, 256)
+    out = []
+    for d, t in rows:
+        own, data = repeated_passages.NO_ID if d is None else d, np.frombuffer((t or "").encode(), np.uint8)
+        lost = [np.sort(np.array([x["value"] for x in found if x["did"] == own and x["kind"] == k], np.int64).view(np.uint64)) for k in (repeated_passages.PHRASE, repeated_passages.WINDOW)]
+        kept, spans = repeated_passages.cut(data, *lost, 50)
+        out.append((d, len(data), len(data) - len(kept), len(spans), plain.sha(kept)))
+    assert sorted(out, key=repr) == plain.repeats(rows)
+
+
 @pytest.mark.parametrize("rule", [jaccard_join.Rule(4, 85), jaccard_join.Rule(2, 60, heavy=3, pairs=20, left=1), jaccard_join.Rule(3, 70, table_rows=40)])
 def test_jaccard_join(spark, rule):
     rows = texts(4)
