@@ -7,7 +7,8 @@ before it are emitted: no further byte can change them, so the lookahead is boun
 are made when first met, kept in bounded tables, and whole units of text are kept as compressed arcs.
 
 Texts are cut into units where a white-space character follows another character: no match of the split pattern
-crosses such a place, whatever stands around it.
+crosses such a place, whatever stands around it. A match taken alone is one match again, so that units share what
+their matches were coded to. Short texts that have single spaces only are coded together, each different unit once.
 
 Decoding is streaming: token bytes pass through an incremental UTF-8 state machine.
 
@@ -26,17 +27,18 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from .common import id_text, map_rows, portions, tidied
+from .common import id_text, map_rows, portions, raw_bytes, tidied
 
 #: Text that goes into one batch of results, about.
 OUT_BYTES = 2 << 20
 
 #: White space of the split pattern (fixed values, Unicode White_Space).
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_unclean = re.compile(f"[{SPACE}] |^ ")
+_unclean = [chr(i) + " " for i in range(0x3001) if re.match(f"[{SPACE}]", chr(i))]
 _units = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 
 
@@ -47,7 +49,12 @@ def units(text: str) -> list[str]:
 
 def is_plain(text: str) -> bool:
     """No space at the start or after other white space: text.split(' ') then gives the units, less their leading space."""
-    return not _unclean.search(text)
+    return not text.startswith(" ") and not any(x in text for x in _unclean)
+
+
+def numbers(ids: str) -> np.ndarray:
+    """From decimals joined by a space."""
+    return np.fromstring(ids, np.int32, sep=" ")
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -58,21 +65,34 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class Transducer:
     """Lazily determinised; `limit` bounds its arcs and its memory of pairs, which are emptied when full.
 
-    A state holds, for each place where a token may still start, the bytes since then and the tokens (after the last
-    one emitted) that lead to it, and the last token emitted if one of these chains is empty.
+    A state holds, for each place where a token may still start, the node of the trie of tokens that the bytes since then
+    lead to and the tokens (after the last one emitted) before it, and the last token emitted if one of these chains is
+    empty. Arcs are filed under state << 8 | byte; of one that emits tokens the complement of its target is kept.
     """
 
     def __init__(self, ranks: dict[bytes, int], limit: int = 600_000):
         self.ranks, self.limit = ranks, limit
         self.bytes_of = {i: t for t, i in ranks.items()}
-        self.prefixes = {t[:k] for t in ranks for k in range(1, len(t))}
+        self.steps: dict[int, int] = {}
+        self.token, inner = [-1], bytearray(1)
+        for text, rank in ranks.items():
+            node = 0
+            for byte in text:
+                inner[node] = 1
+                if (next_ := self.steps.get(node << 8 | byte)) is None:
+                    next_ = self.steps[node << 8 | byte] = len(self.token)
+                    self.token.append(-1)
+                    inner.append(0)
+                node = next_
+            self.token[node] = rank
+        self.inner = bytes(inner)
         self.halves: dict[int, tuple[int, int] | None] = {}
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
         self.reset()
 
     def reset(self) -> None:
-        start = (-1, ((b"", ()),))
-        self.names, self.states, self.arcs, self.made = {start: 0}, [start], [{}], 0
+        start = (-1, ((0, ()),))
+        self.names, self.states, self.arcs, self.emits = {start: 0}, [start], {}, {}
 
     def halved(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes this one, (token, token) for a byte; None if merging never makes it."""
@@ -88,10 +108,10 @@ class Transducer:
 
     def fit(self, left: int, right: int) -> bool:
         """Whether merging leaves the two tokens side by side: undoing their merges from the latest, no pair that meets at the border may have come first."""
-        if (known := self.fits.get((left, right))) is None:
+        if (known := self.fits.get(pair := left << 32 | right)) is None:
             if len(self.fits) >= self.limit:
                 self.fits.clear()
-            known = self.fits[left, right] = self._fit(left, right)
+            known = self.fits[pair] = self._fit(left, right)
         return known
 
     def _fit(self, left: int, right: int) -> bool:
@@ -108,48 +128,50 @@ class Transducer:
             else:
                 limit, right = right + 1, outer
 
-    def extend(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        before, live = self.states[state]
-        last, found, after = bytes((byte,)), None, []
-        for held, path in live:
-            token = held + last
-            if found is None and (rank := self.ranks.get(token)) is not None and self.halved(rank):
-                left = path[-1] if path else before
-                if left < 0 or self.fit(left, rank):
-                    found = (*path, rank)
-            if token in self.prefixes:
-                after.append((token, path))
-        after.append((b"", found))
-        sure = 0  # tokens that all chains share
-        for same in zip(*(path for _, path in after)):
-            if len(set(same)) > 1:
+    def extend(self, arc: int) -> int:
+        before, live = self.states[arc >> 8]
+        byte, token, found, after = arc & 0xFF, self.token, None, []
+        for node, path in live:
+            if node := self.steps.get(node << 8 | byte):
+                if found is None and (rank := token[node]) >= 0 and self.halved(rank):
+                    left = path[-1] if path else before
+                    if left < 0 or self.fit(left, rank):
+                        found = (*path, rank)
+                if self.inner[node]:
+                    after.append((node, path))
+        after.append((0, found))
+        out = after[0][1]  # what stays of it are the tokens that all chains share
+        for _, path in after:
+            if not out:
                 break
-            sure += 1
-        out = found[:sure]
-        if sure:
-            before, after = out[-1], [(held, path[sure:]) for held, path in after]
+            while path[: len(out)] != out:
+                out = out[:-1]
+        if out:
+            before, after = out[-1], [(node, path[len(out) :]) for node, path in after]
         key = (before if not all(path for _, path in after) else -1, tuple(after))
         if (name := self.names.get(key)) is None:
             name = self.names[key] = len(self.states)
             self.states.append(key)
-            self.arcs.append({})
-        return name, out
+        if out:
+            self.emits[arc], name = out, ~name
+        self.arcs[arc] = name
+        return name
 
     def encode(self, piece: bytes) -> list[int]:
         """Of one match of the split pattern."""
         if (whole := self.ranks.get(piece)) is not None:
             return [whole]
-        if self.made >= self.limit:
+        if len(self.arcs) >= self.limit:
             self.reset()
         out: list[int] = []
-        arcs, state = self.arcs, 0
+        known, state = self.arcs.get, 0
         for byte in piece:
-            if (arc := arcs[state].get(byte)) is None:
-                arc = arcs[state][byte] = self.extend(state, byte)
-                self.made += 1
-            state, sure = arc
-            if sure:
-                out += sure
+            arc = state << 8 | byte
+            if (state := known(arc)) is None:
+                state = self.extend(arc)
+            if state < 0:
+                out += self.emits[arc]
+                state = ~state
         return out + list(self.states[state][1][-1][1])
 
 
@@ -192,8 +214,8 @@ class _Arcs:
 
     def meet(self, unit: str) -> str:
         if (out := self.old.get(unit)) is None:
-            encode = self.codec.transducer.encode
-            out = " ".join([str(i) for piece in self.codec.split(self.lead + unit) for i in encode(piece.encode())])
+            matches = self.codec.split(self.lead + unit)
+            out = " ".join(map(self.codec.one if len(matches) > 1 and len(unit) <= self.LONG else self.codec.fresh, matches))
         if len(unit) <= self.LONG:
             self.now[unit] = out
         return out
@@ -222,7 +244,11 @@ class Codec:
         ranks = load_ranks(ranks_path)
         self.split = regex.compile(pattern).findall
         self.transducer = Transducer(ranks, arcs)
-        self.bytes_of = {str(i): t for t, i in ranks.items()}
+        self.bytes_of = [b""] * (max(ranks.values()) + 1)
+        for text, i in ranks.items():
+            self.bytes_of[i] = text
+        self.sizes = np.array([len(x) for x in self.bytes_of])
+        self.decimal = {i: str(i) for i in ranks.values()}
         self.bare, self.spaced = _Arcs(self, ""), _Arcs(self, " ")
 
     def coded(self, text: str) -> Iterator[str]:
@@ -241,12 +267,27 @@ class Codec:
             arcs.turn()
             yield " ".join(map(arcs.now.__getitem__, rest[at : at + self.STEP]))
 
+    def fresh(self, match: str) -> str:
+        """The ids of one match of the split pattern."""
+        ids = self.transducer.encode(match.encode())
+        return self.decimal[ids[0]] if len(ids) == 1 else " ".join([self.decimal[i] for i in ids])
+
+    def one(self, match: str) -> str:
+        """As fresh(), looked up and, while there is room, kept as the unit that it is."""
+        arcs, unit = (self.spaced, match[1:]) if match[0] == " " else (self.bare, match)
+        if (out := arcs.now.get(unit)) is None:
+            if (out := arcs.old.get(unit)) is None:
+                out = self.fresh(match)
+            if len(arcs.now) < self.kept:
+                arcs.now[unit] = out
+        return out
+
     def encode(self, text: str) -> list[int]:
         return [int(i) for part in self.coded(text) for i in part.split(" ")]
 
     def decode(self, ids: Iterable[int]) -> str:
         stream = Utf8Stream()
-        return "".join([stream.feed(self.bytes_of[str(i)]) for i in ids]) + stream.close()
+        return "".join([stream.feed(self.bytes_of[i]) for i in ids]) + stream.close()
 
     def round_trip(self, text: str, want: set[str]) -> dict:
         """Codes and decodes a text piece by piece."""
@@ -255,18 +296,46 @@ class Codec:
         texts: list[str] = []
         for k, part in enumerate(self.coded(text)):
             coded.update((" " * bool(k) + part).encode())
-            codes = part.split(" ")
+            codes = numbers(part)
             count += len(codes)
-            back = stream.feed(b"".join(map(self.bytes_of.__getitem__, codes)))
+            back = stream.feed(b"".join([self.bytes_of[i] for i in codes.tolist()]))
             decoded.update(back.encode())
             if "ids" in want:
-                ids.append(np.array(codes, np.int32))
+                ids.append(codes)
             if "decoded" in want:
                 texts.append(back)
         last = stream.close()
         decoded.update(last.encode())
         return {"n_tokens": count, "ids": np.concatenate(ids), "decoded": "".join(texts) + last, "ids_sha256": coded.hexdigest(), "decoded_sha256": decoded.hexdigest()}
 
+    def round_trips(self, texts: list[str], want: set[str]) -> list[dict]:
+        """round_trip() of each text; the plain ones go together, so that a unit they share is looked up and decoded once."""
+        some = [k for k, x in enumerate(texts) if x and len(x) <= OUT_BYTES and is_plain(x)]
+        out = dict(zip(some, self._together([texts[k] for k in some], want) if some else [], strict=True))
+        return [out[k] if k in out else self.round_trip(x, want) for k, x in enumerate(texts)]
+
+    def _together(self, texts: list[str], want: set[str]) -> Iterator[dict]:
+        parts = pc.split_pattern(pa.array(texts, pa.string()), " ")
+        edges, met = parts.offsets.to_numpy(), parts.values.dictionary_encode()
+        names, places = met.dictionary.to_pylist(), met.indices.to_numpy().copy()
+        firsts, known = places[edges[:-1]].tolist(), []
+        for at in range(0, len(names), self.STEP):
+            self.spaced.turn()
+            known += map(self.spaced.now.__getitem__, names[at : at + self.STEP])
+        self.bare.turn()
+        places[edges[:-1]] = np.arange(len(known), len(known) + len(texts))  # no space stands before the first unit of a text
+        known += [self.bare.now[names[i]] for i in firsts]
+        ids, counts = numbers(" ".join(known)), np.array([x.count(" ") + 1 for x in known])
+        ends = np.concatenate(([0], np.cumsum(self.sizes[ids])))[np.concatenate(([0], np.cumsum(counts)))]
+        back = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(known), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(b"".join([self.bytes_of[i] for i in ids.tolist()]))])
+        data, at = raw_bytes(back.take(pa.array(places)))
+        coded = pc.binary_join(pa.ListArray.from_arrays(parts.offsets, pa.array(known, pa.string()).take(pa.array(places))), " ")
+        at, totals = at[edges].tolist(), np.add.reduceat(counts[places], edges[:-1]).tolist()
+        for k, row in enumerate(coded.to_pylist()):
+            stream = Utf8Stream()
+            text = stream.feed(data[at[k] : at[k + 1]].tobytes()) + stream.close()
+            yield {"n_tokens": totals[k], "ids": numbers(row) if "ids" in want else None, "decoded": text, "ids_sha256": hashlib.sha256(row.encode()).hexdigest(), "decoded_sha256": hashlib.sha256(text.encode()).hexdigest()}
+
 
 @lru_cache(maxsize=1)
 def codec(*args) -> Codec:
@@ -293,7 +362,7 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, columns: tuple
         c, want = codec(ranks_path, pattern, kept, arcs), set(columns)
         for whole in batches:
             for batch in portions(whole, 1, OUT_BYTES):
-                rows = [c.round_trip(x.as_py(), want) for x in batch.column(1)]
+                rows = c.round_trips(batch.column(1).to_pylist(), want)
                 yield pa.record_batch([batch.column(0), *(pa.array([r[k] for r in rows], TYPES[k][1]) for k in columns)], ["doc_id", *columns])
 
     return id_text(docs, id_col, text_col).mapInArrow(tidied(run, None if lasting else forget), "doc_id long, " + ", ".join(f"{k} {TYPES[k][0]}" for k in columns))

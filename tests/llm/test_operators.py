@@ -251,6 +251,31 @@ def test_byte_bpe_is_the_librarys():
         assert own.decode(ids) == text
 
 
+def test_byte_bpe_codes_a_match_once():
+    own, other, met = byte_bpe.Codec(P.path("byte_bpe_50k.tiktoken"), P.PATTERN), library(), []
+    encode = own.transducer.encode
+    own.transducer.encode = lambda piece: met.append(piece) or encode(piece)
+    texts_ = ["so zorblatique, zorblatique. (zorblatique) zorblatique", "zorblatique; no zorblatique!", "so  zorblatique\t:"]
+    for text in texts_:
+        assert own.encode(text) == other.encode_ordinary(text)
+    assert met.count(b" zorblatique") == 1 and met.count(b"zorblatique") == 1
+
+
+def test_byte_bpe_together_and_alone():
+    own, other, r = byte_bpe.Codec(P.path("byte_bpe_50k.tiktoken"), P.PATTERN, kept=50), library(), random.Random(4)
+    own.STEP = 7
+    mixed = ["", " ", "a", "a ", " a", "a  b", "a\n b", "a\u3000 b", "é 漢 😀", "x" * 100 + ", a1b2 " + "y" * 70] + [odd_text(r, k) for k in range(300)] + [" ".join(r.choice(["on", "to,", "tone.", "it's", "x\ny", "\x85z", "é!"]) for _ in range(r.randint(1, 90))) for _ in range(300)]
+    own.transducer.limit = 500
+    for some in (mixed[:10], mixed, mixed[:1], []):
+        rows = own.round_trips(some, {"ids", "decoded"})
+        assert len(rows) == len(some)
+        for text, row in zip(some, rows):
+            ids = other.encode_ordinary(text)
+            assert (row["ids"].tolist(), row["decoded"], row["n_tokens"]) == (ids, text, len(ids))
+            assert (row["ids_sha256"], row["decoded_sha256"]) == (plain.sha(" ".join(map(str, ids))), plain.sha(text))
+        assert len(own.spaced.now) <= 50 + 7 and len(own.transducer.arcs) <= 500 + 400
+
+
 def test_incremental_utf8():
     r = random.Random(2)
     for _ in range(200):
